@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, fingerprint, packing, sharding, vectors, warc
+from quillon.llm import bpe, fingerprint, minhash, packing, sharding, vectors, warc
 from quillon.llm.common import table, tune
 
 
@@ -27,6 +27,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_documents(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vectors": op2_vectors,
     "op3_bpe": op3_bpe,
     "op5_warc": op5_warc,
+    "op6_minhash": op6_minhash,
     "op8_fingerprint": op8_fingerprint,
     "op9_sharding": op9_sharding,
 }

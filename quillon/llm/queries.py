@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, fingerprint, minhash, packing, sharding, vectors, warc
+from quillon.llm import bpe, fingerprint, minhash, packing, sharding, suffix, vectors, warc
 from quillon.llm.common import table, tune
 
 
@@ -23,6 +23,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(table(spark, sf_dir, "documents"), 400)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_vectors": op2_vectors,
     "op3_bpe": op3_bpe,
+    "op4_suffix": op4_suffix,
     "op5_warc": op5_warc,
     "op6_minhash": op6_minhash,
     "op8_fingerprint": op8_fingerprint,

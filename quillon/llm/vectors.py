@@ -203,5 +203,7 @@ def _search(spark: SparkSession, classes: DataFrame, threshold: float, margin: f
         is_edge = np.concatenate([np.full(len(x), e) for x, e in zip(out_id, [False, *[False, True] * (len(out_id) // 2)], strict=True)]) if len(out_id) > 1 else np.zeros(0, bool)
         return pa.table({"id": np.concatenate(out_id), "n": np.concatenate(out_n), "other": pa.array(other, pa.int64(), mask=~is_edge.astype(bool))})
 
-    found = left.unionByName(right).groupBy("label", "cell", "mb", "qb").applyInArrow(search, "id long, n long, other long")
+    # without this, the rows would stay where the joins by cell had put them, a hot cell's blocks in one task
+    dealt = left.unionByName(right).repartition("label", "cell", "mb", "qb")
+    found = dealt.groupBy("label", "cell", "mb", "qb").applyInArrow(search, "id long, n long, other long")
     return materialize(found, "vector-links")

@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first letters (PREFIXES), so that inflected forms share terms. On a bounded sample
-of labelled rows (SAMPLE of each class, a documented bound) the terms that tell the classes apart are chosen
-by their log-likelihood ratio; their document frequencies are counted over all documents. The sampled rows are
+Terms are words and their first letters (PREFIXES), so that inflected forms share terms, and each of these
+again where it comes twice or more in a text. On a bounded sample of labelled rows (SAMPLE toxic
+and twice as many others, a documented bound) the terms that mark toxic texts are chosen, by their log-likelihood ratio and by how much
+commoner they are there; their document frequencies are counted over all documents. The sampled rows are
 the examples of the index. Examples are dealt to blocks; for each term the index knows the largest weight in
 each block. A text visits blocks in descending order of the bound that these give, scores a block's examples
 exactly, and stops when no block can hold a nearer example than the NEIGHBOURS found: the result is exact.
@@ -33,7 +34,8 @@ from quillon.llm.words import mix, powers
 SAMPLE = 2500
 PREFIXES = (4, 5, 6)
 TERMS = 1024
-LEAST_LLR = 12.0
+LEAST_LLR = 10.0
+LEAST_ODDS = 20.0
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_WEIGHT = 0.5
@@ -71,48 +73,71 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield at, texts[at:]
 
 
+def text_counts(texts: list[str | None], among: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """For each chunk of texts: (text, hash, number) of its terms, of those in the ascending array `among` if given; else with their names."""
+    for at, part in chunks(texts):
+        owner, h, b, e, raw = term_hashes(part)
+        if among is not None:
+            i = np.minimum(np.searchsorted(among, h), len(among) - 1)
+            hit = among[i] == h
+            owner, h = owner[hit], h[hit]
+        order = np.lexsort((h, owner))
+        o, k = owner[order], h[order]
+        first = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])])) if len(o) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(o)))
+        names = [] if among is not None else [raw[b[j] : e[j]].tobytes() for j in order[first].tolist()]
+        yield o[first] + at, k[first], n, names
+
+
 class Vocabulary:
-    def __init__(self, hashes: np.ndarray, names: list[str]):
-        order = np.argsort(hashes)
-        self.hashes, self.names = hashes[order], [names[i] for i in order]
+    """Chosen terms. A term is a hash, plain or in its second form: two or more occurrences in a text."""
+
+    def __init__(self, hashes: np.ndarray, twice: np.ndarray, names: list[str]):
+        self.names = [f"{n} (2+)" if t else n for n, t in zip(names, twice.tolist(), strict=True)]
+        self.hashes = np.unique(hashes)
+        self.plain, self.second = np.full(len(self.hashes), -1), np.full(len(self.hashes), -1)
+        at = np.searchsorted(self.hashes, hashes)
+        self.plain[at[~twice]] = np.flatnonzero(~twice)
+        self.second[at[twice]] = np.flatnonzero(twice)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, number of occurrences), in the order of texts."""
         out = [(np.zeros(0, np.int64),) * 3]
-        for at, part in chunks(texts):
-            owner, h, *_ = term_hashes(part)
-            if not len(self.hashes):
-                continue
-            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[i] == h
-            key, n = np.unique((owner[hit] + at) * len(self.hashes) + i[hit], return_counts=True)
-            out.append((key // len(self.hashes), key % len(self.hashes), n))
+        for owner, h, n, _ in text_counts(texts, self.hashes) if len(self.hashes) else ():
+            i = np.searchsorted(self.hashes, h)
+            both = [(owner, self.plain[i], n), (owner[n > 1], self.second[i[n > 1]], n[n > 1])]
+            o, t, n = (np.concatenate(x) for x in zip(*both, strict=True))
+            o, t, n = o[t >= 0], t[t >= 0], n[t >= 0]
+            order = np.argsort(o, kind="stable")
+            out.append((o[order], t[order], n[order]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def choose_terms(texts: list[str], toxic: np.ndarray) -> Vocabulary:
-    """The terms with the highest log-likelihood ratio between the classes, by the number of texts they occur in."""
-    found, names = [], {}
-    for at, part in chunks(texts):
-        owner, h, b, e, raw = term_hashes(part)
-        key, one = np.unique(np.stack([owner.astype(np.uint64) + np.uint64(at), h]), axis=1, return_index=True)
-        found.append(key)
-        for i in one.tolist():
-            if (x := int(h[i])) not in names:
-                names[x] = raw[b[i] : e[i]].tobytes()
-    pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.uint64)
-    terms, back = np.unique(pairs[1], return_inverse=True)
-    bad = toxic[pairs[0].astype(np.int64)]
-    n1 = np.bincount(back, weights=bad, minlength=len(terms))
-    n = np.bincount(back, minlength=len(terms))
-    share = toxic.mean() if len(toxic) else 0.0
-    llr = np.zeros(len(terms))
-    for seen, part in ((n1, share), (n - n1, 1 - share)):
+    """The terms that mark toxic texts best, by the number of texts of each class they occur in."""
+    owners, hashes, numbers, names = [], [], [], {}
+    for owner, h, n, found in text_counts(texts):
+        owners.append(owner)
+        hashes.append(h)
+        numbers.append(n)
+        names.update(zip(h.tolist(), found, strict=True))
+    owner, h, n = (np.concatenate(x) for x in (owners, hashes, numbers))
+    terms, back = np.unique(h, return_inverse=True)
+    parts = []
+    for least in (1, 2):
+        some = n >= least
+        bad = np.bincount(back[some], weights=toxic[owner[some]], minlength=len(terms))
+        good = np.bincount(back[some], minlength=len(terms)) - bad
+        share = toxic.mean()
         with np.errstate(divide="ignore", invalid="ignore"):
-            llr += np.where(seen > 0, seen * np.log(seen / (n * part)), 0)
+            llr = sum(np.where(x > 0, x * np.log(x / ((bad + good) * p)), 0) for x, p in ((bad, share), (good, 1 - share)))
+        odds = ((bad + 0.5) / toxic.sum()) / ((good + 0.5) / (1 - toxic).sum())
+        parts.append(np.where((odds >= LEAST_ODDS) & (llr >= LEAST_LLR), llr, 0))
+    llr = np.concatenate(parts)
     best = np.argsort(-llr, kind="stable")[:TERMS]
-    best = best[(llr[best] >= LEAST_LLR) & (n[best] >= 3)]
-    return Vocabulary(terms[best], [names[int(t)].decode("utf-8", "replace") for t in terms[best]])
+    best = best[llr[best] > 0]
+    which = best % len(terms) if len(terms) else best
+    return Vocabulary(terms[which], best >= len(terms), [names[int(t)].decode("utf-8", "replace") for t in terms[which]])
 
 
 class BlockMaxIndex:
@@ -201,14 +226,14 @@ class BlockMaxIndex:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BlockMaxIndex | None:
-    """The index of at most `sample` labelled rows of each class outside fold 1, with frequencies counted over all docs."""
+    """The index of at most `sample` toxic and twice as many other labelled rows outside fold 1, with frequencies counted over all docs."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(fold(F.col("doc_id")) != 1, F.lit(False))).select("doc_id", "toxic")
     share = known.agg(F.avg("toxic")).first()[0]
     if not share or share == 1:
         return None
     order = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # bounded by 2 * sample
+    picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(2 * sample))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # bounded by 3 * sample
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
     texts, toxic = [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], float)
     if not 0 < toxic.sum() < len(toxic):
@@ -228,7 +253,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
-        total, df = 0, np.zeros(len(voc.hashes), np.int64)
+        total, df = 0, np.zeros(len(voc.names), np.int64)
         for batch in batches:
             total += batch.num_rows
             _, term, _ = voc.counts(batch["text"].to_pylist())
@@ -237,7 +262,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array([-1, *hit.tolist()], pa.int32()), pa.array([total, *df[hit].tolist()], pa.int64())], ["term", "n"])
 
     rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(len(vocabulary.hashes)), 0
+    df, total = np.zeros(len(vocabulary.names)), 0
     for r in rows:
         if r["term"] < 0:
             total = r["n"]
@@ -250,7 +275,7 @@ def score(docs: DataFrame, index: BlockMaxIndex | None, evidence: bool = True) -
     """Adds score, and as evidence the nearest example, its cosine and the text's terms, to all columns of docs."""
     spark = docs.sparkSession
     tune(spark)
-    shared = spark.sparkContext.broadcast(index)  # 2 * SAMPLE rows of TERMS weights at most
+    shared = spark.sparkContext.broadcast(index)  # 3 * SAMPLE rows of TERMS weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

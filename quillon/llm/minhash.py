@@ -2,7 +2,8 @@
 
 A document's shingle set is spread over BANDS * ROWS buckets. A bucket's register keeps the smallest hash in
 compressed form: its leading-zero count and the MANTISSA bits after them. Bands of ROWS registers are hashed
-into keys; documents that share a key are candidates. Of candidate documents, and of no others, the full sets
+into keys; documents that share a key are candidates. For the keys alone, an empty bucket borrows the register
+of another one, in an order fixed for each bucket, so that short documents' bands say as much as long ones'. Of candidate documents, and of no others, the full sets
 are built again; pairs are screened by the Jaccard similarity estimated from their registers, corrected for
 chance collisions of compressed values, and links are confirmed on the full sets.
 
@@ -23,13 +24,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, materialize, tune
+from quillon.llm.common import components, materialize, squeezed, tune
 from quillon.llm.words import mix, shingle_sets
 
 BANDS, ROWS = 42, 6
@@ -56,13 +59,33 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(hit, packed, EMPTY).astype(np.uint16).reshape(n, REGISTERS)
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each band (signed), and whether it holds any hash."""
+@lru_cache(1)
+def lenders() -> np.ndarray:
+    """For each bucket, the buckets it borrows from, in order."""
+    rng = np.random.default_rng(2017)
+    return np.stack([rng.permutation(REGISTERS) for _ in range(REGISTERS)], 1)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers with the empty ones borrowed, of rows that have any."""
+    out = regs.copy()
+    rows = np.flatnonzero((regs == EMPTY).any(1) & (regs != EMPTY).any(1))
+    for order in lenders():
+        if not len(rows):
+            break
+        lent = np.where(out[rows] == EMPTY, regs[rows][:, order], out[rows])
+        out[rows] = lent
+        rows = rows[(lent == EMPTY).any(1)]
+    return out
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Hash of each band of filled registers (signed)."""
     parts = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for r in range(ROWS):
         key = mix(key ^ (parts[:, :, r] + np.uint64(0x9E3779B97F4A7C15)))
-    return key.view(np.int64), (parts != EMPTY).any(2)
+    return key.view(np.int64)
 
 
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -155,13 +178,13 @@ def near_documents(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         for batch in batches:
             sets = shingle_sets([(t or "").encode() for t in batch["text"].to_pylist()], shingle)
             regs = registers(sets)
-            keys, filled = band_keys(regs)
+            keys = band_keys(filled(regs))
             # the set's name: two sums over its hashes and its size, as good as 128 random bits
             names = []
             for s in sets:
                 with np.errstate(over="ignore"):
                     names.append(f"{int(mix(s).sum()):016x}{int(mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum()):016x}{len(s):x}" if len(s) else None)
-            bands = [k[f] for k, f in zip(keys, filled, strict=True)]
+            bands = [k if len(s) else k[:0] for k, s in zip(keys, sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "name", "bands"])
 
     sketched = materialize(docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, name string, bands array<long>"), "sketches")
@@ -186,11 +209,12 @@ def _confirm(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int) -
     placed = clusters.join(sizes, "component")
     block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.select(F.col("id").alias("doc_id"), "component", block.alias("block"), "blocks")
-    texts = docs.select("doc_id", "text").join(placed, "doc_id").dropDuplicates(["doc_id"])
+    texts = squeezed(docs.select("doc_id", "text")).join(placed, "doc_id").dropDuplicates(["doc_id"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inflate = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            sets = shingle_sets([(t or "").encode() for t in batch["text"].to_pylist()], shingle)
+            sets = shingle_sets([inflate(t) for t in batch["text"].to_pylist()], shingle)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["component"], batch["block"], batch["blocks"], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "component", "block", "blocks", "shingles"])
 
     sets = texts.mapInArrow(build, "id long, component long, block int, blocks int, shingles binary")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, tune
+from quillon.llm.common import materialize, squeezed, tune
 from quillon.llm.words import mix, powers
 
 Q = 32
@@ -222,7 +222,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
 def _slices(docs: DataFrame, alone: DataFrame, length: int) -> DataFrame:
     """Adds the bytes of each content, cut from its document."""
     wanted = alone.groupBy("doc", "k").agg(F.collect_list(F.struct("key", "m", "n", "p", "windows", "ahead")).alias("wanted"))
-    texts = _squeezed(docs.select(*_doc_key(), "text"))
+    texts = squeezed(docs.select(*_doc_key(), "text"))
     joined = texts.join(wanted, ["doc", "k"]).dropDuplicates(["doc", "k"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,19 +238,6 @@ def _slices(docs: DataFrame, alone: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(cut, "key long, m long, n long, doc long, k long, p long, windows int, ahead int, slice binary")
 
 
-def _squeezed(rows: DataFrame) -> DataFrame:
-    """Compresses the column text, which then moves through shuffles at a third of its size."""
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deflate = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, "text", pa.array([deflate((t or "").encode()) for t in batch["text"].to_pylist()], pa.binary()))
-
-    fields = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(squeeze, fields)
-
-
 def _refine(slices: DataFrame, groups: int, length: int) -> DataFrame:
     """Ranges of repeated windows of contents that occur once, among all contents of their buckets."""
 
@@ -317,7 +304,7 @@ def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
     """All columns of docs, text compressed, with the arrays `starts` and `counts` of the repeated windows."""
     ranges = repeated_ranges(docs, length).groupBy("doc", "k").agg(F.collect_list("p").alias("_starts"), F.collect_list("windows").alias("_counts"))
     doc, k = _doc_key()
-    keyed = _squeezed(docs.select("*", doc.alias("_doc"), k.alias("_k")))
+    keyed = squeezed(docs.select("*", doc.alias("_doc"), k.alias("_k")))
     return keyed.join(ranges, (F.col("_doc") == F.col("doc")) & (F.col("_k") == F.col("k")), "left").drop("doc", "k", "_doc", "_k")
 
 

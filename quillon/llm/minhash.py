@@ -203,6 +203,12 @@ def near_documents(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The documents, columns as they are, without those that are near-duplicates of one with a smaller id. Rows without an id stay."""
+    gone = near_documents(docs, shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def _confirm(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Edges (a, b) of spanning forests of the confirmed links within each cluster."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

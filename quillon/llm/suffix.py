@@ -334,7 +334,7 @@ def removal_report(docs: DataFrame, length: int) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int) -> DataFrame:
-    """All columns of docs, with the repeated bytes cut out of text; characters that are cut into stay whole."""
+    """All columns of docs, with the repeated bytes cut out of text; characters that are cut into stay whole. Null texts stay null."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor().decompress
@@ -350,8 +350,11 @@ def without_repeats(docs: DataFrame, length: int) -> DataFrame:
                     kept.append(raw[at:a])
                     at = b
                 out.append(b"".join([*kept, raw[at:]]).decode())
-            batch = batch.drop_columns(["_starts", "_counts"])
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _with_ranges(docs, length).mapInArrow(cut, fields)
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(out, pa.string())], ["row", "text"])
+
+    names = docs.columns
+    others = [F.col(f"`{c}`") for c in names if c != "text"]
+    inner = docs.select(F.struct(*others, F.col("text").isNull().alias("_null")).alias("row"), "doc_id", "text")
+    kept = _with_ranges(inner, length).mapInArrow(cut, f"row {inner.schema['row'].dataType.simpleString()}, text string")
+    text = F.when(~F.col("row._null"), F.col("text"))
+    return kept.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names])

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, squeezed, tune
+from quillon.llm.common import materialize, partitions, squeezed, tune
 from quillon.llm.words import mix, powers
 
 Q = 32
@@ -36,7 +36,7 @@ LIMIT = 4000
 LEVELS = [48, 6, 1]
 #: Contents refined together in a task.
 GROUP = 1500
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 ROW = "key long, c1 long, c2 long, n int, doc long, k long, p long, windows int, ahead int"
 
 
@@ -206,7 +206,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     for level in [*LEVELS, 0]:
         total = slices.where(F.col("m") <= LIMIT).count()
         if total:
-            found.append(_refine(slices.where(F.col("m") <= LIMIT), max(1, -(-total // GROUP)), length))
+            found.append(_refine(slices.where(F.col("m") <= LIMIT), max(4 * partitions(docs.sparkSession), -(-total // GROUP)), length))
         hot = slices.where(F.col("m") > LIMIT)
         if not level or hot.isEmpty():
             break

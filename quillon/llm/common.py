@@ -71,6 +71,20 @@ def squeezed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(squeeze, fields)
 
 
+def hash_sample(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n rows, those of the smallest hash of the keys; of n or fewer rows, all.
+
+    The count comes first, and rows far above the hash that n rows reach are left out before sorting, so
+    that what tasks send to the driver is about n rows in all, however many tasks there are.
+    """
+    total = rows.count()
+    hashed = rows.withColumn("_h", F.xxhash64(*keys))
+    if total > 2 * n:
+        share = (n + 6 * n**0.5 + 20) / total
+        hashed = hashed.where(F.col("_h") < int(-(2**63) + share * 2**64))
+    return hashed.orderBy("_h", *keys).limit(n).drop("_h")
+
+
 def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> DataFrame:
     """Adds `rank`, a gapless number from 0 in the given order, without gathering rows in one task.
 

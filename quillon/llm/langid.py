@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import tune
+from quillon.llm.common import hash_sample, tune
 
 SAMPLE = 4000
 #: Characters of each sampled text, taken from its middle.
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteCnn | None:
     n = F.char_length("text")
     middle = F.greatest(F.lit(1), F.floor((n - EXCERPT) / 2).cast("int"))
     excerpt = F.substring("text", middle, F.lit(EXCERPT))
-    rows = known.select("lang", excerpt.alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "lang", "text").limit(sample).collect()
+    rows = hash_sample(known.select("lang", excerpt.alias("text"), "doc_id"), sample, "doc_id", "lang", "text").collect()
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return None

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import tune
+from quillon.llm.common import hash_sample, tune
 from quillon.llm.langid import fold
 from quillon.llm.words import mix, powers
 
@@ -231,8 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BlockMaxInd
     share = known.agg(F.avg("toxic")).first()[0]
     if not share or share == 1:
         return None
-    order = F.xxhash64("doc_id")
-    picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(2 * sample))
+    picked = hash_sample(known.where("toxic = 1"), sample, "doc_id").unionByName(hash_sample(known.where("toxic = 0"), 2 * sample, "doc_id"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # bounded by 3 * sample
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
     texts, toxic = [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], float)

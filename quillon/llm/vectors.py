@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, materialize, tune
+from quillon.llm.common import components, hash_sample, materialize, tune
 
 SAMPLE = 16_384
 SUBSPACES = 8
@@ -138,7 +138,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, margin: float = MA
 def _search(spark: SparkSession, classes: DataFrame, threshold: float, margin: float) -> DataFrame:
     """(id, n, other): the weight of the links of a class found in one block, or an edge of a block's forest."""
     total = classes.count()
-    sample = classes.select("id", "v").orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()["v"]
+    sample = hash_sample(classes.select("id", "v"), SAMPLE, "id").toPandas()["v"]
     if not total:
         return spark.createDataFrame([], "id long, n long, other long")
     dim = Counter(map(len, sample)).most_common(1)[0][0]

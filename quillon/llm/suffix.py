@@ -275,7 +275,8 @@ def _split(hot: DataFrame, level: int, length: int) -> DataFrame:
                 while at < windows:  # the window at `at` begins ahead - at bytes before the anchor
                     part = (ahead - at) // level
                     w = min(windows - at, ahead - at - part * level + 1)
-                    core = piece[ahead - part * level : ahead - part * level - level + 1 + length]
+                    near = ahead - part * level  # the bytes from here are in all windows of this part
+                    core = piece[near : max(near, near - level + 1 + length)]
                     keys.append(xxhash.xxh3_64_intdigest(core, seed=(key ^ part) & 0xFFFFFFFFFFFFFFFF))
                     spots.append((min(n, 2), doc, k, p + at, w, ahead - at))
                     pieces.append(piece[at : at + w + length - 1])

@@ -19,7 +19,6 @@ columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import hash_sample, tune
+from quillon.llm.common import hash_sample, materialize, tune
 from quillon.llm.langid import fold
 from quillon.llm.words import mix, powers
 
-SAMPLE = 2500
+SAMPLE = 2000
 PREFIXES = (4, 5, 6)
 TERMS = 1024
 LEAST_LLR = 10.0
@@ -113,31 +112,29 @@ class Vocabulary:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def choose_terms(texts: list[str], toxic: np.ndarray) -> Vocabulary:
-    """The terms that mark toxic texts best, by the number of texts of each class they occur in."""
-    owners, hashes, numbers, names = [], [], [], {}
-    for owner, h, n, found in text_counts(texts):
-        owners.append(owner)
-        hashes.append(h)
-        numbers.append(n)
-        names.update(zip(h.tolist(), found, strict=True))
-    owner, h, n = (np.concatenate(x) for x in (owners, hashes, numbers))
-    terms, back = np.unique(h, return_inverse=True)
-    parts = []
-    for least in (1, 2):
-        some = n >= least
-        bad = np.bincount(back[some], weights=toxic[owner[some]], minlength=len(terms))
-        good = np.bincount(back[some], minlength=len(terms)) - bad
-        share = toxic.mean()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            llr = sum(np.where(x > 0, x * np.log(x / ((bad + good) * p)), 0) for x, p in ((bad, share), (good, 1 - share)))
-        odds = ((bad + 0.5) / toxic.sum()) / ((good + 0.5) / (1 - toxic).sum())
-        parts.append(np.where((odds >= LEAST_ODDS) & (llr >= LEAST_LLR), llr, 0))
-    llr = np.concatenate(parts)
-    best = np.argsort(-llr, kind="stable")[:TERMS]
-    best = best[llr[best] > 0]
-    which = best % len(terms) if len(terms) else best
-    return Vocabulary(terms[which], best >= len(terms), [names[int(t)].decode("utf-8", "replace") for t in terms[which]])
+def choose_terms(sample: DataFrame) -> Vocabulary:
+    """The terms that mark toxic texts best among rows (text, toxic), by the number of texts of each class they occur in."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = np.asarray(batch["toxic"].to_pylist(), float)
+            for owner, h, n, names in text_counts(batch["text"].to_pylist()):
+                terms, one, back = np.unique(h, return_index=True, return_inverse=True)
+                sums = [np.bincount(back, weights=w * (n >= least), minlength=len(terms)) for least in (1, 2) for w in (toxic[owner], 1 - toxic[owner])]
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array([names[i] for i in one.tolist()], pa.binary()), *(pa.array(x) for x in sums)], ["term", "name", "bad1", "good1", "bad2", "good2"])
+
+    total = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
+    counted = sample.select("text", "toxic").mapInArrow(count, "term long, name binary, bad1 double, good1 double, bad2 double, good2 double")
+    counted = counted.groupBy("term").agg(F.min("name").alias("name"), *[F.sum(c).alias(c) for c in ("bad1", "good1", "bad2", "good2")])
+    forms = F.array(*[F.struct(F.lit(twice).alias("twice"), F.col(b).alias("bad"), F.col(g).alias("good")) for twice, b, g in ((False, "bad1", "good1"), (True, "bad2", "good2"))])
+    rows = counted.select("term", "name", F.explode(forms).alias("f")).select("term", "name", "f.*").where("bad + good > 0")
+    share = total["bad"] / (total["bad"] + total["good"])
+    part = lambda x, p: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / ((F.col("bad") + F.col("good")) * p))).otherwise(0.0)
+    odds = (F.col("bad") + 0.5) / total["bad"] / ((F.col("good") + 0.5) / total["good"])
+    rows = rows.withColumn("llr", part("bad", share) + part("good", 1 - share)).where((F.col("llr") >= LEAST_LLR) & (odds >= LEAST_ODDS))
+    best = rows.orderBy(F.desc("llr"), "term", "twice").limit(TERMS).collect()
+    hashes = np.array([r["term"] for r in best], np.int64).view(np.uint64)
+    return Vocabulary(hashes, np.array([r["twice"] for r in best], bool), [bytes(r["name"]).decode("utf-8", "replace") for r in best])
 
 
 class BlockMaxIndex:
@@ -146,11 +143,11 @@ class BlockMaxIndex:
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: list[int], toxic: np.ndarray, texts: list[str]):
         self.vocabulary, self.idf = vocabulary, idf
         owner, term, n = vocabulary.counts(texts)
-        dense = np.zeros((len(texts), len(idf)))
-        dense[owner, term] = self.weight(term, n)
-        norm = np.linalg.norm(dense, axis=1)
-        some = np.flatnonzero(norm > 0)
-        dense = dense[some] / norm[some, None]
+        some, row = np.unique(owner, return_inverse=True)  # examples without any term are no one's neighbours
+        dense = np.zeros((len(some), len(idf)))
+        dense[row, term] = self.weight(term, n)
+        norm = np.linalg.norm(dense, axis=1, keepdims=True)
+        dense /= np.where(norm > 0, norm, 1)
         order = np.argsort(dense.argmax(1), kind="stable")
         self.vectors = dense[order]
         self.ids, self.toxic = np.array(ids)[some][order], toxic[some][order]
@@ -232,12 +229,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BlockMaxInd
     if not share or share == 1:
         return None
     picked = hash_sample(known.where("toxic = 1"), sample, "doc_id").unionByName(hash_sample(known.where("toxic = 0"), 2 * sample, "doc_id"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # bounded by 3 * sample
+    sampled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 3 * sample ids at most
+    sampled = materialize(sampled, "toxicity-sample")
+    rows = sampled.collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
     texts, toxic = [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], float)
     if not 0 < toxic.sum() < len(toxic):
         return None
-    vocabulary = choose_terms(texts, toxic)
+    vocabulary = choose_terms(sampled)
     total, df = frequencies(docs, vocabulary)
     index = BlockMaxIndex(vocabulary, np.log((total + 1) / (df + 1)), [r["doc_id"] for r in rows], toxic, texts)
     index.calibrate(texts, toxic, share)

@@ -185,7 +185,9 @@ class WarcReader(DataSourceReader):
                 size += i.size
         return groups
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without archives
+            return
         system, _ = file_system(self.path)
         kinds = {"payload_bytes": pa.int64(), "headers": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
         schema = pa.schema([(c, kinds.get(c, pa.string())) for c in self.columns])

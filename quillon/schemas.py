@@ -26,7 +26,7 @@ gold_provisions array<string>, gold_table_rows array<string>,
 gold_amendment struct<type:string,prior_text:string,effective_date:string,footnote:string>, should_refuse boolean,
 source string, note string, status string"""
 EVAL_RECORDS = """id string, type string, question string, metrics map<string,double>,
-retrieved array<struct<chunk_id:string,provisions:array<string>>>, jina_tokens long, evidence_tokens long,
+retrieved array<struct<chunk_id:string,provisions:array<string>>>, embed_tokens long, evidence_tokens long,
 llm_tokens long, latency_s double, answer string, refused boolean, cited array<string>"""
 EMBEDDING_CACHE = "key string, model string, task string, dim int, vec array<float>"
 RERANK_CACHE = "key string, model string, result array<struct<index:int,score:double>>"

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes in one Arrow batch sent to a Python worker, and rows at most.
-ARROW_BYTES = 8 << 20
-ARROW_ROWS = 2000
+ARROW_BYTES = 4 << 20
+ARROW_ROWS = 1000
 
 
 def tune(spark: SparkSession) -> None:

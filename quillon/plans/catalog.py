@@ -479,3 +479,72 @@ def window_frames(spark, base):
 def json_props(spark, base):
     e = load(spark, base, "events")
     return e.groupBy("event_type").agg(F.count_distinct(F.get_json_object("props", "$.page")).alias("pages"), F.count(F.lit(1)).alias("n"), F.sum(F.length("props")).alias("chars"))
+
+
+# ---------------------------------------------------------------------- sources, structure, answers
+
+@query(r"""SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?[ ]?%?'), lambda x: trim(x)), lambda x: length(x) > 1)))::INT AS numbers FROM documents WHERE text IS NOT NULL""")
+def numbers_in_text(spark, base):
+    found = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?[ ]?%?"), F.lit(0)), lambda x: F.trim(x))
+    return load(spark, base, "documents").where("text is not null").select("doc_id", F.size(F.array_distinct(F.filter(found, lambda x: F.length(x) > 1))).alias("numbers"))
+
+
+@query("""SELECT doc_id, 'hash|passage|' || sha256(text) AS key FROM documents WHERE text IS NOT NULL""")
+def cache_keys(spark, base):
+    return load(spark, base, "documents").where("text is not null").select("doc_id", T.cache_key(F.lit("hash"), F.lit("passage"), F.col("text")).alias("key"))
+
+
+@query("""WITH c AS (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL), k AS (SELECT text FROM c WHERE text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL))
+SELECT count(*) AS texts, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT AS tokens FROM k""")
+def embedding_estimate(spark, base):
+    """What embedding the conversations would cost, with the documents' texts already cached."""
+    key = T.cache_key(F.lit("hash"), F.lit("passage"), F.col("text"))
+    cached = load(spark, base, "documents").where("text is not null").select(key.alias("key"))
+    return chunk.estimate(load(spark, base, "conversations").where("text is not null"), cached, key)
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'events', count(*) FROM events")
+def manifest_counts(spark, base):
+    parts = [load(spark, base, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("documents", "pages", "labels", "events")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"""WITH RECURSIVE {_TREE} SELECT id, string_agg(ancestor, ' · ' ORDER BY depth DESC) AS breadcrumb FROM closure GROUP BY id""")
+def breadcrumbs(spark, base):
+    tree = _tree(spark, base)
+    return hierarchy.breadcrumb(hierarchy.closure(tree), tree.select("id", F.col("id").alias("name")))
+
+
+@query("SELECT lang AS type, round(avg(CASE WHEN toxic = 0 THEN n_chars END), 4) AS clean, round(avg(CASE WHEN toxic = 1 THEN n_chars END), 4) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def version_comparison(spark, base):
+    rows = load(spark, base, "documents").join(load(spark, base, "labels"), "doc_id").withColumn("version", F.when(F.col("toxic") == 1, "toxic").otherwise("clean")).withColumn("type", F.col("lang"))
+    wide = rows.groupBy("type").pivot("version", ["clean", "toxic"]).agg(F.round(F.avg("n_chars"), 4))
+    return wide.select("type", "clean", "toxic")
+
+
+@query("""WITH p AS (SELECT a.n_chars AS lay, b.n_chars AS original FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT count(*) AS n, round(avg(lay), 4) AS lay, round(avg(original), 4) AS original, round(avg(lay - original), 4) AS gain FROM p""")
+def paired_summary(spark, base):
+    rows = load(spark, base, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") + 1).alias("pair_of"), "n_chars")
+    return evals.paired(rows, "n_chars").select("n", *[F.round(c, 4).alias(c) for c in ("lay", "original", "gain")])
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\b(rate|threshold|table)\b') THEN 'table' ELSE 'general' END AS route FROM conversations WHERE text IS NOT NULL""")
+def route_turns(spark, base):
+    """Turns by the router's patterns; the driver's prose names no provision and no defined term."""
+    from quillon.operators.answers import route
+
+    return load(spark, base, "conversations").where("text is not null").select("conv_id", "turn", route(F.col("text"), F.lit(False)).alias("route"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS step FROM lineitem) SELECT l_orderkey, count(*) FILTER (step > 1) AS breaks, count(*) AS n FROM s GROUP BY l_orderkey""")
+def serial_breaks(spark, base):
+    step = F.col("l_linenumber") - F.lag("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    return load(spark, base, "lineitem").select("l_orderkey", step.alias("step")).groupBy("l_orderkey").agg(F.count_if(F.col("step") > 1).alias("breaks"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), d AS (SELECT line, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE length(line) > 20 GROUP BY line)
+SELECT md5(line) AS line, n, docs FROM d WHERE docs > 1""")
+def repeated_lines(spark, base):
+    lines = load(spark, base, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") > 20)
+    per_doc = lines.groupBy("line", "doc_id").agg(F.count(F.lit(1)).alias("k"))  # one row per line and document before lines meet
+    return per_doc.groupBy("line").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs")).where("docs > 1").select(F.md5(F.col("line").cast("binary")).alias("line"), "n", "docs")

@@ -203,11 +203,14 @@ def ngram_leak(spark, base):
     return shared.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.min("gram").alias("first_gram"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT doc_id // 64 AS qid, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) AS rank, doc_id AS id, n_chars FROM documents),
+f AS (SELECT DISTINCT qid, 0::BIGINT AS rank, 0::BIGINT AS id, 0::BIGINT AS used, false AS taken FROM r
+UNION ALL SELECT r.qid, r.rank, r.id, CASE WHEN f.used + r.n_chars <= 20000 THEN f.used + r.n_chars ELSE f.used END, f.used + r.n_chars <= 20000 FROM f JOIN r ON r.qid = f.qid AND r.rank = f.rank + 1)
+SELECT qid, rank, id, used FROM f WHERE taken""")
 def budget_pack(spark, base):
-    """Each source's documents by id, packed into 100000 characters: what does not fit is skipped."""
-    rows = load(spark, base, "documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("id"), F.col("n_chars").alias("tokens"))
-    return rank.pack(rank.ranked(rows, [F.col("id")]), 100_000)
+    """Lists of up to 64 documents, each packed into 20000 characters: what does not fit is skipped."""
+    rows = load(spark, base, "documents").select(F.expr("doc_id div 64").alias("qid"), F.col("doc_id").alias("id"), F.col("n_chars").alias("tokens"))
+    return rank.pack(rank.ranked(rows, [F.col("id")]), 20_000)
 
 
 @query("""SELECT page_id, length(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) AS n,

@@ -193,7 +193,8 @@ def near_documents(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     reps = sketched.join(classes.select(F.col("rep").alias("doc_id"), "name"), ["doc_id", "name"], "left_semi").dropDuplicates(["doc_id", "name"])
     bands = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    candidates = bands.join(shared, "key").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    # a merge join at every size: its hot keys can be split, and its cost grows in proportion
+    candidates = bands.join(shared.hint("merge"), "key").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     clusters = materialize(components(candidates, "clusters"), "clusters")
     edges = _confirm(docs, clusters, shingle, percent)
     groups = components(edges, "near")
@@ -215,7 +216,7 @@ def _confirm(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int) -
     placed = clusters.join(sizes, "component")
     block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.select(F.col("id").alias("doc_id"), "component", block.alias("block"), "blocks")
-    texts = squeezed(docs.select("doc_id", "text")).join(placed, "doc_id").dropDuplicates(["doc_id"])
+    texts = squeezed(docs.select("doc_id", "text")).join(placed.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor().decompress

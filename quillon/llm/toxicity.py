@@ -148,7 +148,7 @@ class BlockMaxIndex:
         dense[row, term] = self.weight(term, n)
         norm = np.linalg.norm(dense, axis=1, keepdims=True)
         dense /= np.where(norm > 0, norm, 1)
-        order = np.argsort(dense.argmax(1), kind="stable")
+        order = np.argsort(dense.argmax(1), kind="stable") if len(some) else np.zeros(0, np.int64)
         self.vectors = dense[order]
         self.ids, self.toxic = np.array(ids)[some][order], toxic[some][order]
         self.cuts = np.arange(0, len(some), BLOCK)

@@ -133,6 +133,8 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and not any(r["doc_id"] % 4 == 0 for r in kept.where("doc_id < 900").collect())
     assert {r["score"] for r in toxicity.scored(docs, marks.where("toxic = 0")).collect()} == {0.0}
     assert toxicity.scored(docs.where("false"), marks).count() == 0
+    few = toxicity.scored(docs, marks.where("doc_id in (0, 1, 2, 3, 4, 5, 6, 7, 8)")).collect()  # too few for any term
+    assert len(few) == len(rows) + 3 and len({r["score"] for r in few}) == 1
 
 
 def test_block_max_search_is_exact():

@@ -1,20 +1,22 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their first letters (PREFIXES), so that inflected forms share terms, and each of these
-again where it comes twice or more in a text. On a bounded sample of labelled rows (SAMPLE toxic
-and twice as many others, a documented bound) the terms that mark toxic texts are chosen, by their log-likelihood ratio and by how much
-commoner they are there; their document frequencies are counted over all documents. The sampled rows are
-the examples of the index. Examples are dealt to blocks; for each term the index knows the largest weight in
-each block. A text visits blocks in descending order of the bound that these give, scores a block's examples
-exactly, and stops when no block can hold a nearer example than the NEIGHBOURS found: the result is exact.
+again where it comes twice or more in a text. The examples are a bounded sample of labelled rows (SAMPLE toxic
+and twice as many others, a documented bound); every term of theirs is in the index, whatever its class or
+frequency. A term weighs its inverse document frequency, counted over all documents, times the root of twice its
+log-likelihood ratio between the classes: terms as common in both add nothing to a cosine, none is left out.
+
+The terms of few examples are sparse postings and are added up exactly. For the others (COMMON), each block of
+examples knows each term's largest weight, and each example the length of its part; what these bounds let an example
+still reach decides whether it is scored in full. No example that could be among the NEIGHBOURS is passed over: the result is exact.
 
 The neighbours' votes, weighted by cosine, and a prior of fixed weight give the raw score; a logistic curve
 fitted to the examples' own leave-one-out scores, weighted back to the classes' true shares, calibrates it.
-Neighbours and shared terms are returned as evidence. Only the text goes into a score.
+Neighbours and the text's heaviest terms are returned as evidence. Only the text goes into a score.
 
-Defined cases: null text, empty text and text without any chosen term have no neighbour and get the
-calibrated prior; without labelled rows of both classes every score is 0; repeated rows are scored each;
-columns other than doc_id and text are ignored.
+Defined cases: null text, empty text and text that shares no term with an example have no neighbour and get the
+calibrated prior, as all texts do where there are fewer than NEIGHBOURS examples; without labelled rows of both
+classes every score is 0; repeated rows are scored each; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +36,9 @@ from quillon.llm.words import mix, powers
 
 SAMPLE = 2000
 PREFIXES = (4, 5, 6)
-TERMS = 1024
-LEAST_LLR = 10.0
-LEAST_ODDS = 20.0
 NEIGHBOURS = 15
+#: Terms of more than this share of the examples are common.
+COMMON = 1 / 8
 BLOCK = 64
 PRIOR_WEIGHT = 0.5
 THRESHOLD = 0.7
@@ -89,16 +92,21 @@ def text_counts(texts: list[str | None], among: np.ndarray | None = None) -> Ite
 
 
 class Vocabulary:
-    """Chosen terms. A term is a hash, plain or in its second form: two or more occurrences in a text."""
+    """Terms of the examples. A term is a hash, plain or in its second form: two or more occurrences in a text."""
 
-    def __init__(self, hashes: np.ndarray, twice: np.ndarray, names: list[str]):
-        self.names = [f"{n} (2+)" if t else n for n, t in zip(names, twice.tolist(), strict=True)]
+    def __init__(self, hashes: np.ndarray, twice: np.ndarray, names: list[str] | pa.Array):
+        self.twice, self.names = twice, pa.array(names)  # an array takes a fraction of a list's memory
         self.hashes = np.unique(hashes)
         self.plain, self.second = np.full(len(self.hashes), -1), np.full(len(self.hashes), -1)
         at = np.searchsorted(self.hashes, hashes)
         self.plain[at[~twice]] = np.flatnonzero(~twice)
         self.second[at[twice]] = np.flatnonzero(twice)
 
+    def name(self, term: int) -> str:
+        text = self.names[term].as_py()
+        text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
+        return f"{text} (2+)" if self.twice[term] else text
+
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, number of occurrences), in the order of texts."""
         out = [(np.zeros(0, np.int64),) * 3]
@@ -112,8 +120,8 @@ class Vocabulary:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def choose_terms(sample: DataFrame) -> Vocabulary:
-    """The terms that mark toxic texts best among rows (text, toxic), by the number of texts of each class they occur in."""
+def all_terms(sample: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """The terms of rows (text, toxic), and of each the root of twice its log-likelihood ratio, by the number of texts of each class with it and without."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,54 +133,92 @@ def choose_terms(sample: DataFrame) -> Vocabulary:
 
     total = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     counted = sample.select("text", "toxic").mapInArrow(count, "term long, name binary, bad1 double, good1 double, bad2 double, good2 double")
-    counted = counted.groupBy("term").agg(F.min("name").alias("name"), *[F.sum(c).alias(c) for c in ("bad1", "good1", "bad2", "good2")])
+    counted = counted.groupBy("term").agg(F.min("name").alias("name"), *[F.sum(c).cast("int").alias(c) for c in ("bad1", "good1", "bad2", "good2")])
     forms = F.array(*[F.struct(F.lit(twice).alias("twice"), F.col(b).alias("bad"), F.col(g).alias("good")) for twice, b, g in ((False, "bad1", "good1"), (True, "bad2", "good2"))])
-    rows = counted.select("term", "name", F.explode(forms).alias("f")).select("term", "name", "f.*").where("bad + good > 0")
+    rows = counted.select("term", "name", F.explode(forms).alias("f")).select("term", "name", "f.*").where("bad + good > 0").toArrow()
+    hashes, twice = (rows[c].to_numpy() for c in ("term", "twice"))
+    order = np.lexsort((twice, hashes))
+    bad, good = (rows[c].to_numpy()[order].astype(float) for c in ("bad", "good"))
     share = total["bad"] / (total["bad"] + total["good"])
-    part = lambda x, p: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / ((F.col("bad") + F.col("good")) * p))).otherwise(0.0)
-    odds = (F.col("bad") + 0.5) / total["bad"] / ((F.col("good") + 0.5) / total["good"])
-    rows = rows.withColumn("llr", part("bad", share) + part("good", 1 - share)).where((F.col("llr") >= LEAST_LLR) & (odds >= LEAST_ODDS))
-    best = rows.orderBy(F.desc("llr"), "term", "twice").limit(TERMS).collect()
-    hashes = np.array([r["term"] for r in best], np.int64).view(np.uint64)
-    return Vocabulary(hashes, np.array([r["twice"] for r in best], bool), [bytes(r["name"]).decode("utf-8", "replace") for r in best])
+    part = lambda x, e: x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9))
+    there, absent = bad + good, total["bad"] + total["good"] - bad - good
+    llr = part(bad, there * share) + part(good, there * (1 - share)) + part(total["bad"] - bad, absent * share) + part(total["good"] - good, absent * (1 - share))
+    names = rows["name"].combine_chunks().take(pa.array(order))
+    return Vocabulary(hashes[order].view(np.uint64), twice[order], names), np.sqrt(2 * np.maximum(llr, 0))
 
 
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors, sorted so that examples of like terms share blocks."""
-
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, ids: list[int], toxic: np.ndarray, texts: list[str]):
-        self.vocabulary, self.idf = vocabulary, idf
-        owner, term, n = vocabulary.counts(texts)
-        some, row = np.unique(owner, return_inverse=True)  # examples without any term are no one's neighbours
-        dense = np.zeros((len(some), len(idf)))
-        dense[row, term] = self.weight(term, n)
-        norm = np.linalg.norm(dense, axis=1, keepdims=True)
-        dense /= np.where(norm > 0, norm, 1)
-        order = np.argsort(dense.argmax(1), kind="stable") if len(some) else np.zeros(0, np.int64)
-        self.vectors = dense[order]
-        self.ids, self.toxic = np.array(ids)[some][order], toxic[some][order]
-        self.cuts = np.arange(0, len(some), BLOCK)
-        self.most = np.maximum.reduceat(self.vectors, self.cuts, 0) if len(some) else np.zeros((0, len(idf)))
+    """Examples as unit vectors, sorted so that examples of like terms share blocks: postings of rare terms, rows and block maxima of common ones."""
+
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, ids: list[int], toxic: np.ndarray, texts: list[str] | None = None, rows: list[tuple[np.ndarray, np.ndarray]] | None = None):
+        """weights: of each term; rows: (terms, numbers of occurrences) of each example, counted in texts if not given."""
+        self.vocabulary, self.weights = vocabulary, weights
+        if rows is None:
+            owner, term, n = vocabulary.counts(texts)
+            at = np.searchsorted(owner, np.arange(len(texts) + 1))
+            rows = [(term[a:b], n[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        norm = np.array([np.linalg.norm(self.weight(t, n)) for t, n in rows])
+        some = np.flatnonzero(norm > 0)  # examples without any weight are no one's neighbours
+        heaviest = [t[np.argmax(self.weight(t, n))] for t, n in (rows[k] for k in some)]
+        some = some[np.argsort(heaviest, kind="stable")]
+        self.ids, self.toxic = np.array(ids)[some], toxic[some]
+        df = np.zeros(len(weights), np.int64)
+        for k in some:
+            df[rows[k][0]] += 1
+        common = np.flatnonzero(df > len(some) * COMMON)
+        self.column = np.full(len(weights), -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(some), len(common)), np.float32)
+        df[common] = 0
+        self.at = np.concatenate([[0], np.cumsum(df)])
+        self.example = np.zeros(self.at[-1], np.min_scalar_type(len(some)))
+        self.value = np.zeros(self.at[-1], np.float32)
+        free = self.at[:-1].copy()
+        for x, k in enumerate(some):
+            t, n = rows[k]
+            w = self.weight(t, n) / norm[k]
+            c = self.column[t]
+            self.dense[x, c[c >= 0]] = w[c >= 0]
+            t, w = t[c < 0], w[c < 0]
+            self.example[free[t]], self.value[free[t]] = x, w
+            free[t] += 1
+        cuts = np.arange(0, len(some), BLOCK)
+        self.most = np.maximum.reduceat(self.dense, cuts, 0) if len(some) else self.dense
+        self.length = np.linalg.norm(self.dense, axis=1)
         self.share = 0.0
         self.curve = (1.0, 0.0)
 
+    @property
+    def vectors(self) -> np.ndarray:
+        """All examples' vectors, dense: for small indexes only."""
+        out = np.zeros((len(self.ids), len(self.weights)))
+        out[:, self.column >= 0] = self.dense
+        out[self.example, np.repeat(np.arange(len(self.weights)), np.diff(self.at))] = self.value
+        return out
+
     def weight(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (1 + np.log(n)) * self.idf[term]
+        return (1 + np.log(n)) * self.weights[term]
 
     def nearest(self, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples of a unit vector (terms and weights) and their cosines, exactly."""
-        bound = self.most[:, term] @ w
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(score) >= k and bound[b] <= score[k - 1]):
-                break
-            a = self.cuts[b]
-            s = self.vectors[a : a + BLOCK, term] @ w
-            best, score = np.concatenate([best, a + np.arange(len(s))]), np.concatenate([score, s])
-            top = np.lexsort((best, -score))[: k if len(score) > k else None]
-            best, score = best[top], score[top]
-        some = score > 0
-        return best[some][:k], score[some][:k]
+        column = self.column[term]
+        rare, often = column < 0, np.flatnonzero(column >= 0)
+        first, size = self.at[term[rare]], self.at[term[rare] + 1] - self.at[term[rare]]
+        posting = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.bincount(self.example[posting], weights=self.value[posting] * np.repeat(w[rare], size), minlength=len(self.ids))
+        full = np.zeros(self.dense.shape[1], np.float32)
+        full[column[often]] = w[often]
+        bound = score + np.minimum(np.repeat(self.most @ full, BLOCK)[: len(score)], self.length * np.linalg.norm(full))
+        exact = lambda x: score[x] + self.dense[x] @ full
+        best = np.arange(len(score))
+        if len(score) > 2 * k:
+            some = np.argpartition(-bound, 2 * k)[: 2 * k]
+            least = np.partition(exact(some), -k)[-k]
+            best = np.flatnonzero(bound >= least - 1e-5)  # single precision errs by less
+        cosine = exact(best)
+        top = np.lexsort((best, -cosine))[:k]
+        top = top[cosine[top] > 0]
+        return best[top], cosine[top]
 
     def raw(self, near: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine @ self.toxic[near] + PRIOR_WEIGHT * self.share) / (cosine.sum() + PRIOR_WEIGHT))
@@ -181,35 +227,34 @@ class BlockMaxIndex:
         a, b = self.curve
         return float(1 / (1 + np.exp(-(a * raw + b))))
 
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
-        """(score, neighbours, cosines, terms) of each text."""
+    def neighbours(self, texts: list[str | None], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(neighbours, cosines, terms from the heaviest on) of each text."""
         owner, term, n = self.vocabulary.counts(texts)
         at = np.searchsorted(owner, np.arange(len(texts) + 1))
-        nothing = np.zeros(0, np.int64)
-        empty = (self.calibrated(self.share), nothing, nothing, nothing)
         for a, b in zip(at[:-1], at[1:], strict=True):
-            if a == b or not len(self.ids):
-                yield empty
-                continue
             w = self.weight(term[a:b], n[a:b])
-            if not (norm := np.linalg.norm(w)):
-                yield empty
+            norm = np.linalg.norm(w)
+            if not norm or not len(self.ids):
+                yield (np.zeros(0, np.int64),) * 3
                 continue
-            near, cosine = self.nearest(term[a:b], w / norm, NEIGHBOURS)
-            yield self.calibrated(self.raw(near, cosine)), near, cosine, term[a:b]
+            yield *self.nearest(term[a:b], w / norm, k), term[a:b][np.argsort(-w, kind="stable")]
 
-    def calibrate(self, texts: list[str], toxic: np.ndarray, share: float) -> None:
-        """Fits the logistic curve to the examples' scores without themselves. share: of toxic rows among all labelled ones."""
-        self.share = share
-        owner, term, n = self.vocabulary.counts(texts)
-        at = np.searchsorted(owner, np.arange(len(texts) + 1))
-        x = np.full(len(texts), self.share)
-        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if a < b and (norm := np.linalg.norm(w := self.weight(term[a:b], n[a:b]))):
-                near, cosine = self.nearest(term[a:b], w / norm, NEIGHBOURS + 1)
-                own = cosine < 1 - 1e-9  # itself and its copies
-                x[k] = self.raw(near[own][:NEIGHBOURS], cosine[own][:NEIGHBOURS])
-        true = toxic.mean()
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """(score, neighbours, cosines, terms) of each text."""
+        for near, cosine, terms in self.neighbours(texts, NEIGHBOURS):
+            yield self.calibrated(self.raw(near, cosine)), near, cosine, terms
+
+    def left_out(self, texts: list[str | None]) -> list[float]:
+        """The raw score of each example without itself and its copies."""
+        out = []
+        for near, cosine, _ in self.neighbours(texts, NEIGHBOURS + 1):
+            other = cosine < 1 - 1e-6
+            out.append(self.raw(near[other][:NEIGHBOURS], cosine[other][:NEIGHBOURS]))
+        return out
+
+    def calibrate(self, x: np.ndarray, toxic: np.ndarray) -> None:
+        """Fits the logistic curve to the examples' scores without themselves."""
+        true, share = toxic.mean(), self.share
         weight = np.where(toxic == 1, share / true, (1 - share) / (1 - true))
         a, b = 4.0, -2.0
         for _ in range(50):  # Newton steps with a little weight decay
@@ -224,6 +269,8 @@ class BlockMaxIndex:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BlockMaxIndex | None:
     """The index of at most `sample` toxic and twice as many other labelled rows outside fold 1, with frequencies counted over all docs."""
+    spark = docs.sparkSession
+    tune(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & F.coalesce(fold(F.col("doc_id")) != 1, F.lit(False))).select("doc_id", "toxic")
     share = known.agg(F.avg("toxic")).first()[0]
     if not share or share == 1:
@@ -231,23 +278,57 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BlockMaxInd
     picked = hash_sample(known.where("toxic = 1"), sample, "doc_id").unionByName(hash_sample(known.where("toxic = 0"), 2 * sample, "doc_id"))
     sampled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 3 * sample ids at most
     sampled = materialize(sampled, "toxicity-sample")
-    rows = sampled.collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
-    texts, toxic = [r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows], float)
-    if not 0 < toxic.sum() < len(toxic):
+    if sampled.select("toxic").distinct().count() < 2:
         return None
-    vocabulary = choose_terms(sampled)
-    total, df = frequencies(docs, vocabulary)
-    index = BlockMaxIndex(vocabulary, np.log((total + 1) / (df + 1)), [r["doc_id"] for r in rows], toxic, texts)
-    index.calibrate(texts, toxic, share)
+    vocabulary, contrast = all_terms(sampled)
+    shared = spark.sparkContext.broadcast(vocabulary)  # terms of 3 * sample rows at most
+    total, df = frequencies(docs, shared)
+    ids, toxic, rows = example_counts(sampled, shared)
+    shared.unpersist()
+    if len(rows) < NEIGHBOURS:
+        rows = [(t[:0], n[:0]) for t, n in rows]
+    index = BlockMaxIndex(vocabulary, np.log((total + 1) / (df + 1)) * contrast, ids, toxic, rows=rows)
+    index.share = share
+    del rows
+    index.calibrate(*example_scores(sampled, index))
     return index
 
 
-def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
+def example_counts(sampled: DataFrame, shared: Broadcast) -> tuple[list[int], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(id, toxic, (terms, numbers of occurrences)) of the sampled rows, counted in tasks; no text comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deflate = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            owner, term, n = shared.value.counts(batch["text"].to_pylist())
+            at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            packed = [pa.array([deflate(x[a:b].astype(np.int32).tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for x in (term, n)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], *packed], ["doc_id", "toxic", "terms", "n"])
+
+    found = sampled.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(count, "doc_id long, toxic int, terms binary, n binary").toArrow()
+    found = found.sort_by([(c, "ascending") for c in ("doc_id", "toxic", "terms", "n")])
+    inflate = zstandard.ZstdDecompressor().decompress
+    rows = [tuple(np.frombuffer(inflate(x.as_py()), np.int32) for x in pair) for pair in zip(found["terms"], found["n"], strict=True)]
+    return found["doc_id"].to_pylist(), found["toxic"].to_numpy().astype(float), rows
+
+
+def example_scores(sampled: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray, np.ndarray]:
+    """(raw score without itself, toxic) of each sampled row, in ascending order."""
+    shared = sampled.sparkSession.sparkContext.broadcast(index)  # terms of 3 * sample rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(shared.value.left_out(batch["text"].to_pylist()), pa.float64())], ["toxic", "raw"])
+
+    found = sampled.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, raw double").toArrow()
+    shared.unpersist()
+    x, toxic = found["raw"].to_numpy(), found["toxic"].to_numpy().astype(float)
+    order = np.lexsort((toxic, x))
+    return x[order], toxic[order]
+
+
+def frequencies(docs: DataFrame, shared: Broadcast) -> tuple[int, np.ndarray]:
     """The number of all documents, and in how many of them each term occurs."""
-    spark = docs.sparkSession
-    tune(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)  # TERMS at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
@@ -257,34 +338,31 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarra
             _, term, _ = voc.counts(batch["text"].to_pylist())
             df += np.bincount(term, minlength=len(df))
         hit = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *hit.tolist()], pa.int32()), pa.array([total, *df[hit].tolist()], pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, hit), pa.int32()), pa.array(np.append(total, df[hit]))], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, total = np.zeros(len(vocabulary.names)), 0
-    for r in rows:
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return total, df
+    rows = docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
+    df = np.zeros(len(shared.value.names))
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
 
 
 def score(docs: DataFrame, index: BlockMaxIndex | None, evidence: bool = True) -> DataFrame:
     """Adds score, and as evidence the nearest example, its cosine and the text's terms, to all columns of docs."""
     spark = docs.sparkSession
     tune(spark)
-    shared = spark.sparkContext.broadcast(index)  # 3 * SAMPLE rows of TERMS weights at most
+    shared = spark.sparkContext.broadcast(index)  # terms of 3 * SAMPLE rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             scores, near, cosine, terms = [], [], [], []
             texts = batch["text"].to_pylist()
-            for s, n, c, t in known.texts(texts) if known else ((0.0, (), (), ()) for _ in texts):
+            for s, n, c, t in known.texts(texts) if known else ((0.0, (), (), np.zeros(0, np.int64)) for _ in texts):
                 scores.append(s)
                 near.append(int(known.ids[n[0]]) if len(n) else None)
                 cosine.append(float(c[0]) if len(c) else None)
-                terms.append([known.vocabulary.names[i] for i in t[:8]])
+                terms.append([known.vocabulary.name(i) for i in t[:8].tolist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(near, pa.int64()), pa.array(cosine, pa.float64()), pa.array(terms, pa.list_(pa.string()))], [*batch.schema.names, "score", "nearest", "nearest_cosine", "terms"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -151,3 +151,35 @@ def test_block_max_search_is_exact():
         near, cosine = index.nearest(terms, w, 15)
         every = index.vectors[:, terms] @ w
         assert np.allclose(cosine, np.sort(every)[::-1][: len(cosine)]) and np.allclose(every[near], cosine)
+
+
+def test_all_terms_of_the_examples_vote(spark):
+    rows, labels = toxic_rows(90)  # too few for any term to stand out
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    index = toxicity.fit(docs, marks)
+    used = [t for k, t in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(index.ids) == len(used) and 0 in index.toxic
+    assert {w for t in used for w in t.split()} <= {index.vocabulary.name(i) for i in range(len(index.weights))}
+    out = toxicity.scored(docs, marks).collect()
+    assert len({r["score"] for r in out}) > 1 and any(r["predicted"] for r in out if r["held_out"])
+
+
+def test_search_of_rare_and_common_terms_is_exact():
+    rng = np.random.default_rng(3)
+    names = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(100, 500)]
+    chance = 1 / np.arange(1, 401)
+    texts = [" ".join(rng.choice(names, int(rng.integers(5, 60)), p=chance / chance.sum())) for _ in range(900)]
+    _, h, *_ = toxicity.term_hashes([" ".join(names)])
+    h, at = np.unique(h, return_index=True)
+    voc = toxicity.Vocabulary(h, np.zeros(len(h), bool), ["t"] * len(h))
+    index = toxicity.BlockMaxIndex(voc, rng.uniform(0.1, 5, len(h)), list(range(900)), np.zeros(900), texts)
+    assert 0 < (index.column >= 0).sum() < len(h)
+    every = index.vectors
+    assert np.allclose(np.linalg.norm(every, axis=1), 1, atol=1e-5)
+    owner, term, n = voc.counts(texts[:50])
+    for k in range(50):
+        t = term[owner == k]
+        w = index.weight(t, n[owner == k])
+        w /= np.linalg.norm(w)
+        near, cosine = index.nearest(t, w, 15)
+        assert np.allclose(cosine, np.sort(every[:, t] @ w)[::-1][:15], atol=1e-5) and np.allclose(every[near][:, t] @ w, cosine, atol=1e-5)

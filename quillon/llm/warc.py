@@ -1,7 +1,8 @@
 """WARC files as a PySpark Python data source, to read and to write.
 
 Writing: each task writes files of at most about ROLL bytes under temporary names; the commit gives them
-their names, so that tasks that fail, repeat or are lost leave nothing behind. Each record is a gzip member
+their names, and readers pass over the others. A task that fails removes its files; one that is lost with its
+executor may leave files behind, which are never read. Each record is a gzip member
 of its own whose extra field holds the member's length.
 
 Reading: whole files are planned into partitions of about the split size. A record's headers are inflated and
@@ -178,7 +179,8 @@ class WarcReader(DataSourceReader):
         infos = sorted(system.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path)
         groups, size = [], self.split
         for i in infos:
-            if i.is_file and i.path.endswith(".warc.gz") and i.size:
+            # a leading dot: files of attempts that were not committed
+            if i.is_file and i.base_name.endswith(".warc.gz") and not i.base_name.startswith(".") and i.size:
                 if size + i.size > self.split:
                     groups, size = [*groups, Files([])], 0
                 groups[-1].paths.append(i.path)
@@ -225,21 +227,29 @@ class WarcWriter(DataSourceArrowWriter):
         system, root = file_system(self.path)
         names: list[str] = []
         out, size = None, 0
-        for batch in iterator:
-            cols = [batch[c].to_pylist() for c in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_bytes", "payload")]
-            for rid, kind, uri, digest, refers, n, payload in zip(*cols, strict=True):
-                fields = {"WARC-Type": kind, "WARC-Record-ID": rid, "WARC-Target-URI": uri, "WARC-Date": DATE, "WARC-Payload-Digest": digest and f"sha1:{digest}", "WARC-Refers-To": refers, "Content-Type": "application/http; msgtype=response"}
-                if kind == "revisit":
-                    fields["WARC-Profile"], payload = REVISIT_PROFILE, None
-                if out is None:
-                    names.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, size = system.open_output_stream(f"{root}/.{names[-1]}", compression=None), 0
-                size += out.write(one := member(record(fields, n, payload), self.level)) or len(one)
-                if size >= self.roll:
-                    out.close()
-                    out = None
-        if out is not None:
-            out.close()
+        try:
+            for batch in iterator:
+                cols = [batch[c].to_pylist() for c in ("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_bytes", "payload")]
+                for rid, kind, uri, digest, refers, n, payload in zip(*cols, strict=True):
+                    fields = {"WARC-Type": kind, "WARC-Record-ID": rid, "WARC-Target-URI": uri, "WARC-Date": DATE, "WARC-Payload-Digest": digest and f"sha1:{digest}", "WARC-Refers-To": refers, "Content-Type": "application/http; msgtype=response"}
+                    if kind == "revisit":
+                        fields["WARC-Profile"], payload = REVISIT_PROFILE, None
+                    if out is None:
+                        name = f"{uuid.uuid4().hex}.warc.gz"
+                        out, size = system.open_output_stream(f"{root}/.{name}", compression=None), 0
+                        names.append(name)
+                    size += out.write(one := member(record(fields, n, payload), self.level)) or len(one)
+                    if size >= self.roll:
+                        out.close()
+                        out = None
+            if out is not None:
+                out.close()
+        except BaseException:
+            if out is not None:
+                out.close()
+            for name in names:
+                system.delete_file(f"{root}/.{name}")
+            raise
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:

@@ -4,6 +4,7 @@ import gzip
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,29 @@ def test_predicates_and_other_writers(spark, tmp_path):
     assert len(left) == 1 and reader.tests == [("WARC-Type", frozenset(["x"]))]
 
 
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    spark.dataSource.register(warc.WarcDataSource)
+    pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(5)], "page_id long, url string, html string")
+    warc.write_pages(pages, str(tmp_path))
+    whole = next(tmp_path.glob("[!.]*.warc.gz")).read_bytes()
+    (tmp_path / ".0a.warc.gz").write_bytes(whole)
+    (tmp_path / ".0b.warc.gz").write_bytes(whole[:-9])
+    assert sorted(r["page_id"] for r in warc.page_records(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_a_failing_task_removes_its_files(tmp_path):
+    row = {"record_id": "r", "record_type": "response", "target_uri": "u", "payload_digest": None, "refers_to": None, "payload_bytes": 1, "payload": b"x"}
+
+    def batches():
+        yield pa.RecordBatch.from_pylist([row] * 3)
+        raise RuntimeError("stopped")
+
+    for roll in (1, 1 << 20):
+        with pytest.raises(RuntimeError):
+            warc.WarcWriter(str(tmp_path), 1, roll).write(batches())
+    assert not list(tmp_path.iterdir())
+
+
 def test_damaged_payload_is_found():
     record = warc.member(warc.record({"WARC-Type": "response", "WARC-Payload-Digest": "sha1:AAAA"}, 3, b"abc"), 1)
     with pytest.raises(ValueError):

@@ -34,7 +34,7 @@ from quillon.llm.common import hash_sample, materialize, tune
 from quillon.llm.langid import fold
 from quillon.llm.words import mix, powers
 
-SAMPLE = 2000
+SAMPLE = 2500
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 #: Terms of more than this share of the examples are common.

@@ -188,6 +188,17 @@ def test_all_terms_of_the_examples_vote(spark):
     assert len({r["score"] for r in out}) > 1 and any(r["predicted"] for r in out if r["held_out"])
 
 
+def test_examples_come_as_counts(spark):
+    assert toxicity.SAMPLE == 2500
+    docs, labels = (spark.createDataFrame(x, s) for x, s in zip(toxic_rows(60), ("doc_id long, text string", "doc_id long, quality int, toxic int"), strict=True))
+    sampled = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    vocabulary, contrast = toxicity.all_terms(sampled)
+    ids, toxic, rows = toxicity.example_counts(sampled, spark.sparkContext.broadcast(vocabulary))
+    assert ids == list(range(60)) and toxic.sum() == 15 and len(contrast) == len(vocabulary.names)
+    owner, term, n = vocabulary.counts([r["text"] for r in docs.orderBy("doc_id").collect()])
+    assert all((t == term[owner == k]).all() and (c == n[owner == k]).all() for k, (t, c) in enumerate(rows))
+
+
 def test_search_of_rare_and_common_terms_is_exact():
     rng = np.random.default_rng(3)
     names = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(100, 500)]

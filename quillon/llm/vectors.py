@@ -1,9 +1,8 @@
 """Near-duplicate vectors by product quantisation: inverted lists, residual codes, table lookups, exact rerank.
 
 A coarse quantiser and one codebook per subspace are fitted on a bounded sample (SAMPLE rows); every row is
-indexed. Rows of one label and list form a cell. A vector searches each list whose border lies within MARGIN
-of it (a near vector's list, unless the step to it leads straight across a farther border; a MARGIN of the
-search radius itself would leave no such case). In a cell, distances to codes come from lookup tables, and
+indexed. Rows of one label and list form a cell. A vector searches each list whose border lies within the search
+radius of it, so that each end of a link finds the other. In a cell, distances to codes come from lookup tables, and
 since each code's own error is known, no pair within the radius is passed over; what is left is decided by
 the exact cosine in double precision.
 
@@ -32,7 +31,6 @@ from quillon.llm.common import components, hash_sample, materialize, tune
 SAMPLE = 16_384
 SUBSPACES = 8
 CODEWORDS = 256
-MARGIN = 0.1
 MEMBER_BLOCK = 2048
 QUERY_BLOCK = 4096
 
@@ -113,8 +111,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[hang], nodes[root[hang]]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, margin: float = MARGIN) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row; links join rows of equal label and cosine of at least threshold."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, margin: float | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row; links join rows of equal label and cosine of at least threshold.
+
+    A margin below the search radius, its default, saves probes and misses links.
+    """
     spark = vectors.sparkSession
     tune(spark)
     fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("label").isNotNull()
@@ -135,8 +136,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, margin: float = MA
     return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _search(spark: SparkSession, classes: DataFrame, threshold: float, margin: float) -> DataFrame:
+def _search(spark: SparkSession, classes: DataFrame, threshold: float, margin: float | None) -> DataFrame:
     """(id, n, other): the weight of the links of a class found in one block, or an edge of a block's forest."""
+    radius = math.sqrt(2 - 2 * threshold) + 1e-6
+    margin = radius if margin is None else margin
     total = classes.count()
     sample = hash_sample(classes.select("id", "v"), SAMPLE, "id").toPandas()["v"]
     if not total:
@@ -168,7 +171,6 @@ def _search(spark: SparkSession, classes: DataFrame, threshold: float, margin: f
     no_code = [F.lit(None).cast(t).alias(n) for n, t in (("codes", "binary"), ("error", "double"))]
     left = members.join(blocks, ["label", "cell"]).select("id", "label", "cell", own("m_blocks").alias("mb"), every("q_blocks").alias("qb"), "weight", "v", "codes", "error")
     right = queries.join(blocks, ["label", "cell"]).select("id", "label", "cell", every("m_blocks").alias("mb"), own("q_blocks").alias("qb"), F.lit(None).cast("long").alias("weight"), "v", *no_code)
-    radius = math.sqrt(2 - 2 * threshold) + 1e-6
 
     def search(table: pa.Table) -> pa.Table:
         q = model.value

@@ -145,3 +145,14 @@ def test_repeated_windows():
     at = [s + i for s, w in zip(start, windows, strict=True) for i in range(w)]
     seen = Counter(raw[a : a + length] for a in at)
     assert suffix.repeated_windows(text, start, windows, length).tolist() == [seen[raw[a : a + length]] > 1 for a in at]
+
+
+def test_links_across_list_borders_count_at_both_ends(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 3)) @ rng.normal(size=(3, 16))
+    rows = spark.createDataFrame([(k, "a", v.tolist()) for k, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert links.sum() > 5000
+    out = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(rows, 0.98).collect()}
+    assert [out[k] for k in range(len(x))] == links.tolist()

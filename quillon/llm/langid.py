@@ -31,6 +31,8 @@ FILTERS = 16
 EPOCHS = 8
 BATCH = 64
 UNKNOWN = "und"
+#: Share of correctly classified held-out texts that may score below the level of rejection.
+DOUBTFUL = 0.01
 BLANK = 0x20
 
 
@@ -216,9 +218,24 @@ def identify(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, model: ByteCnn | None, least: float = 0.0) -> DataFrame:
-    """The documents, columns as they are, whose language is known with a score of at least `least`."""
+def least_scores(docs: DataFrame, model: ByteCnn | None, sample: int = SAMPLE) -> dict[str, float]:
+    """For each language the score that all but a share DOUBTFUL of its correctly classified held-out texts reach, on at most `sample` labelled documents of fold 1."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) == 1)).select("doc_id", "lang", "text")
+    if model is None:
+        return {}
+    picked = hash_sample(known.select("doc_id", "lang", F.xxhash64("text").alias("h")), sample, "doc_id", "lang", "h").select("doc_id").distinct()
+    rows = predict(known.join(F.broadcast(picked), "doc_id"), model).where("lang_pred = lang")  # `sample` ids at most
+    return {r["lang"]: r["least"] for r in rows.groupBy("lang").agg(F.expr(f"percentile(score, {DOUBTFUL})").alias("least")).collect()}
+
+
+def keep_known(docs: DataFrame, model: ByteCnn | None, least: float | dict[str, float] = 0.0) -> DataFrame:
+    """The documents, columns as they are, whose language is known with a score of at least `least`, one for all or for each; without a model, all that have a letter."""
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
-    kept = predict(inner, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    floor = F.lit(0.0 if isinstance(least, dict) else least)
+    for lang, score in least.items() if isinstance(least, dict) else ():
+        floor = F.when(F.col("lang_pred") == lang, score).otherwise(floor)
+    kept = predict(inner, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in names])

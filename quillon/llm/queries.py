@@ -24,7 +24,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.removal_report(table(spark, sf_dir, "documents"), 400)
+    return suffix.removal_report(table(spark, sf_dir, "documents"), 400, suffix.PASSAGE)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

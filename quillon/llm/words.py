@@ -67,6 +67,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), first
 
 
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word of a text, and the byte past its last."""
+    x = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff((x == 0x20) | ((x >= 0x09) & (x <= 0x0D)), prepend=True, append=True))
+    return edge[::2], edge[1::2]
+
+
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Each text's distinct shingles of `size` words as ascending hashes; with fewer words the whole sequence is one; without words none."""
     words, first = word_hashes(texts)

@@ -1,6 +1,7 @@
 """Near-duplicate vectors and documents, and repeated text, against brute force."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -156,3 +157,29 @@ def test_links_across_list_borders_count_at_both_ends(spark):
     assert links.sum() > 5000
     out = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(rows, 0.98).collect()}
     assert [out[k] for k in range(len(x))] == links.tolist()
+
+
+@pytest.mark.parametrize("limit", [4000, 1])
+def test_repeated_passages_of_words(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix, "LIMIT", limit)
+    rng = np.random.default_rng(16)
+    words = lambda n: [str(w) for w in rng.choice(["a", "bb", "été", "D,", "e.", "longer"], n)]
+    passage = words(30)
+    texts = [None, "", " \t\n", " ".join(words(11)), " ".join(passage), "x " * 40]
+    texts += ["  ".join(words(int(rng.integers(0, 20))) + passage[int(rng.integers(0, 10)) :] + words(int(rng.integers(0, 20)))) + "\n" for _ in range(25)]
+    texts.append(" ".join(passage).upper().replace("É", "é"))
+    n = 12
+    split = [[w.translate({c: c + 32 for c in range(65, 91)}) for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix.removal_report(df, 400, n).collect()}
+    kept = {r["doc_id"]: r["text"] for r in suffix.without_repeats(df, n, suffix.WORDS).collect()}
+    for k, w in enumerate(split):
+        cover = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                cover[i : i + n] = True
+        runs = int(np.diff(np.concatenate([[0], cover.astype(int)])).clip(0).sum())
+        assert (got[k]["n_passages"], got[k]["passage_words"], got[k]["n_removed"]) == (runs, int(cover.sum()), 0), k
+        left = [x for x, c in zip([x for x in re.split(r"[\x20\x09-\x0D]+", texts[k] or "") if x], cover, strict=True) if not c]
+        assert (kept[k] is None) == (texts[k] is None) and [x for x in re.split(r"[\x20\x09-\x0D]+", kept[k] or "") if x] == left, k

@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their first letters (PREFIXES), so that inflected forms share terms, and each of these
-again where it comes twice or more in a text. The examples are a bounded sample of labelled rows (SAMPLE toxic
+A term is a word's beginning (STEM bytes, whole characters), so that inflected forms share it, and the same again
+where it comes twice or more in a text. The examples are a bounded sample of labelled rows (SAMPLE toxic
 and twice as many others, a documented bound); every term of theirs is in the index, whatever its class or
 frequency. A term weighs its inverse document frequency, counted over all documents, times the root of twice its
 log-likelihood ratio between the classes: terms as common in both add nothing to a cosine, none is left out.
 
 The terms of few examples are sparse postings and are added up exactly. For the others (COMMON), each block of
-examples knows each term's largest weight, and each example the length of its part; what these bounds let an example
-still reach decides whether it is scored in full. No example that could be among the NEIGHBOURS is passed over: the result is exact.
+examples knows each term's largest weight, and its longest example's length over these terms. What these bounds let a
+block still reach decides for each text whether the block is scored; texts are scored together, block by block. No
+example that could be among the NEIGHBOURS is passed over: the result is exact. Of equal cosines the smaller id is nearer.
 
 The neighbours' votes, weighted by cosine, and a prior of fixed weight give the raw score; a logistic curve
 fitted to the examples' own leave-one-out scores, weighted back to the classes' true shares, calibrates it.
@@ -35,32 +36,38 @@ from quillon.llm.langid import fold
 from quillon.llm.words import mix, powers
 
 SAMPLE = 2500
-PREFIXES = (4, 5, 6)
+STEM = 5
 NEIGHBOURS = 15
 #: Terms of more than this share of the examples are common.
-COMMON = 1 / 8
+COMMON = 1 / 16
 BLOCK = 64
+#: Texts that are scored together.
+TEXTS = 64
+#: Single precision errs by less.
+SLACK = 1e-5
 PRIOR_WEIGHT = 0.5
 THRESHOLD = 0.7
 PIECE = 1 << 20
 
 
 def term_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, first byte, past the last, buffer) of every word and every prefix of a longer word."""
-    raw = np.frombuffer(" ".join(t.lower() if t else "" for t in texts).encode() + b" ", np.uint8)
-    sizes = np.array([len(t.lower().encode()) + 1 if t else 1 for t in texts])
+    """(text, hash, first byte, past the last, buffer) of every word's beginning."""
+    parts = [t.lower().encode() if t else b"" for t in texts]
+    raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     letter = (raw >= 0x80) | ((raw >= 0x61) & (raw <= 0x7A))
-    edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
-    begin, end = edge[::2], edge[1::2]
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if letter[0] else edge
+    begin, last = edge[::2], edge[1::2]
+    end = np.minimum(last, begin + STEM)
+    for _ in range(3):  # up to the end of a character
+        end = end + ((end < last) & (raw[end] & 0xC0 == 0x80))
     up, down = powers(1 << int(len(raw)).bit_length())
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        owner = np.searchsorted(np.cumsum(sizes), begin, "right")
-        parts = [(owner, begin, end, np.uint64(0))]
-        parts += [(owner[longer], begin[longer], begin[longer] + n, np.uint64(n)) for n in PREFIXES for longer in [end - begin > n]]
-        hashes = [mix((total[e] - total[b]) * down[b] + (e - b).astype(np.uint64) * np.uint64(131) + kind) for _, b, e, kind in parts]
-    return np.concatenate([p[0] for p in parts]), np.concatenate(hashes), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), raw
+        hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(131))
+    owner = np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])]))))
+    return owner, hashes, begin, end, raw
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -161,7 +168,7 @@ class BlockMaxIndex:
         some = np.flatnonzero(norm > 0)  # examples without any weight are no one's neighbours
         heaviest = [t[np.argmax(self.weight(t, n))] for t, n in (rows[k] for k in some)]
         some = some[np.argsort(heaviest, kind="stable")]
-        self.ids, self.toxic = np.array(ids)[some], toxic[some]
+        self.ids, self.toxic = np.array(ids, np.int64)[some], toxic[some]
         df = np.zeros(len(weights), np.int64)
         for k in some:
             df[rows[k][0]] += 1
@@ -182,9 +189,10 @@ class BlockMaxIndex:
             t, w = t[c < 0], w[c < 0]
             self.example[free[t]], self.value[free[t]] = x, w
             free[t] += 1
-        cuts = np.arange(0, len(some), BLOCK)
-        self.most = np.maximum.reduceat(self.dense, cuts, 0) if len(some) else self.dense
-        self.length = np.linalg.norm(self.dense, axis=1)
+        self.cuts = np.arange(0, len(some), BLOCK)
+        if len(some):
+            self.most = np.maximum.reduceat(self.dense, self.cuts, 0)
+            self.longest = np.maximum.reduceat(np.linalg.norm(self.dense, axis=1), self.cuts)
         self.share = 0.0
         self.curve = (1.0, 0.0)
 
@@ -199,26 +207,46 @@ class BlockMaxIndex:
     def weight(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (1 + np.log(n)) * self.weights[term]
 
-    def nearest(self, term: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of a unit vector (terms and weights) and their cosines, exactly."""
+    def nearest(self, owner: np.ndarray, term: np.ndarray, w: np.ndarray, texts: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k nearest examples of unit vectors and their cosines, exactly; the vectors are (text, term, weight) in the order of texts."""
+        n, width = self.dense.shape
         column = self.column[term]
-        rare, often = column < 0, np.flatnonzero(column >= 0)
-        first, size = self.at[term[rare]], self.at[term[rare] + 1] - self.at[term[rare]]
-        posting = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        score = np.bincount(self.example[posting], weights=self.value[posting] * np.repeat(w[rare], size), minlength=len(self.ids))
-        full = np.zeros(self.dense.shape[1], np.float32)
-        full[column[often]] = w[often]
-        bound = score + np.minimum(np.repeat(self.most @ full, BLOCK)[: len(score)], self.length * np.linalg.norm(full))
-        exact = lambda x: score[x] + self.dense[x] @ full
-        best = np.arange(len(score))
-        if len(score) > 2 * k:
-            some = np.argpartition(-bound, 2 * k)[: 2 * k]
-            least = np.partition(exact(some), -k)[-k]
-            best = np.flatnonzero(bound >= least - 1e-5)  # single precision errs by less
-        cosine = exact(best)
-        top = np.lexsort((best, -cosine))[:k]
-        top = top[cosine[top] > 0]
-        return best[top], cosine[top]
+        rare, full = np.zeros((texts, n)), np.zeros((texts, width), np.float32)
+        full[owner[column >= 0], column[column >= 0]] = w[column >= 0]
+        at = np.searchsorted(owner, np.arange(texts + 1))
+        for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            own = column[a:b] < 0
+            t, value = term[a:b][own], w[a:b][own]
+            first, size = self.at[t], self.at[t + 1] - self.at[t]
+            posting = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            rare[i] = np.bincount(self.example[posting], weights=self.value[posting] * np.repeat(value, size), minlength=n)
+        reach = np.minimum(full @ self.most.T, np.linalg.norm(full, axis=1)[:, None] * self.longest) + np.maximum.reduceat(rare, self.cuts, 1)
+        score, open_blocks, least = np.full((texts, n), -1.0, np.float32), np.ones(reach.shape, bool), np.full(texts, -1.0)
+
+        def scan(j: int, rows: np.ndarray) -> np.ndarray:
+            cut = slice(self.cuts[j], min(self.cuts[j] + BLOCK, n))
+            found = full[rows] @ self.dense[cut].T + rare[rows, cut]
+            score[rows, cut], open_blocks[rows, j] = found, False
+            return found
+
+        best = reach.argmax(1)
+        for j in np.unique(best).tolist():  # each text's best block first: what it finds is the least to reach
+            rows = np.flatnonzero(best == j)
+            found = scan(j, rows)
+            if found.shape[1] >= k:
+                least[rows] = np.partition(found, -k, axis=1)[:, -k]
+        for j in range(len(self.cuts)):
+            if len(rows := np.flatnonzero(open_blocks[:, j] & (reach[:, j] >= least - SLACK))):
+                scan(j, rows)
+        kth = np.partition(score, -k, axis=1)[:, -k] if n > k else np.full(texts, -1.0)
+        out = []
+        for i in range(texts):
+            near = np.flatnonzero(score[i] >= max(kth[i] - SLACK, 0))
+            cosine = rare[i, near] + (self.dense[near].astype(float) * full[i]).sum(1)
+            top = np.lexsort((self.ids[near], -cosine))[:k]
+            top = top[cosine[top] > 0]
+            out.append((near[top], cosine[top]))
+        return out
 
     def raw(self, near: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine @ self.toxic[near] + PRIOR_WEIGHT * self.share) / (cosine.sum() + PRIOR_WEIGHT))
@@ -230,14 +258,16 @@ class BlockMaxIndex:
     def neighbours(self, texts: list[str | None], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(neighbours, cosines, terms from the heaviest on) of each text."""
         owner, term, n = self.vocabulary.counts(texts)
+        w = self.weight(term, n)
+        norm = np.sqrt(np.bincount(owner, weights=w * w, minlength=len(texts)))
+        w = w / np.maximum(norm, 1e-300)[owner]
         at = np.searchsorted(owner, np.arange(len(texts) + 1))
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            w = self.weight(term[a:b], n[a:b])
-            norm = np.linalg.norm(w)
-            if not norm or not len(self.ids):
-                yield (np.zeros(0, np.int64),) * 3
-                continue
-            yield *self.nearest(term[a:b], w / norm, k), term[a:b][np.argsort(-w, kind="stable")]
+        for k0 in range(0, len(texts), TEXTS):
+            k1 = min(k0 + TEXTS, len(texts))
+            own = slice(at[k0], at[k1])
+            found = self.nearest(owner[own] - k0, term[own], w[own], k1 - k0, k) if len(self.ids) else [(np.zeros(0, np.int64),) * 2] * (k1 - k0)
+            for i, (near, cosine) in zip(range(k0, k1), found, strict=True):
+                yield near, cosine, term[at[i] : at[i + 1]][np.argsort(-w[at[i] : at[i + 1]], kind="stable")]
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """(score, neighbours, cosines, terms) of each text."""

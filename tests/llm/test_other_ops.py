@@ -1,7 +1,10 @@
 """WARC, sharding, language and toxicity: round trips, laws, held-out accuracy, exactness."""
 
 import gzip
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -163,18 +166,52 @@ def test_toxicity(spark):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(8)
-    names = [f"term{i}" for i in range(60)]
-    texts = [" ".join(rng.choice(names, int(rng.integers(1, 12)))) for _ in range(500)]
+    names = [f"{i:05d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(60)]
+    texts = [" ".join(rng.choice(names, int(rng.integers(1, 12)), p=(w := 1.0 / np.arange(1, 61)) / w.sum())) for _ in range(500)]
     owner, h, *_ = toxicity.term_hashes([" ".join(names)])
-    voc = toxicity.Vocabulary(h[: len(names)], np.zeros(len(names), bool), names)
+    voc = toxicity.Vocabulary(h, np.zeros(len(names), bool), names)
     index = toxicity.BlockMaxIndex(voc, rng.uniform(0.5, 3, len(names)), list(range(500)), np.zeros(500), texts)
-    for _ in range(40):
-        terms = np.sort(rng.choice(len(names), 5, replace=False))
-        w = rng.uniform(0.1, 1, 5)
-        w /= np.linalg.norm(w)
-        near, cosine = index.nearest(terms, w, 15)
-        every = index.vectors[:, terms] @ w
-        assert np.allclose(cosine, np.sort(every)[::-1][: len(cosine)]) and np.allclose(every[near], cosine)
+    assert 0 < index.dense.shape[1] < len(names)
+    w = rng.uniform(0.1, 1, (40, 5))
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    terms = np.stack([np.sort(rng.choice(len(names), 5, replace=False)) for _ in range(40)])
+    found = index.nearest(np.repeat(np.arange(40), 5), terms.ravel(), w.ravel(), 40, 15)
+    for t, v, (near, cosine) in zip(terms, w, found, strict=True):
+        every = index.vectors[:, t] @ v
+        assert np.allclose(cosine, np.sort(every)[::-1][: len(cosine)], atol=1e-6) and np.allclose(every[near], cosine, atol=1e-6)
+
+
+def test_neighbours_equal_an_independent_tf_idf(spark):
+    """Every word's first five letters, counted by the standard library alone; all examples are compared with all texts."""
+    rows, labels = toxic_rows(160)
+    known = {d: x for d, _, x in labels if zlib.crc32(str(d).encode()) % 3 != 1}
+
+    def terms(text):
+        n = Counter(w[:5] for w in re.findall("[a-z]+", text.lower()))
+        return dict(n) | {(t, 2): k for t, k in n.items() if k > 1}
+
+    counts = {d: terms(t) for d, t in rows}
+    df = Counter(t for c in counts.values() for t in c)
+    bad, good = (Counter(t for d, x in known.items() if x == c for t in counts[d]) for c in (1, 0))
+    n_bad, n = sum(known.values()), len(known)
+
+    def contrast(t):
+        table = [(bad[t], n_bad), (good[t], n - n_bad), (n_bad - bad[t], n_bad), (n - n_bad - good[t], n - n_bad)]
+        there = bad[t] + good[t]
+        return math.sqrt(max(0, 2 * sum(x * math.log(x * n / (size * (there if k < 2 else n - there))) for k, (x, size) in enumerate(table) if x)))
+
+    weight = {t: math.log((len(rows) + 1) / (df[t] + 1)) * contrast(t) for t in set(bad) | set(good)}
+    vector = lambda c: {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    examples = {d: vector(counts[d]) for d in known}
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, marks)).collect()
+    for r in out:
+        v = vector(counts[r["doc_id"]])
+        cosine = {d: sum(x * e.get(t, 0) for t, x in v.items()) / (length(v) * length(e)) for d, e in examples.items() if length(e)}
+        best = max(cosine.values())
+        assert abs(r["nearest_cosine"] - best) < 1e-5 and cosine[r["nearest"]] > best - 1e-5
+    assert len(out) == len(rows)
 
 
 def test_all_terms_of_the_examples_vote(spark):
@@ -183,7 +220,7 @@ def test_all_terms_of_the_examples_vote(spark):
     index = toxicity.fit(docs, marks)
     used = [t for k, t in rows if zlib.crc32(str(k).encode()) % 3 != 1]
     assert len(index.ids) == len(used) and 0 in index.toxic
-    assert {w for t in used for w in t.split()} <= {index.vocabulary.name(i) for i in range(len(index.weights))}
+    assert {w[: toxicity.STEM] for t in used for w in t.split()} <= {index.vocabulary.name(i) for i in range(len(index.weights))}
     out = toxicity.scored(docs, marks).collect()
     assert len({r["score"] for r in out}) > 1 and any(r["predicted"] for r in out if r["held_out"])
 
@@ -212,9 +249,8 @@ def test_search_of_rare_and_common_terms_is_exact():
     every = index.vectors
     assert np.allclose(np.linalg.norm(every, axis=1), 1, atol=1e-5)
     owner, term, n = voc.counts(texts[:50])
-    for k in range(50):
+    for k, (near, cosine, _) in enumerate(index.neighbours(texts[:50], 15)):
         t = term[owner == k]
         w = index.weight(t, n[owner == k])
         w /= np.linalg.norm(w)
-        near, cosine = index.nearest(t, w, 15)
         assert np.allclose(cosine, np.sort(every[:, t] @ w)[::-1][:15], atol=1e-5) and np.allclose(every[near][:, t] @ w, cosine, atol=1e-5)

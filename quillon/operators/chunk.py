@@ -46,23 +46,31 @@ def page_windows(pages: DataFrame, window: int = WINDOW, overlap: int = OVERLAP)
     return parts.select("doc_id", (F.col("k") * step).cast("long").alias("start"), F.size("x").alias("n_tokens"), F.array_join(F.transform("x", lambda p: p["w"]), " ").alias("text"), "page_start", "page_end")
 
 
-def coverage(chunks: DataFrame, probes: DataFrame, length: int = 60, least: int = 25, anchor: int = 5) -> DataFrame:
+def coverage(chunks: DataFrame, probes: DataFrame, length: int = 60, least: int = 25, anchor: int = 5, pages: bool = False) -> DataFrame:
     """(chunk, probe_id): chunks whose plain text contains the first `length` characters of a probe's.
 
-    A probe's first `anchor` words lead to the chunks that hold them, an equi-join; containment decides.
-    Probes shorter than `least` characters cover nothing; shorter than the anchor, they are compared by their words.
+    A probe's inner words, up to `anchor` of them before its last, lead to the chunks that hold them: an equi-join on
+    hashes without any text. Texts are fetched for what that leaves, and containment decides. The first and last word
+    may be parts of longer ones, so they aren't asked for; a probe without inner words is compared with every chunk.
+    Probes shorter than `least` characters cover nothing. With pages, chunks (page_start, page_end) and probes (page)
+    have to lie within one page of each other.
     """
-    wanted = probes.select("probe_id", F.rtrim(F.substring(plain(F.col("text")), 1, length)).alias("p")).where(F.length("p") >= least)
+    place = ["page"] if pages else []
+    wanted = probes.select("probe_id", *place, F.rtrim(F.substring(plain(F.col("text")), 1, length)).alias("p")).where(F.length("p") >= least)
     whole = F.filter(F.split("p", " "), lambda w: w != "")
-    keyed = wanted.withColumn("n", F.least(F.greatest(F.size(whole) - 1, F.lit(1)), F.lit(anchor))).withColumn("key", F.array_join(F.slice(whole, F.lit(1), F.col("n")), " "))
+    n = F.least(F.greatest(F.size(whole) - 2, F.lit(0)), F.lit(anchor))
+    keyed = wanted.withColumn("n", n).withColumn("key", F.xxhash64("n", F.array_join(F.slice(whole, F.greatest(F.size(whole) - n, F.lit(1)), n), " ")))
+    # as bounded as the anchor: which lengths probes ask for
+    lengths = [r["n"] for r in keyed.select("n").distinct().collect()]
     have = chunks.select("chunk", plain(F.col("text")).alias("c"))
-    runs = None
-    for n in range(1, anchor + 1):
-        part = have.select("chunk", "c", F.explode(F.array_distinct(n_grams(F.split("c", " "), n))).alias("key"), F.lit(n).alias("n"))
-        if n < anchor:  # only as far as short probes ask for it
-            part = part.join(F.broadcast(keyed.where(F.col("n") == n).select("n").limit(1)), "n", "left_semi")
-        runs = part if runs is None else runs.unionByName(part)
-    return keyed.join(runs, ["key", "n"]).where(F.contains("c", F.col("p"))).select("chunk", "probe_id").distinct()
+    keys = lambda n: F.transform(n_grams(F.split("c", " "), n), lambda g: F.xxhash64(F.lit(n), g)) if n else F.array(F.xxhash64(F.lit(0), F.lit("")))
+    runs = have.select("chunk", F.explode(F.array_distinct(F.flatten(F.array(*[keys(n) for n in lengths])))).alias("key")) if lengths else have.where("false").select("chunk", F.lit(0).cast("long").alias("key"))
+    pairs = runs.join(keyed.select("key", "probe_id"), "key").select("chunk", "probe_id").distinct()
+    texts = have if not pages else chunks.select("chunk", plain(F.col("text")).alias("c"), "page_start", "page_end")
+    found = pairs.join(wanted, "probe_id").join(texts, "chunk").where(F.contains("c", F.col("p")))
+    if pages:
+        found = found.where(F.col("page").between(F.col("page_start") - 1, F.col("page_end") + 1))
+    return found.select("chunk", "probe_id")
 
 
 def structural(nodes: DataFrame, tree: DataFrame, texts: DataFrame, most: int = MOST) -> DataFrame:
@@ -80,6 +88,52 @@ def structural(nodes: DataFrame, tree: DataFrame, texts: DataFrame, most: int =
     return sized.join(closed, "id", "left_anti").select("id", (~F.col("split")).alias("whole"), own.alias("tokens")).where("tokens > 0")
 
 
+def leads(nodes: DataFrame, tree: DataFrame, cut: DataFrame, longest: int = LEAD) -> DataFrame:
+    """(id, lead): the opening words of all split nodes above a chunk, from the top, each the first `longest` characters of its first line.
+
+    cut: of `structural`; nodes: (id, text, label). A clause cut off from the words that introduce it keeps them so.
+    """
+    split = cut.where("not whole").select(F.col("id").alias("ancestor"))
+    first = F.substring(F.substring_index(F.trim(F.concat_ws(" ", "label", "text")), "\n", 1), 1, longest)
+    above = tree.where("depth > 0").join(split, "ancestor").join(nodes.select(F.col("id").alias("ancestor"), first.alias("opening")), "ancestor")
+    parts = above.join(cut.select("id"), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "opening")), asc=False).alias("x"))
+    return parts.select("id", F.trim(F.array_join(F.transform("x", lambda v: v["opening"]), " ")).alias("lead"))
+
+
+def embed_text(breadcrumb: Column, lead: Column, cite: Column, text: Column) -> Column:
+    """What is embedded of a structural chunk: its breadcrumb, the words that lead to it, its citation, and its text."""
+    return F.concat_ws("\n", F.nullif(breadcrumb, F.lit("")), F.concat(F.nullif(lead, F.lit("")), F.lit(" ...")), F.concat(cite, F.lit(":")), text)
+
+
+def table_name(table_id: Column) -> Column:
+    """s393:tbl2 is Section 393, Table 2; the only table of a schedule has no number."""
+    owner, nth = F.regexp_extract(table_id, r"^(.*):tbl(\d+)$", 1), F.regexp_extract(table_id, r":tbl(\d+)$", 1)
+    section = F.regexp_extract(owner, r"^s(\d+)", 1)
+    base = F.when(section != "", F.concat(F.lit("Section "), section)).otherwise(F.concat(F.lit("Schedule "), F.split(owner, ":")[1]))
+    return F.concat(base, F.lit(", Table"), F.when((nth != "1") | (section == "393"), F.concat(F.lit(" "), nth)).otherwise(""))
+
+
+def build(version: str, corpus: dict[str, DataFrame]) -> DataFrame:
+    """(id, text) of a version's chunks: v0 windows over raw pages, v1 over clean pages, v2 the cut through the tree with rows and notes.
+
+    corpus: pages_raw, pages_clean (doc_id, page, text); nodes (id, parent, ord, text), table_rows, tables.
+    """
+    if version in ("v0", "v1"):
+        pages = page_windows(corpus["pages_raw" if version == "v0" else "pages_clean"])
+        return pages.select(F.concat_ws(":", F.lit(version), F.col("doc_id").cast("string"), F.col("start").cast("string")).alias("id"), "text")
+    if version != "v2":
+        raise ValueError(f"no chunker for {version}")
+    from quillon.operators.hierarchy import closure, subtree_text
+
+    nodes = corpus["nodes"]
+    tree = closure(nodes.select("id", "parent"))
+    below = subtree_text(tree, nodes)
+    cut = structural(nodes, tree, below)
+    own = cut.where("not whole").join(nodes, "id").select("id", "text")
+    parts = cut.where("whole").join(below, "id").select("id", "text").unionByName(own).unionByName(row_chunks(corpus["table_rows"]).select("id", "text")).unionByName(note_chunks(corpus["tables"]).select("id", "text"))
+    return split_oversize(parts.withColumn("id", F.concat(F.lit("v2:"), "id")))
+
+
 def split_oversize(chunks: DataFrame, most: int = SPLIT) -> DataFrame:
     """Chunks of more than `most` tokens in windows that run to the end, with @k after their id; others as they are."""
     sized = chunks.withColumn("_n", token_count(F.col("text")))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillon.functions.text import hash_bucket
 
 CUTS = (1, 5, 10)
+#: Of the percentiles that bracket a rank.
+ACCURACY = 1000
 
 
 def retrieval_metrics(gold: DataFrame, ranked: DataFrame, tree: DataFrame | None = None) -> DataFrame:
@@ -24,10 +26,29 @@ def retrieval_metrics(gold: DataFrame, ranked: DataFrame, tree: DataFrame | None
     return found.groupBy("qid").agg(*aggs, F.coalesce(1.0 / F.min("first"), F.lit(0.0)).alias("mrr"))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The value at rank round(p * (n - 1)), half to even, of the sorted non-null values."""
-    found = F.array_sort(F.collect_list(values))
-    return F.element_at(found, (F.lit(1) + F.expr(f"bround({p} * (count({values._jc.toString()}) - 1))")).cast("int"))
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column per share p): the value at rank round(p * (n - 1)), half to even, of a group's non-null values.
+
+    Approximate percentiles bracket each wanted rank first; the rows below a bracket are counted, and only those
+    within it are sorted. So no group is sorted or collected as a whole.
+    """
+    known = rows.select(*keys, F.col(value).alias("v")).where("v is not null")
+    error = 1 / ACCURACY
+    sides = [x for p in shares.values() for x in (max(0.0, p - 2 * error), min(1.0, p + 2 * error))]
+    bounds = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", sides, ACCURACY).alias("sides"))
+    out = bounds.select(*keys)
+    for i, (name, p) in enumerate(shares.items()):
+        lo, hi = F.element_at("sides", 2 * i + 1), F.element_at("sides", 2 * i + 2)
+        wide = 1 / (2 * ACCURACY)  # so small a group is taken whole
+        own = bounds.select(*keys, F.bround(F.lit(p) * (F.col("n") - 1)).alias("rank"), F.when(F.col("n") * wide > 1, lo).alias("lo"), F.when(F.col("n") * wide > 1, hi).alias("hi"))
+        joined = known.join(own, keys)
+        low = F.coalesce(F.col("v") < F.col("lo"), F.lit(False))
+        below = joined.groupBy(*keys).agg(F.count_if(low).alias("below"))
+        within = joined.where(~low & F.coalesce(F.col("v") <= F.col("hi"), F.lit(True)))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1
+        found = within.withColumn("place", place).join(below, keys).where(F.col("place") + F.col("below") == F.col("rank"))
+        out = out.join(found.select(*keys, F.col("v").alias(name)), keys, "left")
+    return out
 
 
 def by_type(records: DataFrame, metrics: list[str]) -> DataFrame:

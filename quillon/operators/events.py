@@ -10,22 +10,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_next(rows: DataFrame, key: str, order: Column, is_target: Column, value: Column, out: str) -> DataFrame:
-    """Adds to each row the value of the next target row of its key, strictly later in order; ties aren't later.
+def asof_next(rows: DataFrame, key: str | list[str], order: Column, is_target: Column, value: Column, out: str) -> DataFrame:
+    """Adds to each row the value of the next target row of its key, strictly later in order; ties aren't later, and of equal later targets any one counts.
 
-    One sort by key instead of a range join: a window that starts after all rows of equal order.
+    One sort by key instead of a range join. Rows are read from the last one back, and a frame that only grows
+    keeps the last target seen: the work grows with the rows of a key, not with their square.
     """
-    later = Window.partitionBy(key).orderBy(order).rangeBetween(1, Window.unboundedFollowing)
-    return rows.withColumn(out, F.first(F.when(is_target, value), ignorenulls=True).over(later))
+    keys = [key] if isinstance(key, str) else key
+    back = Window.partitionBy(*keys).orderBy(F.desc("_at"))
+    seen = F.last(F.when(is_target, F.struct(value.alias("v"))), ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_at", order).withColumn(out, seen["v"]).drop("_at")
 
 
-def nearest(rows: DataFrame, key: str, place: str, is_target: Column, value: str, most: float | None = None) -> DataFrame:
-    """Adds the value and distance of the nearest target row of the key by place; of equal distances the earlier one."""
-    up = Window.partitionBy(key).orderBy(place)
+def nearest(rows: DataFrame, key: str | list[str], place: str, is_target: Column, value: str, most: float | None = None) -> DataFrame:
+    """Adds the value and distance of the nearest target row of the key by place; of equal distances the earlier one.
+
+    Two sorts of a key's rows, each with a frame that only grows.
+    """
+    keys = [key] if isinstance(key, str) else key
     target = F.when(is_target, F.struct(F.col(place).alias("at"), F.col(value).alias("v")))
-    before = F.last(target, ignorenulls=True).over(up.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(target, ignorenulls=True).over(up.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    out = rows.withColumn("_b", before).withColumn("_a", after)
+    so_far = lambda order: F.last(target, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    out = rows.withColumn("_b", so_far(F.asc(place))).withColumn("_a", so_far(F.desc(place)))
     gap_b, gap_a = F.col(place) - F.col("_b.at"), F.col("_a.at") - F.col(place)
     first = F.col("_b").isNotNull() & (F.col("_a").isNull() | (gap_b <= gap_a))
     out = out.withColumn("near", F.when(first, F.col("_b.v")).otherwise(F.col("_a.v"))).withColumn("gap", F.when(first, gap_b).otherwise(gap_a)).drop("_a", "_b")

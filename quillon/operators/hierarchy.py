@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import ancestors
+from quillon.scratch import materialize
 
 
 def id_closure(ids: DataFrame, col: str = "pid") -> DataFrame:
@@ -13,19 +14,27 @@ def id_closure(ids: DataFrame, col: str = "pid") -> DataFrame:
     return ids.select(F.col(col).alias("pid"), F.posexplode(ancestors(F.col(col))).alias("depth", "ancestor")).select("pid", "ancestor", "depth")
 
 
-def closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, ancestor, depth) of an adjacency list (id, parent): paths double their length in each step."""
+def closure(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) of an adjacency list (id, parent), of any depth: paths double their length in each step.
+
+    Each step joins only the paths of full length with all paths known, and writes what is new to the shared
+    folder, so that plans stay small. A cycle raises.
+    """
     known = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    reach = nodes.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    edges = nodes.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    reach = newest = materialize(edges, "closure")
     span = 1
-    while span < max_depth:
+    while True:
         step = reach.select(F.col("id").alias("mid"), F.col("ancestor").alias("top"), F.col("depth").alias("more"))
-        longer = reach.where(F.col("depth") == span).join(step, F.col("ancestor") == F.col("mid")).select("id", F.col("top").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        if longer.isEmpty():
-            break
-        reach = reach.unionByName(longer)
+        full = newest.where(F.col("depth") == span)
+        longer = full.join(step, F.col("ancestor") == F.col("mid")).select("id", F.col("top").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        newest = materialize(longer, "closure")
+        if newest.isEmpty():
+            return known.unionByName(reach)
+        if not newest.where("id = ancestor").isEmpty():
+            raise ValueError("the nodes' parents form a cycle")
+        reach = reach.unionByName(newest)
         span *= 2
-    return known.unionByName(reach)
 
 
 def subtree(tree: DataFrame, roots: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import query_terms
@@ -27,8 +27,8 @@ def with_unit(df: DataFrame, vector: str, out: str) -> DataFrame:
     return df.withColumn("_n", length).withColumn(out, F.when(F.col("_n") > 0, F.transform(vector, lambda x: x.cast("double") / F.col("_n")))).drop("_n")
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None) -> DataFrame:
-    """Exact nearest neighbours by cosine: (qid, rank, id, score) for queries (qid, vector) against corpus (id, vector).
+def knn(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None, per: str | None = None) -> DataFrame:
+    """Exact nearest neighbours by cosine: (qid, rank, id, score) for queries (qid, vector) against corpus (id, vector); with `per`, k for each value of that column of the corpus.
 
     same: a column both sides share, whose values must be equal; it makes the search an equi-join. Otherwise
     the stated query set is searched against all rows in blocks of QUERY_BLOCK, each small enough to broadcast.
@@ -41,14 +41,45 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None)
     out = None
     for b in range(max(blocks, 1)):
         block = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else q
-        part = _best(c.crossJoin(F.broadcast(block)), k)  # at most about QUERY_BLOCK rows
+        part = _best(c.crossJoin(F.broadcast(block.select("qid", "qu"))), k, per)  # at most about QUERY_BLOCK rows
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    scored = pairs.select("qid", "id", F.round(dot(F.col("qu"), F.col("cu")), 9).alias("score"))
-    return ranked(scored, [F.desc("score"), F.col("id")], k).select("qid", "rank", "id", "score")
+def _best(pairs: DataFrame, k: int, per: str | None = None) -> DataFrame:
+    more = [per] if per else []
+    scored = pairs.select("qid", *more, "id", F.round(dot(F.col("qu"), F.col("cu")), 9).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid", *more).orderBy(F.desc("score"), F.col("id")))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", *more, "rank", "id", "score")
+
+
+def dense_text(questions: DataFrame, corpus: DataFrame, k: int, embed) -> DataFrame:
+    """Nearest neighbours of questions (qid, text), with an embedder: a function that adds `vector` to rows (id, text)."""
+    asked = embed(questions.select(F.col("qid").alias("id"), "text")).select(F.col("id").alias("qid"), "vector")
+    return knn(asked, corpus, k)
+
+
+def retrieve(mode: str, questions: DataFrame, corpus: DataFrame, k: int, pools: dict[str, DataFrame], weights: dict[str, float], lines: DataFrame | None = None, expansion=None, pool: int = POOL) -> DataFrame:
+    """Hits (qid, rank, id, text, provisions, tokens, score) in a mode: `dense` or `hybrid`; with lines, endnotes are attached.
+
+    questions: (qid, vector); corpus: (id, vector, text, provisions, tokens); pools: further ranked lists of the
+    hybrid mode by retriever; lines: (provision_id, lines) of endnotes in the wanted style.
+    """
+    from quillon.operators.amend import attach
+
+    if mode == "dense":
+        hits = knn(questions, corpus.select("id", "vector"), k)
+    elif mode == "hybrid":
+        hits = hybrid({"dense": knn(questions, corpus.select("id", "vector"), pool)} | pools, weights, k, expansion, pool)
+    else:
+        raise ValueError(f"unknown retrieval mode: {mode}")
+    full = hits.join(corpus.select("id", "text", "provisions", "tokens"), "id").withColumn("score", F.bround("score", 4))
+    return attach(full, lines) if lines is not None else full
+
+
+def fits(hits: DataFrame, budget: int) -> DataFrame:
+    """(qid, tokens, fits): whether a query's hits (qid, tokens) fit the evidence budget together."""
+    return hits.groupBy("qid").agg(F.sum("tokens").alias("tokens")).withColumn("fits", F.col("tokens") <= budget)
 
 
 def postings(texts: DataFrame) -> DataFrame:

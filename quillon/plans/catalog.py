@@ -60,11 +60,8 @@ def knn_filtered_by_label(spark, base):
 SELECT qid, label, rank, id, round(score, 6) AS score FROM r WHERE rank <= 2""")
 def knn_per_label(spark, base):
     """The two nearest of each label: definition hits take two chunks of each provision."""
-    q = retrieve.with_unit(asked(spark, base).select("qid", "vector"), "vector", "qu").drop("vector")
-    c = retrieve.with_unit(vectors(spark, base), "vector", "cu").drop("vector")
-    pairs = c.crossJoin(F.broadcast(q)).select("qid", "label", "id", F.round(retrieve.dot(F.col("qu"), F.col("cu")), 9).alias("score"))
-    w = Window.partitionBy("qid", "label").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 2").withColumn("score", F.round("score", 6))
+    found = retrieve.knn(asked(spark, base).select("qid", "vector"), vectors(spark, base), 2, per="label")
+    return found.withColumn("score", F.round("score", 6))
 
 
 def _dense(spark, base, k=30):
@@ -102,7 +99,7 @@ slots AS (SELECT * FROM fresh WHERE rank <= 2), rest AS (SELECT d.qid, d.id, 2 A
 u AS (SELECT * FROM head UNION ALL SELECT * FROM slots UNION ALL SELECT * FROM rest), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY band, rank, id) AS rank, id, band FROM u)
 SELECT qid, rank, id, band FROM r WHERE rank <= 10""")
 def slot_merge(spark, base):
-    return rank.slot_merge(_dense(spark, base), _by_label(spark, base, 1 << 30), 3, 2, 10)
+    return rank.slot_merge(_dense(spark, base), _by_label(spark, base, 3 + 2), 3, 2, 10)
 
 
 _TERMS = """terms AS (SELECT item_id AS qid, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: regexp_full_match(x, '[0-9]+') OR (length(x) >= 3 AND NOT list_contains([{stop}], x))))) AS term FROM benchmark)""".format(stop=", ".join(f"'{w}'" for w in T.QUERY_STOP_WORDS))
@@ -362,12 +359,8 @@ def token_f1(spark, base):
 
 @query("""SELECT event_type, list_sort(list(value))[1 + round_even(0.5 * (count(value) - 1), 0)::INT] AS p50, list_sort(list(value))[1 + round_even(0.95 * (count(value) - 1), 0)::INT] AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def percentile_nearest_rank(spark, base):
-    """The value at the rounded rank: rows are numbered in their type, and the two wanted ones are kept."""
-    e = load(spark, base, "events").where("value is not null")
-    w = Window.partitionBy("event_type")
-    rows = e.select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("r") == F.bround(F.lit(p) * (F.col("n") - 1)), F.col("value")))
-    return rows.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """The value at the rounded rank of each type."""
+    return evals.nearest_rank(load(spark, base, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("""SELECT l.toxic::VARCHAR AS type, count(*) AS n, round(avg(n_chars), 4) AS n_chars, round(avg(quality), 4) AS quality FROM documents JOIN labels l USING (doc_id) GROUP BY ROLLUP (l.toxic)""")

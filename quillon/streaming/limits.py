@@ -12,20 +12,36 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillon.operators.events import SlidingLimit
 
 
-def limited_stream(asks: DataFrame, limit: int, window: float = 3600.0) -> DataFrame:
-    """Asks (client, at in seconds, id) with admitted and retry_after; state is the times admitted within the window."""
+def limited_stream(asks: DataFrame, limit: int, window: float = 3600.0, tokens: float | None = None, lenient: bool = False) -> DataFrame:
+    """Asks (client, at in seconds, id, cost) with admitted and retry_after; state is what was admitted within the window.
+
+    With `tokens`, the costs admitted in a window are bounded too; lenient: an empty window admits a call of any cost.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rule = SlidingLimit(limit, window)
-        rule.admitted.extend((t, 0.0) for t in (state.get[0] if state.exists else []))
+        rule = SlidingLimit(limit, window, tokens, lenient)
+        for t, cost in zip(*state.get, strict=True) if state.exists else ():
+            rule.admitted.append((t, cost))
+            rule.used += cost
         rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        waits = [rule.ask(at) for at in rows["at"]]
-        state.update(([t for t, _ in rule.admitted],))
+        waits = [rule.ask(at, cost) for at, cost in zip(rows["at"], rows["cost"], strict=True)]
+        state.update(([t for t, _ in rule.admitted], [c for _, c in rule.admitted]))
         yield rows.assign(client=key[0], admitted=[w == 0 for w in waits], retry_after=waits)[["client", "at", "id", "admitted", "retry_after"]]
 
-    kinds = dict(asks.dtypes)
+    rows = asks if "cost" in asks.columns else asks.withColumn("cost", F.lit(0.0))
+    kinds = dict(rows.dtypes)
     out = f"client {kinds['client']}, at double, id {kinds['id']}, admitted boolean, retry_after double"
-    return asks.groupBy("client").applyInPandasWithState(step, out, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("client").applyInPandasWithState(step, out, "times array<double>, costs array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_events(steps: DataFrame, path: str, checkpoint: str):
+    """Starts a query that writes each micro-batch of progress events (qid, n, node, detail) as server-sent event text, batch by batch."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        line = F.concat(F.lit("event: "), "node", F.lit("\ndata: "), "detail", F.lit("\n"))
+        batch.select(line.alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
+
+    return steps.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, size: str, slide: str | None, late: str, *keys: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from quillon.plans import corpus  # noqa: F401  registers its queries
 from quillon.plans.catalog import ORACLES, QUERIES
 
 BASE = "/root/testdata/sf0.001"

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillon.operators import amend, answers, chunk, events, hierarchy, structure
+from quillon.operators import amend, answers, chunk, events, hierarchy, references, structure
 
 
 def test_notes_and_links(spark):
@@ -15,17 +15,38 @@ def test_notes_and_links(spark):
     assert [r["node"] for r in open_markers.collect()] == ["s9"]
 
 
-def test_section_refs_and_resolution(spark):
-    ids = ["s515", "s515(3)", "s515(3)(b)", "s70", "s70(1)", "s70(1)(zd)", "s2", "s2(1)", "s263", "s263(1)", "s263(4)"]
-    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
-    tree = hierarchy.id_closure(nodes, "id")
-    texts = spark.createDataFrame([("s2(1)", "assigned in section 515(3)(b); sections 263(1) or (4), and section 70(zd); section 999(1) of the Companies Act, 2013")], "id string, text string")
-    refs = structure.section_refs(texts)
-    got = {(r["section"], tuple(r["labels"])): r["external"] for r in refs.collect()}
-    assert got[("515", ("(3)", "(b)"))] is False and ("263", ("(4)",)) in got and got[("999", ("(1)",))] is True
-    keyed = refs.where("not external").withColumn("ref_key", F.concat_ws(":", "pos", "nth")).withColumn("base", F.concat(F.lit("s"), "section"))
-    out = {(r["base"], r["to_id"], r["resolution"]) for r in structure.resolve(keyed, nodes, tree).collect()}
-    assert ("s515", "s515(3)(b)", "exact") in out and ("s70", "s70(1)(zd)", "inferred") in out and ("s263", "s263(4)", "exact") in out
+def kinds(text):
+    return [(r["kind"], r["base"], "".join(r["labels"]), r["target"], tuple(r["rows"]), r["external"]) for r in references.Reader(text).read()]
+
+
+def test_reading_references():
+    assert kinds("assigned in section 515(3)(b); sections 263(1) or (4), and section 70(zd)") == [
+        ("section", "s515", "(3)(b)", None, (), False), ("section", "s263", "(1)", None, (), False), ("section", "s263", "(4)", None, (), False), ("section", "s70", "(zd)", None, (), False),
+    ]
+    assert [k[2] for k in kinds("section 9(2)(a) and (b), or (3)")] == ["(2)(a)", "(2)(b)", "(3)"]
+    assert [k[5] for k in kinds("section 2 of the Companies Act, 2013; section 3 of this Act; section 4 of the said Act; section 5 of the Act")] == [True, False, True, False]
+    assert kinds("section 80-IA of old") == [] and kinds("the sections of it") == [] and kinds("") == []
+    assert kinds("clause (a) of sub-section (1), items (i) and (ii)") == [("relative", None, "(1)(a)", None, (), False), ("relative", None, "(i)", None, (), False), ("relative", None, "(ii)", None, (), False)]
+    assert kinds("Part C of Chapter XIX, Part A of this Chapter, Chapter IV-B, Schedule XI [Table: Sl. No. 2]") == [
+        ("part", None, "", "XIX:C", (), False), ("part", None, "", ":A", (), False), ("part", None, "", "IV:B", (), False), ("schedule", None, "", "XI", ("2",), False),
+    ]
+    assert kinds("section 393(1) [Table: Sl. Nos. 1(i), 3] and so on")[0][4] == ("1(i)", "3")
+    assert kinds("section 393(1) [Table: Sl. No. 1(i), 3]")[0][4] == ("1(i)", "3") and kinds("Schedule II to the Customs Act")[0][5]
+
+
+def test_cross_refs(spark):
+    ids = ["ch:XIX", "ch:XIX:C", "s5", "s5(1)", "s5(1)(a)", "s5(1)(b)", "s5(2)", "s393", "s393(1)", "s393:tbl1", "s70", "s70(1)", "s70(1)(zd)", "sch:XI"]
+    nodes = spark.createDataFrame([(i, "XIX" if i.startswith("s5") else None) for i in ids], "id string, chapter string")
+    tree = hierarchy.id_closure(nodes, "id").unionByName(spark.createDataFrame([("s393:tbl1", "s393(1)", 1)], "pid string, ancestor string, depth int"))
+    rows = spark.createDataFrame([("s393:tbl1#1(i)", "s393:tbl1"), ("s393:tbl1#2", "s393:tbl1")], "row_id string, table_id string")
+    text = "see clause (b), sub-section (2), section 70(zd), section 393(1) [Table: Sl. No. 1(i), 2(ii), 7], Part C of this Chapter, Schedule XI, Chapter V, section 9 and section 3 of the Companies Act"
+    texts = spark.createDataFrame([("s5(1)(a)", text), ("s5", None)], "id string, text string")
+    got = {(r["raw"], r["ref_type"], r["to_id"], r["resolution"]) for r in references.cross_refs(texts, nodes, tree, rows).collect()}
+    assert got == {
+        ("clause (b)", "provision", "s5(1)(b)", "exact"), ("sub-section (2)", "provision", "s5(2)", "exact"), ("section 70(zd)", "provision", "s70(1)(zd)", "inferred"), ("section 393(1)", "provision", "s393(1)", "exact"),
+        ("s393(1) Table Sl. No. 1(i)", "table_row", "s393:tbl1#1(i)", "exact"), ("s393(1) Table Sl. No. 2(ii)", "table_row", "s393:tbl1#2", "partial"), ("s393(1) Table Sl. No. 7", "table_row", None, "unresolved"),
+        ("Part :C", "part", "ch:XIX:C", "exact"), ("Schedule XI", "schedule", "sch:XI", "exact"), ("Chapter V", "chapter", None, "unresolved"), ("section 9", "section", None, "unresolved"), ("section 3", "external", None, "external"),
+    }
 
 
 def test_relative_refs(spark):
@@ -35,11 +56,7 @@ def test_relative_refs(spark):
     assert out == {"k1": "s5(1)(b)", "k2": "s5(2)", "k3": None}
 
 
-def test_parts_and_rows(spark):
-    ids = spark.createDataFrame([("ch:XIX:C",), ("ch:IV",), ("sch:XI",)], "id string")
-    texts = spark.createDataFrame([("s2(4)", "under Part C of Chapter XIX, Chapter IV and Schedule XI, not Chapter V")], "id string, text string")
-    got = {(r["ref_type"], r["to_id"], r["resolution"]) for r in structure.named_parts(texts, ids).collect()}
-    assert {("part", "ch:XIX:C", "exact"), ("chapter", "ch:IV", "exact"), ("schedule", "sch:XI", "exact"), ("chapter", None, "unresolved")} <= got
+def test_table_rows_by_serial_number(spark):
     rows = spark.createDataFrame([("t#1(i)",), ("t#2",)], "row_id string")
     asked = spark.createDataFrame([("a", "t", "1", "(i)"), ("b", "t", "2", "(ii)"), ("c", "t", "7", None)], "ref_key string, table_id string, number string, sub string")
     assert {r["ref_key"]: r["resolution"] for r in structure.table_row_refs(asked, rows).collect()} == {"a": "exact", "b": "partial", "c": "unresolved"}

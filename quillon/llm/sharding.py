@@ -1,13 +1,16 @@
 """Sharding along a Hilbert curve, in DataFrame functions only.
 
-Metadata dimensions are quantised to the same number of bits and folded into one curve index. Rows sorted
-by it are near each other in every dimension, so a run of them has narrow ranges of each, and readers can
-skip files by their column statistics.
-
-Law: `rows`. The sorted rows are cut into runs whose counts differ by at most one. A null text counts as
-empty; repeated rows are separate; equal texts have equal dimensions and stand next to each other, so a
-group of them spans more shards than one only where a cut falls into it. Columns beyond doc_id, text and
-lang are ignored.
+Metadata dimensions (language, size, source) are quantised to the same number of bits and folded into one curve
+index. Rows sorted by it are near each other in every dimension, so a run of them has narrow ranges of each, and
+readers can skip files by their column statistics.
+
+Law: `rows`. The sorted rows are cut into runs whose counts differ by at most one. Equal texts are a group: all its rows
+take the language and source of its row of the smallest doc_id, so that they stand next to each other, and a
+group spans more shards than one only where a cut falls into it.
+
+Defined cases: a null text counts as empty; repeated rows are separate; null ids come first in their group; a table
+without lang or source has null there; an empty table gives no rows; other columns are ignored, and
+kept by `write_shards`, but for columns of its own names shard and slot.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import global_rank
+from quillon.llm.common import global_rank, joined, materialize
 
 BITS = 10
 OVERHEAD = 16
@@ -78,25 +81,37 @@ def name_bucket(x: Column, bits: int = BITS) -> Column:
     return F.shiftright(F.crc32(F.coalesce(x, F.lit("")).cast("binary")), 32 - bits).cast("int")
 
 
-def shards(docs: DataFrame, n_shards: int, bits: int = BITS) -> DataFrame:
-    """Deals all rows to shards 0 .. n_shards - 1 in runs along the curve over language, size and text CRC."""
+def _placed(docs: DataFrame, n_shards: int, bits: int, carried: list[Column]) -> DataFrame:
+    """Rows with size, text_crc32, curve, shard and slot, and with `carried`."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", "lang", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    dims = [name_bucket(F.col("lang"), bits), log_bucket(F.col("size"), bits), F.shiftright("text_crc32", 32 - bits).cast("int")]
-    rows = rows.withColumn("curve", hilbert_index(dims, bits))
-    order = [F.col(c) for c in ("curve", "text_crc32", "size", "doc_id")]
+    name = lambda c: (F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c)
+    rows = docs.select("doc_id", name("lang"), name("source"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("u"), *carried)
+    rows = materialize(rows, "sized")
+    first = F.min(F.struct("doc_id", "lang", "source"))
+    groups = rows.groupBy("u").agg(first.alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialize(groups, "equal-texts")
+    total = rows.count()
+    alone = rows.join(groups.select("u"), "u", "left_anti").withColumn("m", F.struct("doc_id", "lang", "source"))
+    rows = alone.unionByName(joined(rows, groups, total))
+    dims = [name_bucket(F.col("m.lang"), bits), log_bucket(F.col("size"), bits), name_bucket(F.col("m.source"), bits)]
+    rows = rows.withColumn("curve", hilbert_index(dims, bits)).drop("m")
+    order = [F.col(c) for c in ("curve", "text_crc32", "u", "size", "doc_id")]
     ranked = global_rank(rows, order, "rank", "shards")
-    total = ranked.select(F.count(F.lit(1))).first()[0]
     # shard s holds the ranks from ceil(s * total / n_shards) on
     shard = F.expr(f"(rank * {n_shards}L) div {max(total, 1)}L").cast("int")
     first = F.expr(f"(shard * {max(total, 1)}L + {n_shards - 1}L) div {n_shards}L")
-    return ranked.withColumn("shard", shard).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), "curve",
-    )
+    return ranked.withColumn("shard", shard).withColumn("slot", (F.col("rank") - first).cast("long")).drop("rank", "u")
+
+
+def shards(docs: DataFrame, n_shards: int, bits: int = BITS) -> DataFrame:
+    """Deals all rows to shards 0 .. n_shards - 1 in runs along the curve over language, size and source."""
+    placed = _placed(docs, n_shards, bits, [])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes the rows of `docs` in one folder per shard, in slot order."""
-    dealt = docs.join(assigned.select("doc_id", "shard", "slot", "curve"), "doc_id")
-    dealt.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, n_shards: int, path: str, bits: int = BITS) -> None:
+    """Writes all rows and columns of `docs` in one folder per shard, in slot order. Rows are carried along, so ids may be null or repeat."""
+    placed = _placed(docs, n_shards, bits, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")])
+    dealt = placed.select("shard", "slot", "row").repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    dealt.select("shard", "slot", *columns).write.partitionBy("shard").parquet(path)

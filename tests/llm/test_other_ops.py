@@ -85,6 +85,34 @@ def test_hilbert_curve(spark, dims, bits):
     assert all(sum(abs(a[n] - b[n]) for n in names) == 1 for a, b in zip(walk, walk[1:], strict=False))
 
 
+def test_readers_can_skip_shards(spark):
+    """Every single predicate on language, source or size finds its rows in a part of the shards only."""
+    rng = np.random.default_rng(5)
+    rows = [(k, f"{k:05d}" + "x" * int(2 ** rng.uniform(2, 12)), str(rng.choice(["de", "en", "es", "fr"])), f"src{rng.integers(8)}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = sharding.shards(docs, 40).join(docs.select("doc_id", "lang", "source"), "doc_id").toPandas()
+    hit = lambda rows: rows["shard"].nunique()
+    assert max(hit(r) for _, r in out.groupby("lang")) <= 20
+    assert max(hit(r) for _, r in out.groupby("source")) <= 24
+    assert max(hit(r) for _, r in out.groupby(np.log2(out["size"]).astype(int))) <= 32
+    assert max(hit(r) for _, r in out.groupby(["lang", "source"])) <= 8
+
+
+def test_equal_texts_stand_together_and_shards_are_written_whole(spark, tmp_path):
+    rows = [(None, "same", "en", "a"), (7, "same", None, "b"), (7, "same", "de", "c"), (7, "same", "de", "c"), (1, None, "en", "z"), (2, "", "fr", "y"), *((100 + k, f"text {k}", "en", f"s{k % 3}") for k in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as u", "2 as m", "3 as row")
+    out = sharding.shards(docs, 6).orderBy("shard", "slot").toPandas()
+    assert len(out) == len(rows) and out.groupby("shard").size().tolist() == [11] * 6
+    for crc, n in ((zlib.crc32(b"same"), 4), (0, 2)):
+        at = np.flatnonzero(out["text_crc32"] == crc)
+        assert len(at) == n and at[-1] - at[0] == n - 1
+    sharding.write_shards(docs, 6, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert set(back.columns) == {*docs.columns, "shard", "slot"}
+    got = [tuple(r) for r in back.select("doc_id", "text", "lang", "source").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, rows)) and back.groupBy("shard").agg(F.max("slot")).count() == 6
+
+
 def test_shards(spark):
     rows = [(k, None if k % 9 == 0 else "text %d" % (k % 40), "en" if k % 3 else None) for k in range(333)] + [(5, "text 5", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as rank", "2 as shard")

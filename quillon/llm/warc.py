@@ -1,11 +1,12 @@
 """WARC files as a PySpark Python data source, to read and to write.
 
-Writing: each task writes files of at most about ROLL bytes under temporary names; the commit gives them
-their names, and readers pass over the others. A task that fails removes its files; one that is lost with its
-executor may leave files behind, which are never read. Each record is a gzip member
-of its own whose extra field holds the member's length.
+Writing: each task writes files of at most about ROLL bytes under temporary names, which begin with a dot and the
+job's id; the commit gives them their names, and readers pass over the others. A task that fails removes its files.
+One that is lost with its executor may leave files behind; they are never read, and the job's end removes them. Each
+record is a gzip member of its own whose extra field holds the member's length.
 
-Reading: whole files are planned into partitions of about the split size. A record's headers are inflated and
+Reading: whole files are planned into partitions of about the split size, and read in pieces: what a task holds is
+bounded by a piece and the record at hand. A record's headers are inflated and
 parsed first; predicates on the record's type and headers are pushed down and tested on them; the payload is
 inflated only if the schema asks for it and the record is wanted. Other members are skipped by their length,
 or inflated to their end where a file of other origin lacks it. Inflated payloads are held against their digest.
@@ -14,7 +15,8 @@ or inflated to their end where a file of other origin lacks it. Inflated payload
     spark.read.format("warc").schema("record_id string, payload binary").load(path).where("record_type = 'response'")
 
 Defined cases: a null payload counts as empty; null ids, addresses and references are left out of the headers
-and read back as null; line ends in header values become blanks; repeated rows are records each.
+and read back as null; line ends in header values become blanks; repeated rows are records each. Of pages with
+equal payloads those without an id come last: one of them is the response only where no page has an id.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from quillon.llm.common import scratch_path, tune
+from quillon.llm.common import materialize, scratch_path, tune
 
 SCHEMA = "record_id string, record_type string, target_uri string, record_date string, payload_digest string, refers_to string, payload_bytes long, headers map<string,string>, payload binary"
 #: Header fields behind the columns that predicates can be pushed to.
@@ -44,6 +46,7 @@ ROLL = 64 << 20
 SPLIT = 64 << 20
 BATCH = 4 << 20
 HEAD = 4096
+PIECE = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
 
 
@@ -81,49 +84,96 @@ def parse_fields(head: bytes) -> dict[str, str]:
     return {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
 
 
-class Member:
-    """A gzip member in a buffer, inflated as far as it is asked for."""
+class Source:
+    """A file read in pieces: a buffer that forgets what was used when it needs more."""
+
+    def __init__(self, file):
+        self.file, self.buffer, self.at, self.base = file, b"", 0, 0
+
+    def more(self) -> bool:
+        piece = self.file.read(PIECE)
+        self.buffer, self.base, self.at = self.buffer[self.at :] + piece, self.base + self.at, 0
+        return bool(piece)
+
+    def place(self) -> int:
+        return self.base + self.at
+
+    def ended(self) -> bool:
+        return self.at >= len(self.buffer) and not self.more()
+
+    def take(self, n: int) -> bytes:
+        while len(self.buffer) - self.at < n:
+            if not self.more():
+                raise ValueError("the file ends within a gzip member")
+        self.at += n
+        return self.buffer[self.at - n : self.at]
+
+    def rest(self) -> bytes:
+        """All that the buffer still has, or the next piece; `give_back` what was too much."""
+        if self.ended():
+            raise ValueError("the file ends within a gzip member")
+        return self.take(len(self.buffer) - self.at)
+
+    def give_back(self, n: int) -> None:
+        self.at -= n
+
+    def skip_to(self, place: int) -> None:
+        while place - self.base > len(self.buffer):
+            self.at = len(self.buffer)
+            if not self.more():
+                raise ValueError("the file ends within a gzip member")
+        self.at = place - self.base
+
 
-    def __init__(self, data: memoryview, at: int):
-        if data[at : at + 3] != MAGIC:
-            raise ValueError(f"no gzip member at byte {at}")
-        flags, self.at, self.data, self.size = data[at + 3], at + 10, data, 0
+class Member:
+    """The gzip member at a source's place, inflated as far as it is asked for."""
+
+    def __init__(self, source: Source):
+        self.source, self.start, self.size = source, source.place(), 0
+        head = source.take(10)
+        if head[:3] != MAGIC:
+            raise ValueError(f"no gzip member at byte {self.start}")
+        flags = head[3]
         if flags & 4:
-            (extra,) = struct.unpack_from("<H", data, self.at)
-            if extra == 12 and data[self.at + 2 : self.at + 4] == b"SL":
-                (self.size,) = struct.unpack_from("<Q", data, self.at + 6)
-            self.at += 2 + extra
+            extra = source.take(struct.unpack("<H", source.take(2))[0])
+            if len(extra) == 12 and extra[:2] == b"SL":
+                (self.size,) = struct.unpack_from("<Q", extra, 4)
         for flag in (8, 16):
-            if flags & flag:
-                while data[self.at]:
-                    self.at += 1
-                self.at += 1
-        self.at += 2 if flags & 2 else 0
-        self.start, self.z, self.text = at, zlib.decompressobj(-15), b""
-        self.rest: bytes | memoryview = data[self.at : at + self.size if self.size else len(data)]
+            while flags & flag and source.take(1) != b"\0":
+                pass
+        if flags & 2:
+            source.take(2)
+        self.z, self.text, self.held = zlib.decompressobj(-15), b"", b""
+
+    def _step(self, most: int) -> bytes:
+        out = self.z.decompress(self.held or self.source.rest(), most)
+        self.held = self.z.unconsumed_tail
+        if self.z.eof:
+            self.source.give_back(len(self.z.unused_data))
+        return out
 
     def inflate(self, most: int) -> bool:
         """Inflates up to `most` further bytes; False at the end, when there is nothing to inflate."""
         if self.z.eof:
             return False
-        self.text += self.z.decompress(self.rest, most)
-        self.rest = self.z.unconsumed_tail
+        self.text += self._step(most)
         return True
 
-    def end(self) -> int:
+    def close(self) -> None:
+        """Leaves the source behind this member."""
         if self.size:
-            return self.start + self.size
+            self.source.skip_to(self.start + self.size)
+            return
         while not self.z.eof:
-            self.z.decompress(self.rest, 1 << 20)
-            self.rest = self.z.unconsumed_tail
-        return len(self.data) - len(self.z.unused_data) + 8
+            self._step(1 << 20)
+        self.source.take(8)
 
 
-def read_records(data: bytes, tests: list[tuple[str, frozenset]], payloads: bool) -> Iterator[tuple[dict[str, str], int | None, bytes | None]]:
-    """(headers, payload length, payload) of each record whose headers pass all tests (field, allowed values)."""
-    view, at = memoryview(data), 0
-    while at < len(data):
-        one = Member(view, at)
+def read_records(file, tests: list[tuple[str, frozenset]], payloads: bool) -> Iterator[tuple[dict[str, str], int | None, bytes | None]]:
+    """(headers, payload length, payload) of each record of an open file whose headers pass all tests (field, allowed values)."""
+    source = Source(file)
+    while not source.ended():
+        one = Member(source)
         while (cut := one.text.find(b"\r\n\r\n")) < 0 and one.inflate(HEAD):
             pass
         fields = parse_fields(one.text[:cut])
@@ -143,7 +193,7 @@ def read_records(data: bytes, tests: list[tuple[str, frozenset]], payloads: bool
                 if said.startswith("sha1:") and digest_of(payload) != said[5:]:
                     raise ValueError(f"payload of {fields.get('WARC-Record-ID')} does not match its digest")
             yield fields, size, payload
-        at = one.end()
+        one.close()
 
 
 # ---------------------------------------------------------------------- data source
@@ -179,8 +229,8 @@ class WarcReader(DataSourceReader):
         infos = sorted(system.get_file_info(pafs.FileSelector(root)), key=lambda i: i.path)
         groups, size = [], self.split
         for i in infos:
-            # a leading dot: files of attempts that were not committed
-            if i.is_file and i.base_name.endswith(".warc.gz") and not i.base_name.startswith(".") and i.size:
+            # a leading dot: files of attempts that were not committed; a leading line: what other writers hide
+            if i.is_file and i.base_name.endswith(".warc.gz") and i.base_name[0] not in "._" and i.size:
                 if size + i.size > self.split:
                     groups, size = [*groups, Files([])], 0
                 groups[-1].paths.append(i.path)
@@ -200,17 +250,16 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for path in partition.paths:
-            with system.open_input_stream(path, compression=None) as f:
-                data = f.read()
-            for fields, size, payload in read_records(data, self.tests, "payload" in self.columns):
-                values = {c: fields.get(f) for c, f in FIELDS.items()} | {"headers": list(fields.items()), "payload_bytes": size, "payload": payload}
-                if values["payload_digest"]:
-                    values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
-                rows.append([values[c] for c in self.columns])
-                held += 200 + len(payload or b"")
-                if held > BATCH:
-                    yield batch()
-                    rows, held = [], 0
+            with system.open_input_stream(path, compression=None) as file:
+                for fields, size, payload in read_records(file, self.tests, "payload" in self.columns):
+                    values = {c: fields.get(f) for c, f in FIELDS.items()} | {"headers": list(fields.items()), "payload_bytes": size, "payload": payload}
+                    if values["payload_digest"]:
+                        values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
+                    rows.append([values[c] for c in self.columns])
+                    held += 200 + len(payload or b"")
+                    if held > BATCH:
+                        yield batch()
+                        rows, held = [], 0
         if rows:
             yield batch()
 
@@ -219,7 +268,7 @@ class WarcWriter(DataSourceArrowWriter):
     """Writes rows (record_id, record_type, target_uri, payload_digest, refers_to, payload_bytes, payload); revisits carry no payload."""
 
     def __init__(self, path: str, level: int, roll: int):
-        self.path, self.level, self.roll = path, level, roll
+        self.path, self.level, self.roll, self.job = path, level, roll, uuid.uuid4().hex[:12]
         system, root = file_system(path)
         system.create_dir(root, recursive=True)
 
@@ -236,7 +285,7 @@ class WarcWriter(DataSourceArrowWriter):
                         fields["WARC-Profile"], payload = REVISIT_PROFILE, None
                     if out is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"
-                        out, size = system.open_output_stream(f"{root}/.{name}", compression=None), 0
+                        out, size = system.open_output_stream(f"{root}/.{self.job}-{name}", compression=None), 0
                         names.append(name)
                     size += out.write(one := member(record(fields, n, payload), self.level)) or len(one)
                     if size >= self.roll:
@@ -248,21 +297,26 @@ class WarcWriter(DataSourceArrowWriter):
             if out is not None:
                 out.close()
             for name in names:
-                system.delete_file(f"{root}/.{name}")
+                system.delete_file(f"{root}/.{self.job}-{name}")
             raise
         return Written(names)
 
+    def _clear(self) -> None:
+        """Removes what this job's lost or repeated attempts have left."""
+        system, root = file_system(self.path)
+        for i in system.get_file_info(pafs.FileSelector(root)):
+            if i.is_file and i.base_name.startswith(f".{self.job}-"):
+                system.delete_file(i.path)
+
     def commit(self, messages: list[Written | None]) -> None:
         system, root = file_system(self.path)
         for m in messages:
             for name in m.names if m else []:
-                system.move(f"{root}/.{name}", f"{root}/{name}")
+                system.move(f"{root}/.{self.job}-{name}", f"{root}/{name}")
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, root = file_system(self.path)
-        for m in messages:
-            for name in m.names if m else []:
-                system.delete_file(f"{root}/.{name}")
+        self._clear()
 
 
 class WarcDataSource(DataSource):
@@ -299,17 +353,27 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """One record per page: of equal payloads of at least min_bytes the one of the smallest page_id is the response.
 
     Equal payloads are found by their digests. Each page looks up the first page of its digest, an
-    equi-join whose hot digests Spark can split. Of repeated rows of one page_id, one is the response.
+    equi-join whose hot digests Spark can split. Which page is first is decided by the pages' own columns, so it does not
+    depend on where rows are read. Equal rows of a first page stand for each other: they are counted, and one of them is the response.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("_row"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("_hex", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    firsts = rows.groupBy("_hex").agg(F.min(F.struct("page_id", "_row")).alias("_first"))
-    known = rows.join(firsts, "_hex")
-    revisit = (F.col("payload_bytes") >= min_bytes) & (F.col("_first._row") != F.col("_row"))
+    key = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    counted = rows.groupBy("_hex", key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = counted.groupBy("_hex").agg(F.min(F.struct("_key", "_n")).alias("_first"))
+    firsts = materialize(firsts.select("_hex", F.col("_first._key").alias("_key"), F.col("_first._n").alias("_n")), "first-pages")
+    known = rows.withColumn("_own", key).join(firsts, "_hex").withColumn("_is", F.col("_own").eqNullSafe(F.col("_key")))
+    single = known.where(~F.col("_is") | (F.col("_n") == 1)).withColumn("_copy", F.when(F.col("_is"), 1).otherwise(2))
+    names = ["_hex", "_key", "page_id", "url", "payload_bytes", "payload", "_copy"]
+    again = known.where(F.col("_is") & (F.col("_n") > 1)).groupBy("_hex", "_key", "page_id", "url", "payload_bytes").agg(F.any_value("payload").alias("payload"), F.count(F.lit(1)).cast("int").alias("_n"))
+    again = again.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n")))
+    repeated = not firsts.where("_n > 1").isEmpty()
+    known = single.select(*names).unionByName(again.select(*names)) if repeated else single
+    revisit = (F.col("payload_bytes") >= min_bytes) & (F.col("_copy") > 1)
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     out = known.select(
         urn(F.col("page_id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"),
-        base32(F.col("_hex")).alias("payload_digest"), F.when(revisit, urn(F.col("_first.page_id"))).alias("refers_to"), "payload_bytes",
+        base32(F.col("_hex")).alias("payload_digest"), F.when(revisit, urn(F.col("_key.page_id"))).alias("refers_to"), "payload_bytes",
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
     out.write.format("warc").mode("append").save(path)

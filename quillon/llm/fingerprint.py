@@ -6,12 +6,15 @@ distinct shingles.
 
 Defined cases: null text counts as empty; a text without words has the empty sketch; a text of fewer words
 than a shingle has one shingle, the whole sequence; two empty sketches are alike (1.0), an empty and a
-non-empty one are not (0.0). Repeated rows are separate documents. Columns other than doc_id and text are
-ignored.
+non-empty one are not (0.0). Repeated rows, and rows of one id, are separate documents, which follow each other in the
+order of their texts; rows without an id come before the smallest one (where all are without, the
+first is followed by itself). Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +79,27 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), BITS // 4, "0")), "")
 
 
-def id_ranges(docs: DataFrame, n: int) -> tuple[list[int], dict[int, int], int | None]:
-    """Splits the ids into about n ranges of equal counts.
+#: Equal steps of ids for each range: a row is compared with the ranges that touch its step.
+STEPS = 16
 
-    Returns the cuts, the last id of each range that holds any, and the largest id. What comes to the driver
-    is bounded by n.
-    """
-    shares = [(i + 1) / n for i in range(n - 1)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    last = {r[0]: r[1] for r in docs.groupBy(range_of(F.col("doc_id"), cuts).alias("r")).agg(F.max("doc_id")).collect()}
-    return cuts, last, max((v for v in last.values() if v is not None), default=None)
 
+def id_ranges(ids: DataFrame, n: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """(r, low, high, step), and the step of an id, of about n ranges of equal counts: r holds the ids above low (null: none below) up to high, and has a row for each step it touches.
 
-def range_of(doc_id: Column, cuts: list[int]) -> Column:
-    if not cuts:
-        return F.lit(0)
-    below = F.filter(F.array(*map(F.lit, cuts)), lambda c: c < doc_id)
-    return F.coalesce(F.size(below), F.lit(0))
+    What the driver sees of the ids is n cuts; the table has at most n * (STEPS + 2) rows. Null ids belong to the first range.
+    """
+    spark = ids.sparkSession
+    shares = [(i + 1) / n for i in range(n - 1)]
+    found = ids.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", shares, 100 * n).alias("cuts")).first()
+    if found["high"] is None:
+        return spark.createDataFrame([(0, None, None, -1)], "r int, low long, high long, step long"), lambda _: F.lit(-1).cast("long")
+    highs = sorted({*(found["cuts"] or []), found["high"]})
+    rows = [(r, highs[r - 1] if r else None, high) for r, high in enumerate(highs)]
+    width = max(1.0, (float(found["high"]) - float(found["low"])) / (n * STEPS))
+    low = F.coalesce("low", F.lit(found["low"]))
+    at = lambda c: F.floor((c.cast("double") - F.lit(float(found["low"]))) / F.lit(width)).cast("long")
+    ranges = spark.createDataFrame(rows, "r int, low long, high long").withColumn("step", F.explode(F.sequence(at(low), at(F.col("high")))))
+    return ranges, at
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -101,21 +107,22 @@ def edited_fingerprints(docs: DataFrame, k: int = K, shingle: int = SHINGLE) ->
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next document
     in descending doc_id (the largest smaller id; the smallest is followed by the largest). Rows of equal
-    doc_id follow in the order of their texts. Texts move once: rows are dealt by id range, and the last
-    document of a range is dealt to the next range too, where it only serves as neighbour.
+    doc_id follow in the order of their texts. Texts move once: rows are dealt by id range, found by a broadcast join on
+    steps of ids, and the last document of a range is dealt to the next range too, where it only serves as neighbour.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts, last, largest = id_ranges(docs.select("doc_id"), 4 * partitions(docs.sparkSession))
-    filled = sorted(last)
-    # the last id of a range serves the next range, and the largest id of all serves the first
-    serves = {last[r]: filled[(i + 1) % len(filled)] for i, r in enumerate(filled) if last[r] is not None}
-    own = F.struct(range_of(F.col("doc_id"), cuts).alias("r"), F.lit(False).alias("lent"))
-    if serves:
-        ids = docs.sparkSession.createDataFrame(list(serves.items()), "lend_id long, lend_r int")
-        rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("lend_id"), "left")  # at most one row per range
-        lent = F.when(F.col("lend_r").isNotNull(), F.array(own, F.struct(F.col("lend_r").alias("r"), F.lit(True).alias("lent")))).otherwise(F.array(own))
-    else:
-        lent = F.array(own)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    ranges, step = id_ranges(ids, 4 * partitions(spark))
+    placed = F.broadcast(ranges)  # at most 4 * partitions * (STEPS + 2) rows
+    inside = (step(F.col("doc_id")) == F.col("step")) & F.coalesce(F.col("doc_id") > F.col("low"), F.lit(True)) & (F.col("doc_id") <= F.col("high"))
+    in_range = lambda df: df.join(placed, inside, "left").withColumn("r", F.coalesce("r", F.lit(0))).drop("low", "high", "step")
+    # one row per range that holds any id: its last id serves the next such range, and the largest id of all serves the first
+    last = in_range(ids).groupBy("r").agg(F.max("doc_id").alias("lend_id")).where("lend_id is not null")
+    lends = last.withColumn("lend_r", F.coalesce(F.lead("r").over(Window.orderBy("r")), F.first("r").over(Window.orderBy("r")))).drop("r")
+    own = F.struct(F.col("r"), F.lit(False).alias("lent"))
+    rows = in_range(rows).join(F.broadcast(lends), F.col("doc_id") == F.col("lend_id"), "left")  # at most one row per range
+    lent = F.when(F.col("lend_r").isNotNull(), F.array(own, F.struct(F.col("lend_r").alias("r"), F.lit(True).alias("lent")))).otherwise(F.array(own))
     rows = rows.select("doc_id", "text", F.explode(lent).alias("at")).select("doc_id", "text", "at.r", "at.lent")
     order = Window.partitionBy("r").orderBy(F.desc("lent"), "doc_id", "text")
     rows = rows.select("*", F.coalesce(F.lag("text").over(order), F.col("text")).alias("next_text"))

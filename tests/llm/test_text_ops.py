@@ -115,6 +115,20 @@ def test_fingerprints(spark):
     assert fingerprint.edited_fingerprints(docs(spark).where("false")).count() == 0
 
 
+def test_next_documents_by_uneven_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    ids = [None, None, -(2**62), 2**62, 5, 5, 5, *(int(x) for x in rng.integers(0, 60, 40)), *(10**15 + int(x) for x in rng.integers(0, 10**6, 40))]
+    rows = [(d, f"t{k:03d} " + "abcdefgh"[k % 8] * (k % 17)) for k, d in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as r", "2 as low", "3 as step")
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    want = []
+    for at, (d, own) in enumerate(order):
+        half = len(own) // 2
+        want.append((d, hashlib.sha256((own[: len(own) - half] + order[(at + 1) % len(order)][1][:half]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["edited_sha256"]) for r in fingerprint.edited_fingerprints(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 

@@ -121,8 +121,26 @@ class ByteCnn:
             self.ready()
         return np.concatenate([np.zeros((0, len(self.labels)), np.float32), *(self.softmax(self.features(x[k : k + 128])) for k in range(0, len(x), 128))])
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean cross entropy of windows x of classes y, and its gradient by tables, biases, output weights and output bias; through max pooling only the winning places get one."""
+        h, where = self.pooled(x, places=True)
+        p = self.softmax(h)
+        loss = float(-np.log(np.maximum(p[np.arange(len(x)), y], 1e-30)).mean())
+        p[np.arange(len(x)), y] -= 1
+        p /= len(x)
+        dh = (p @ self.out.T) * (h > 0)
+        tables, biases = [], []
+        for i, w in enumerate(WIDTHS):
+            d = dh[:, i * FILTERS : (i + 1) * FILTERS]
+            g = np.zeros_like(self.tables[i])
+            for k in range(w):
+                np.add.at(g[k], (np.take_along_axis(x, where[i] + k, 1), np.arange(FILTERS)[None]), d)
+            tables.append(g)
+            biases.append(d.sum(0))
+        return loss, [*tables, *biases, h.T @ p, p.sum(0)]
+
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> None:
-        """Adam on the cross entropy; through max pooling only the winning places get a gradient."""
+        """Adam on the cross entropy."""
         rng = np.random.default_rng(seed)
         params = [*self.tables, *self.bias, self.out, self.out_bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -132,21 +150,7 @@ class ByteCnn:
             order = rng.permutation(len(x))
             for a in range(0, len(order), BATCH):
                 part = order[a : a + BATCH]
-                h, where = self.pooled(x[part], places=True)
-                p = self.softmax(h)
-                p[np.arange(len(part)), y[part]] -= 1
-                p /= len(part)
-                dh = (p @ self.out.T) * (h > 0)
-                grads: list[np.ndarray] = []
-                biases = []
-                for i, w in enumerate(WIDTHS):
-                    d = dh[:, i * FILTERS : (i + 1) * FILTERS]
-                    g = np.zeros_like(self.tables[i])
-                    for k in range(w):
-                        np.add.at(g[k], (np.take_along_axis(x[part], where[i] + k, 1), np.arange(FILTERS)[None]), d)
-                    grads.append(g)
-                    biases.append(d.sum(0))
-                grads += [*biases, h.T @ p, p.sum(0)]
+                _, grads = self.gradients(x[part], y[part])
                 step += 1
                 for q, g, m, v in zip(params, grads, first, second, strict=True):
                     m += 0.1 * (g - m)

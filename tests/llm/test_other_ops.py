@@ -196,6 +196,45 @@ def test_pair_tables_agree_with_the_filters():
     assert np.allclose(net.features(x), net.pooled(x)[0], atol=1e-4)
 
 
+def test_the_network_against_plain_loops():
+    """Convolution, pooling and softmax by loops over places and bytes, for the trained form's look-ups and for the training form."""
+    rng = np.random.default_rng(4)
+    net = langid.ByteCnn(["a", "b", "c"])
+    x, _ = langid.windows_of([langid.normal_bytes("one éü two three " * k) for k in (1, 9, 40)] + [langid.normal_bytes("")])
+    for b in net.bias:
+        b[:] = rng.normal(0, 0.2, b.shape)
+    want = []
+    for row in x:
+        best = []
+        for w, table, bias in zip(langid.WIDTHS, net.tables, net.bias, strict=True):
+            best += [max(0.0, max(sum(float(table[k, row[at + k], f]) for k in range(w)) for at in range(len(row) - w + 1)) + float(bias[f])) for f in range(langid.FILTERS)]
+        z = np.array(best) @ net.out.astype(float) + net.out_bias
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(net.predict(x), want, atol=1e-5) and np.allclose(net.softmax(net.pooled(x)[0]), want, atol=1e-5)
+
+
+def test_gradients_against_differences():
+    net = langid.ByteCnn(["a", "b", "c"])
+    params = [*net.tables, *net.bias, net.out, net.out_bias]
+    net.tables, net.bias = [t.astype(float) for t in net.tables], [b.astype(float) for b in net.bias]
+    net.out, net.out_bias = net.out.astype(float), net.out_bias.astype(float)
+    params = [*net.tables, *net.bias, net.out, net.out_bias]
+    x, _ = langid.windows_of([langid.normal_bytes(t * 30) for t in ("abc de ", "fgh ij ", "klm no ")])
+    y = np.arange(len(x)) % 3
+    _, grads = net.gradients(x, y)
+    rng = np.random.default_rng(2)
+    for p, g in zip(params, grads, strict=True):
+        # where a gradient is, and anywhere
+        places = [tuple(i) for i in np.argwhere(np.abs(g) > 1e-6)[:3]] + [tuple(int(rng.integers(n)) for n in p.shape) for _ in range(3)]
+        for at in places:
+            kept, losses = p[at], []
+            for move in (1e-6, -1e-6):
+                p[at] = kept + move
+                losses.append(net.gradients(x, y)[0])
+            p[at] = kept
+            assert abs((losses[0] - losses[1]) / 2e-6 - g[at]) < 1e-4
+
+
 def toxic_rows(n=400, seed=1):
     rng = np.random.default_rng(seed)
     word = lambda: "".join(rng.choice(["ta", "ri", "so", "ne", "lu"], 3))

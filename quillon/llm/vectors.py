@@ -1,18 +1,20 @@
 """Near-duplicate vectors by product quantisation: inverted lists, residual codes, table lookups, exact rerank.
 
 A coarse quantiser and one codebook per subspace are fitted on a bounded sample (SAMPLE rows); every row is
-indexed. Rows of one label and list form a cell. A vector searches each list whose border lies within the search
-radius of it, so that each end of a link finds the other. In a cell, distances to codes come from lookup tables, and
+indexed. Rows of one label, length and list form a cell. Of two vectors within the search radius of each other
+and in different lists, one at least is within half the radius of the border between these; so a vector searches
+each list whose border is that near. In a cell, distances to codes come from lookup tables, and
 since each code's own error is known, no pair within the radius is passed over; what is left is decided by
-the exact cosine in double precision.
+the exact cosine in double precision. A link counts at both ends: for the end that did not search the other's
+list, where the other found it.
 
 Equal vectors of a label are searched once, with their number as weight. Cells are dealt in blocks of
 bounded size, so a hot cell is searched by many tasks; a block returns link counts and the edges of a
 spanning forest, not its pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those without a
-label, link with nothing and keep themselves; vectors of another length than most of the sample's link with
-nothing; repeated rows are vectors each; columns other than vec_id, embedding and label are ignored.
+label, link with nothing and keep themselves; vectors of different lengths don't link, whatever the lengths;
+repeated rows are vectors each; columns other than vec_id, embedding and label are ignored.
 """
 
 from __future__ import annotations
@@ -68,6 +70,11 @@ class Quantiser:
         apart = ((self.centres[:, None] - self.centres[None]) ** 2).sum(2)
         self.apart = np.sqrt(apart) + np.eye(len(self.centres))
 
+    def fitted(self, unit: np.ndarray) -> np.ndarray:
+        """Rows cut or padded with zeros to the quantiser's length: distances between rows can only shrink, so none within the radius is lost."""
+        have = unit.shape[1]
+        return unit[:, : self.dim] if have >= self.dim else np.pad(unit, ((0, 0), (0, self.dim - have)))
+
     def index(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and code error of each row."""
         cell = nearest(unit, self.centres)
@@ -114,7 +121,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, margin: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; links join rows of equal label and cosine of at least threshold.
 
-    A margin below the search radius, its default, saves probes and misses links.
+    A margin below half the search radius, its default, saves probes and misses links.
     """
     spark = vectors.sparkSession
     tune(spark)
@@ -139,7 +146,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, margin: float | No
 def _search(spark: SparkSession, classes: DataFrame, threshold: float, margin: float | None) -> DataFrame:
     """(id, n, other): the weight of the links of a class found in one block, or an edge of a block's forest."""
     radius = math.sqrt(2 - 2 * threshold) + 1e-6
-    margin = radius if margin is None else margin
+    margin = radius / 2 if margin is None else margin
     total = classes.count()
     sample = hash_sample(classes.select("id", "v"), SAMPLE, "id").toPandas()["v"]
     if not total:
@@ -151,59 +158,65 @@ def _search(spark: SparkSession, classes: DataFrame, threshold: float, margin: f
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = model.value
         for batch in batches:
-            v = np.stack([np.asarray(x, np.float64) for x in batch["v"].to_numpy(zero_copy_only=False)]) if batch.num_rows else np.zeros((0, dim))
-            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            rows = [np.asarray(x, np.float64) for x in batch["v"].to_numpy(zero_copy_only=False)]
+            unit = np.concatenate([np.zeros((0, q.dim)), *(q.fitted((r / np.linalg.norm(r))[None]) for r in rows)])
             cell, codes, error = q.index(unit)
+            # single precision where it holds the components exactly
+            packed = [(np.float32(r) if (np.float32(r) == r).all() else r).tobytes() for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["label"], batch["weight"], pa.array([r.tobytes() for r in v], pa.binary()), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array([p.astype(np.int32) for p in q.probes(unit, cell, margin)], pa.list_(pa.int32()))],
-                ["id", "label", "weight", "v", "cell", "codes", "error", "probes"],
+                [batch["id"], batch["label"], batch["weight"], pa.array(packed, pa.binary()), pa.array([len(r) for r in rows], pa.int32()), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error, pa.float64()), pa.array([p.astype(np.int32) for p in q.probes(unit, cell, margin)], pa.list_(pa.int32()))],
+                ["id", "label", "weight", "v", "size", "cell", "codes", "error", "probes"],
             )
 
-    indexed = classes.where(F.size("v") == dim).select("id", "label", "weight", "v")
-    indexed = materialize(indexed.mapInArrow(index, "id long, label string, weight long, v binary, cell int, codes binary, error double, probes array<int>"), "indexed")
-    members = indexed.select("id", "label", "weight", "v", "cell", "codes", "error")
-    queries = indexed.select("id", "label", "v", F.explode("probes").alias("cell"))
+    indexed = classes.select("id", F.concat_ws(":", F.size("v").cast("string"), "label").alias("label"), "weight", "v")
+    indexed = materialize(indexed.mapInArrow(index, "id long, label string, weight long, v binary, size int, cell int, codes binary, error double, probes array<int>"), "indexed")
+    members = indexed.select("id", "label", "weight", "v", "size", "cell", "codes", "error", "probes")
+    queries = indexed.select("id", "label", "weight", "v", "size", F.col("cell").alias("home"), F.explode("probes").alias("cell"))
     sizes = members.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("m_blocks"))
     asked = queries.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_blocks"))
     blocks = sizes.join(asked, ["label", "cell"])
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    no_code = [F.lit(None).cast(t).alias(n) for n, t in (("codes", "binary"), ("error", "double"))]
-    left = members.join(blocks, ["label", "cell"]).select("id", "label", "cell", own("m_blocks").alias("mb"), every("q_blocks").alias("qb"), "weight", "v", "codes", "error")
-    right = queries.join(blocks, ["label", "cell"]).select("id", "label", "cell", every("m_blocks").alias("mb"), own("q_blocks").alias("qb"), F.lit(None).cast("long").alias("weight"), "v", *no_code)
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("codes", "binary"), ("error", "double"), ("probes", "array<int>"))]
+    left = members.join(blocks, ["label", "cell"]).select("id", "label", "cell", own("m_blocks").alias("mb"), every("q_blocks").alias("qb"), "weight", "v", "size", F.col("cell").alias("home"), "codes", "error", "probes")
+    right = queries.join(blocks, ["label", "cell"]).select("id", "label", "cell", every("m_blocks").alias("mb"), own("q_blocks").alias("qb"), "weight", "v", "size", "home", *nothing)
 
     def search(table: pa.Table) -> pa.Table:
         q = model.value
         is_member = np.asarray(table["codes"].is_valid())
-        ids = table["id"].to_numpy()
-        v = np.frombuffer(b"".join(table["v"].to_pylist()), np.float64).reshape(len(ids), -1)
+        ids, weight, home = (table[c].to_numpy() for c in ("id", "weight", "home"))
+        width = table["size"][0].as_py()
+        v = np.stack([np.frombuffer(x, np.float64 if len(x) == 8 * width else np.float32).astype(np.float64) for x in table["v"].to_pylist()])
         norm = np.linalg.norm(v, axis=1)
         m, s = np.flatnonzero(is_member), np.flatnonzero(~is_member)
-        out_id, out_n, out_other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        count = np.zeros(len(ids), np.int64)
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
         if len(m) and len(s):
             picked = table.take(pa.array(m))
             codes = np.frombuffer(b"".join(picked["codes"].to_pylist()), np.uint8).reshape(len(m), -1)
             reach = (radius + picked["error"].to_numpy()) ** 2 + 1e-5
-            weight = picked["weight"].to_numpy()
             cell = table["cell"][0].as_py()
+            probes = picked["probes"].combine_chunks()
+            searches = np.zeros((len(m), len(q.centres)), bool)  # which lists a member searches itself
+            searches[np.repeat(np.arange(len(m)), np.diff(probes.offsets.to_numpy())), probes.flatten().to_numpy()] = True
             for k in range(0, len(s), 256):
                 part = s[k : k + 256]
-                i, j = np.nonzero(q.lookup(v[part] / norm[part, None], cell, codes) <= reach)
+                i, j = np.nonzero(q.lookup(q.fitted(v[part] / norm[part, None]), cell, codes) <= reach)
                 keep = np.zeros(len(i), bool)
                 for b in range(0, len(i), 1 << 16):
                     x, y = part[i[b : b + (1 << 16)]], m[j[b : b + (1 << 16)]]
                     keep[b : b + (1 << 16)] = (np.einsum("ij,ij->i", v[x], v[y]) / (norm[x] * norm[y]) >= threshold) & (ids[x] != ids[y])
                 i, j = i[keep], j[keep]
                 if len(i):
-                    n = np.bincount(i, weights=weight[j], minlength=len(part)).astype(np.int64)
-                    hit = np.flatnonzero(n)
-                    a, b = forest(ids[part[i]], ids[m[j]])
-                    out_id += [ids[part[hit]], a]
-                    out_n += [n[hit], np.zeros(len(a), np.int64)]
-                    out_other += [np.full(len(hit), -1, np.int64), b]
-        other = np.concatenate(out_other)
-        is_edge = np.concatenate([np.full(len(x), e) for x, e in zip(out_id, [False, *[False, True] * (len(out_id) // 2)], strict=True)]) if len(out_id) > 1 else np.zeros(0, bool)
-        return pa.table({"id": np.concatenate(out_id), "n": np.concatenate(out_n), "other": pa.array(other, pa.int64(), mask=~is_edge.astype(bool))})
+                    x, y = part[i], m[j]
+                    np.add.at(count, x, weight[y])
+                    unseen = ~searches[j, home[x]]
+                    np.add.at(count, y[unseen], weight[x[unseen]])
+                    ends.append(forest(ids[x], ids[y]))
+        hit = np.flatnonzero(count)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *e]) for e in zip(*ends, strict=True)) if ends else (np.zeros(0, np.int64),) * 2
+        other = pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(b, pa.int64())])
+        return pa.table({"id": np.concatenate([ids[hit], a]), "n": np.concatenate([count[hit], np.zeros(len(a), np.int64)]), "other": other})
 
     # without this, the rows would stay where the joins by cell had put them, a hot cell's blocks in one task
     dealt = left.unionByName(right).repartition("label", "cell", "mb", "qb")

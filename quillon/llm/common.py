@@ -79,43 +79,33 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> Dat
     )
 
 
-#: A node with more than this share of all rows is a hub: there are at most HUBS / 2 of these among the ends of edges.
-HUBS = 1000
-
-
-def joined(rows: DataFrame, stars: DataFrame, total: int) -> DataFrame:
-    """rows joined with stars (u, m, n: rows of u) by u: hubs by a broadcast of at most HUBS rows, so that no task gets a hub's rows, others by shuffle."""
-    hubs = F.broadcast(stars.where(F.col("n") > max(total // HUBS, 1000)).select("u", "m"))
-    rest = rows.join(hubs.select("u"), "u", "left_anti").join(stars.select("u", "m"), "u")
-    return rows.join(hubs, "u").unionByName(rest)
-
-
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (a, b: long) as (id, component): component is the smallest id reachable.
 
     Alternates the large-star and small-star steps until the edge set stays the same. Each round writes its
     edges to the shared folder. Stars are made by joining each node with its smallest neighbour, so a hub's
-    neighbours need not meet in one row, nor in one task. Nodes without edges are absent. Raises if max_rounds do
-    not suffice (the rounds needed grow with the logarithm of the longest path).
+    neighbours need not meet in one row; written tables on both sides of the join let Spark split a hub's rows over
+    tasks. Nodes without edges are absent. Raises if max_rounds do not suffice (the rounds needed grow with the
+    logarithm of the longest path).
     """
     spark = edges.sparkSession
     pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     current = materialize(pairs.distinct(), f"{name}-edges")
-    total, last = current.count(), None
-    if not total:
+    if current.isEmpty():
         return spark.createDataFrame([], "id long, component long")
+    last = None
     for k in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined(both, least, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = joined(large, low, 2 * total).where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least")
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u != v").distinct(), f"{name}-large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        small = large.join(low.hint("merge"), "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         current = materialize(small, f"{name}-round")
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             roots = current.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
             return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
-        total, last = state[0], state
+        last = state
     raise RuntimeError(f"components: {max_rounds} rounds did not suffice")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import global_rank, joined, materialize
+from quillon.llm.common import global_rank, materialize
 
 BITS = 10
 OVERHEAD = 16
@@ -88,11 +88,10 @@ def _placed(docs: DataFrame, n_shards: int, bits: int, carried: list[Column]) ->
     rows = docs.select("doc_id", name("lang"), name("source"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("u"), *carried)
     rows = materialize(rows, "sized")
     first = F.min(F.struct("doc_id", "lang", "source"))
-    groups = rows.groupBy("u").agg(first.alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(groups, "equal-texts")
+    # written tables on both sides of the join: Spark can split a hot group's rows
+    groups = materialize(rows.groupBy("u").agg(first.alias("m")), "equal-texts")
     total = rows.count()
-    alone = rows.join(groups.select("u"), "u", "left_anti").withColumn("m", F.struct("doc_id", "lang", "source"))
-    rows = alone.unionByName(joined(rows, groups, total))
+    rows = rows.join(groups.hint("merge"), "u")
     dims = [name_bucket(F.col("m.lang"), bits), log_bucket(F.col("size"), bits), name_bucket(F.col("m.source"), bits)]
     rows = rows.withColumn("curve", hilbert_index(dims, bits)).drop("m")
     order = [F.col(c) for c in ("curve", "text_crc32", "u", "size", "doc_id")]

@@ -7,8 +7,10 @@ of another one, in an order fixed for each bucket, so that short documents' band
 are built again; pairs are screened by the Jaccard similarity estimated from their registers, corrected for
 chance collisions of compressed values, and links are confirmed on the full sets.
 
-Documents of equal sets are one class from the start. Candidates that hang together form a cluster; a cluster's
-sets meet in one task, or if it is large in a task for each pair of blocks. There, documents that can't link
+Documents of equal sets are one class from the start, a node of the graph. Candidates that hang together form a
+cluster; a cluster's members meet in one task, or if it is large in a task for each pair of blocks: first their
+registers alone, whose estimates tell which members can have a link in which task, and then the full sets of these.
+There, documents that can't link
 because too many of their shingles occur nowhere else in the cluster are set aside first. Tasks return the
 edges of spanning forests, not all pairs; pairs already connected need no confirmation.
 
@@ -16,8 +18,9 @@ Two documents of similarity s share a key with probability 1 - (1 - s**ROWS)**BA
 0.8, all but 3 in a billion at 0.85.
 
 Defined cases: null text and text without words have the empty set and link with nothing; fewer words than a
-shingle are one shingle; repeated rows are documents of equal sets, and rows of one doc_id share a component;
-columns other than doc_id and text are ignored.
+shingle are one shingle; repeated rows are documents of equal sets; rows of one doc_id with different texts are
+documents each, which link by their own texts; rows without an id are kept, and are no one's component; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, materialize, squeezed, tune
@@ -126,41 +129,40 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def links_among(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of all links within the documents; left: which ones of them to compare with the others.
+def estimated_pairs(regs: np.ndarray, size: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, estimate) of the pairs whose registers allow a link.
 
     left is all true, or marks the first of two blocks, between which links are looked for.
     """
+    t = percent / 100
+    every = left.all()
+    later = np.flatnonzero(~left)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for x in np.flatnonzero(left).tolist():
+        y = np.arange(x + 1, len(size)) if every else later
+        y = y[np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9]
+        if not len(y):
+            continue
+        est, used = estimate(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), size[x]), size[y])
+        ok = est >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)) - 0.01
+        out.append((np.full(int(ok.sum()), x), y[ok], est[ok]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def links_among(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of all links within the documents; left as in `estimated_pairs`."""
     n = len(ids)
     size = np.array([len(s) for s in sets], float)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size.astype(int))
     _, back, count = np.unique(flat, return_inverse=True, return_counts=True)
     alone = np.bincount(owner, weights=count[back] == 1, minlength=n)
     can = np.flatnonzero(100 * (size - alone) >= percent * size)  # the others' shingles are too rare here
-    regs = registers([sets[i] for i in can])
-    t = percent / 100
-    first = can if left.all() else can[left[can]]
-    place = {x: k for k, x in enumerate(can.tolist())}
-    pairs_a, pairs_b, score = [], [], []
-    for x in first.tolist():
-        k = place[x]
-        others = np.arange(k + 1, len(can)) if left.all() else np.flatnonzero(~left[can])
-        y = can[others]
-        fit = (np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9)
-        others, y = others[fit], y[fit]
-        if not len(y):
-            continue
-        est, used = estimate(np.broadcast_to(regs[k], (len(y), REGISTERS)), regs[others], np.full(len(y), size[x]), size[y])
-        ok = est >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)) - 0.01
-        pairs_a.append(np.full(int(ok.sum()), x))
-        pairs_b.append(y[ok])
-        score.append(est[ok])
-    if not pairs_a:
+    if not left.all() and (left[can].all() or not left[can].any()):
         return [], []
-    a, b, s = np.concatenate(pairs_a), np.concatenate(pairs_b), np.concatenate(score)
+    a, b, s = estimated_pairs(registers([sets[i] for i in can]), size[can], left[can], percent)
     order = np.argsort(-s, kind="stable")
     f, out_a, out_b = Forest(n), [], []
-    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+    for x, y in zip(can[a[order]].tolist(), can[b[order]].tolist(), strict=True):
         p, q = f.root(x), f.root(y)
         if p != q and linked(sets[x], sets[y], percent):
             f.up[max(p, q)] = min(p, q)
@@ -169,10 +171,13 @@ def links_among(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, perce
     return out_a, out_b
 
 
-def near_documents(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: links join documents with 100 * shared >= percent * united shingles."""
-    spark = docs.sparkSession
-    tune(spark)
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("k")
+
+
+def _rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, k, n_shingles, component) of every row; k tells rows of different ids or texts apart."""
+    tune(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,56 +190,87 @@ def near_documents(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     names.append(f"{int(mix(s).sum()):016x}{int(mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum()):016x}{len(s):x}" if len(s) else None)
             bands = [k if len(s) else k[:0] for k, s in zip(keys, sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "name", "bands"])
-
-    sketched = materialize(docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, name string, bands array<long>"), "sketches")
-    classes = sketched.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = sketched.join(classes.select(F.col("rep").alias("doc_id"), "name"), ["doc_id", "name"], "left_semi").dropDuplicates(["doc_id", "name"])
-    bands = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["k"], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "k", "n_shingles", "name", "bands", "regs"])
+
+    sketched = docs.select("doc_id", "text", _row_key()).mapInArrow(sketch, "doc_id long, k long, n_shingles long, name string, bands array<long>, regs binary")
+    sketched = materialize(sketched, "sketches")
+    # a class is named by its smallest id; one of its rows stands for it
+    classes = sketched.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("k").alias("k"))
+    classes = materialize(classes.withColumn("id", F.xxhash64("name")), "classes")
+    reps = sketched.join(classes.select("name", "k", "id"), ["name", "k"]).select("id", "k", "n_shingles", "bands", "regs").dropDuplicates(["id"])
+    reps = materialize(reps, "representatives")
+    bands = reps.select("id", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     # a merge join at every size: its hot keys can be split, and its cost grows in proportion
     candidates = bands.join(shared.hint("merge"), "key").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     clusters = materialize(components(candidates, "clusters"), "clusters")
-    edges = _confirm(docs, clusters, shingle, percent)
-    groups = components(edges, "near")
-    named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "name").join(named, "name", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    edges = _confirm(docs, reps.drop("bands"), clusters, shingle, percent)
+    groups = classes.join(components(edges, "near"), "id", "left").select("name", "rep", F.coalesce("component", "id").alias("group"))
+    least = groups.groupBy("group").agg(F.min("rep").alias("component"))
+    named = groups.join(least, "group").select("name", "component")
+    return sketched.select("doc_id", "k", "n_shingles", "name").join(named, "name", "left").select("doc_id", "k", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
 
 
-def one_of_each(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The documents, columns as they are, without those that are near-duplicates of one with a smaller id. Rows without an id stay."""
-    gone = near_documents(docs, shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def near_documents(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row: links join documents with 100 * shared >= percent * united shingles."""
+    rows = _rows(docs, shingle, percent)
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-def _confirm(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The documents, columns as they are: of each group of near-duplicates one row of the smallest id. Rows without an id or without words stay."""
+    rows = _rows(docs, shingle, percent).where("doc_id is not null").groupBy("doc_id", "k", "component", (F.col("n_shingles") == 0).alias("bare")).agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows, "groups")
+    best = rows.where("doc_id = component and not bare").groupBy("component").agg(F.min(F.struct("k", "n")).alias("best")).select("best.k", F.col("component").alias("doc_id"), "best.n")
+    # rows without words are in no group
+    best = best.unionByName(rows.where("bare").select("k", "doc_id", F.lit(1).cast("long").alias("n")))
+    best = materialize(best, "kept")
+    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
+    of = lambda rows: rows.select(F.col("k").alias("_k"), F.col("doc_id").alias("_doc"))
+    single, repeated = of(best.where("n = 1")), of(best.where("n > 1"))
+    kept = keyed.join(single, (keyed["_k"] == single["_k"]) & (keyed["doc_id"] == single["_doc"]), "left_semi")
+    # equal rows stand for each other: one of them stays
+    again = keyed.join(repeated, (keyed["_k"] == repeated["_k"]) & (keyed["doc_id"] == repeated["_doc"]), "left_semi").dropDuplicates(["doc_id", "_k"])
+    return kept.unionByName(again).unionByName(keyed.where("doc_id is null")).drop("_k")
+
+
+def _confirm(docs: DataFrame, reps: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Edges (a, b) of spanning forests of the confirmed links within each cluster."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "component")
     block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.select(F.col("id").alias("doc_id"), "component", block.alias("block"), "blocks")
-    texts = squeezed(docs.select("doc_id", "text")).join(placed.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    placed = placed.select("id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    known = placed.join(reps.select("id", "regs", "n_shingles"), "id")
+
+    def first_block(group: pa.Table) -> np.ndarray:
+        i = group["i"][0].as_py()
+        return np.ones(group.num_rows, bool) if i == group["j"][0].as_py() else group["block"].to_numpy() == i
+
+    def screen(group: pa.Table) -> pa.Table:
+        regs = np.frombuffer(b"".join(group["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        a, b, _ = estimated_pairs(regs, group["n_shingles"].to_numpy().astype(float), first_block(group), percent)
+        return group.take(pa.array(np.unique(np.concatenate([a, b])))).select(["id", "component", "i", "j", "block"])
+
+    able = known.groupBy("component", "i", "j").applyInArrow(screen, "id long, component long, i int, j int, block int")
+    able = materialize(able, "screened")
+    wanted = able.groupBy("id").agg(F.collect_list(F.struct("component", "i", "j", "block")).alias("at")).join(reps.select("id", "k"), "id")
+    texts = squeezed(docs.select(_row_key(), "text")).join(wanted.hint("merge"), "k").dropDuplicates(["k"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sets = shingle_sets([inflate(t) for t in batch["text"].to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["component"], batch["block"], batch["blocks"], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "component", "block", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["at"], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "at", "shingles"])
 
-    sets = texts.mapInArrow(build, "id long, component long, block int, blocks int, shingles binary")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.select("id", "component", "block", "shingles", others.alias("other"))
-    dealt = dealt.select("id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "shingles")
+    place = "array<struct<component:bigint,i:int,j:int,block:int>>"
+    sets = texts.select("id", "text", "at").mapInArrow(build, f"id long, at {place}, shingles binary")
+    dealt = sets.select("id", F.explode("at").alias("at"), "shingles").select("id", "at.*", "shingles")
 
     def confirm(group: pa.Table) -> pa.Table:
-        ids = group["id"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
-        same = group["i"][0].as_py() == group["j"][0].as_py()
-        left = np.ones(len(ids), bool) if same else group["block"].to_numpy() == group["i"][0].as_py()
-        a, b = links_among(ids, sets, left, percent)
+        a, b = links_among(group["id"].to_numpy(), sets, first_block(group), percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return materialize(dealt.groupBy("component", "i", "j").applyInArrow(confirm, "a long, b long"), "links")

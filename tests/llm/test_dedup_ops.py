@@ -40,7 +40,7 @@ def test_vectors(spark):
     rows = [(k, [float(f) for f in v], int(k % 2)) for k, v in enumerate(x)]
     rows += [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] * 16, 1), (1003, [None] * 16, 1), (1004, rows[0][1], None), (1005, [], 1), (1006, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 as id", "'x' as cell")
-    out = {r["vec_id"]: r for r in vectors.near_vectors(df, 0.98, 0.2).collect()}
+    out = {r["vec_id"]: r for r in vectors.near_vectors(df, 0.98).collect()}
     assert len(out) == len(rows)
     m = np.array([np.float32(v) for v in x], np.float64)
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -91,6 +91,19 @@ def test_repeated_rows_share_a_component(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_documents(df, 3, 85).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_rows_of_one_id_and_rows_without(spark):
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    near = a.replace("w39", "x")
+    rows = [(5, a), (5, b), (5, b), (3, near), (7, near), (7, near), (None, a), (9, "alone in it"), (9, "alone in it"), (2, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "2 as _doc")
+    out = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_documents(df, 3, 85).collect()), key=repr)
+    assert out == sorted([(5, 3, False), (5, 5, True), (5, 5, True), (3, 3, True), (7, 3, False), (7, 3, False), (None, 3, True), (9, 9, True), (9, 9, True), (2, 2, True), (2, 2, True)], key=repr)
+    kept = minhash.one_of_each(df, 3, 85)
+    assert kept.columns == df.columns
+    left = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert [x for x in left if x[0] != 2] == sorted([(5, b), (3, near), (None, a), (9, "alone in it")], key=repr) and len(left) == 6
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(4)
     a, b = (np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64)) for _ in range(2))
@@ -148,15 +161,22 @@ def test_repeated_windows():
     assert suffix.repeated_windows(text, start, windows, length).tolist() == [seen[raw[a : a + length]] > 1 for a in at]
 
 
-def test_links_across_list_borders_count_at_both_ends(spark):
+@pytest.mark.parametrize("dim, n", [(3, 1500), (8, 1500), (64, 1200)])
+def test_links_across_list_borders_count_at_both_ends(spark, dim, n):
+    """The shipped settings against brute force, where many links cross borders; each vector's twin of another length is a world of its own."""
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(1500, 3)) @ rng.normal(size=(3, 16))
-    rows = spark.createDataFrame([(k, "a", v.tolist()) for k, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    low = min(dim, 6)
+    x = rng.normal(size=(n, low)) @ rng.normal(size=(low, dim))
+    x = np.concatenate([x, x[: n // 4] + rng.normal(size=(n // 4, dim)) * 0.01, x[:50]])
+    rows = [(k, "a", v.tolist()) for k, v in enumerate(x)] + [(100_000 + k, "a", [*v.tolist(), 0.0, 0.0]) for k, v in enumerate(x[:300])]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = (unit @ unit.T >= 0.98).sum(1) - 1
-    assert links.sum() > 5000
-    out = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(rows, 0.98).collect()}
-    assert [out[k] for k in range(len(x))] == links.tolist()
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    assert near.sum() > 500
+    out = {r["vec_id"]: r for r in vectors.near_vectors(df, 0.98).collect()}
+    assert [out[k]["n_links"] for k in range(len(x))] == near.sum(1).tolist()
+    assert [out[k]["component_id"] for k in range(len(x))] == components(len(x), zip(*np.nonzero(near), strict=True))
+    assert [out[100_000 + k]["n_links"] for k in range(300)] == near[:300, :300].sum(1).tolist()
 
 
 @pytest.mark.parametrize("limit", [4000, 1])

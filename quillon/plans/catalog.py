@@ -299,7 +299,11 @@ def nearest_event(spark, base):
     return events.nearest(e, "user_id", "at", F.col("target").isNotNull(), "target").select("event_id", "near")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS client, epoch_us(ts) / 1e6 AS at_s, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS n FROM events),
+f AS (SELECT client, 0::BIGINT AS n, NULL::DOUBLE AS at_s, NULL::BIGINT AS id, -1e18::DOUBLE AS a, -1e18::DOUBLE AS b, true AS ok, 0::DOUBLE AS wait FROM e WHERE n = 1
+UNION ALL SELECT e.client, e.n, e.at_s, e.id, CASE WHEN f.a <= e.at_s - 86400 THEN f.b ELSE f.a END, CASE WHEN f.a <= e.at_s - 86400 THEN e.at_s ELSE f.b END, f.a <= e.at_s - 86400, CASE WHEN f.a <= e.at_s - 86400 THEN 0 ELSE f.a + 86400 - e.at_s END
+FROM f JOIN e ON e.client = f.client AND e.n = f.n + 1)
+SELECT client, at_s AS "at", id, 1::DOUBLE AS cost, ok AS admitted, wait AS retry_after FROM f WHERE n > 0""")
 def rate_limit_fold(spark, base):
     e = load(spark, base, "events")
     asks = e.select(F.col("user_id").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"), F.lit(1.0).alias("cost"))
@@ -422,9 +426,11 @@ def join_semi(spark, base):
     return load(spark, base, "customer").join(load(spark, base, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def join_anti(spark, base):
-    return load(spark, base, "customer").join(load(spark, base, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    """Customers without an urgent order."""
+    urgent = load(spark, base, "orders").where("o_orderpriority = '1-URGENT'")
+    return load(spark, base, "customer").join(urgent, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @query("""SELECT a.user_id, count(*) AS pairs FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY a.user_id""")
@@ -447,9 +453,11 @@ def set_intersect(spark, base):
     return load(spark, base, "customer").select(F.col("c_nationkey").alias("k")).intersect(load(spark, base, "supplier").select("s_nationkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def set_except(spark, base):
-    return load(spark, base, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, base, "orders").select("o_custkey"))
+    """Orders of which nothing was returned."""
+    returned = load(spark, base, "lineitem").where("l_returnflag = 'R'")
+    return load(spark, base, "orders").select(F.col("o_orderkey").alias("k")).subtract(returned.select("l_orderkey"))
 
 
 @query("WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT * FROM r WHERE rank <= 3")

@@ -136,6 +136,85 @@ def outline_nodes(spark, base):
     return outline.outline(_without_tables(frame(spark, "line"))).select("id", "parent", "kind", F.coalesce("text", F.lit("")).alias("text"), "page_start")
 
 
+_UNITS = [(1, 1, False, 0), (2, 3, False, 1), (4, 4, False, 0), (6, 1, True, 0), (7, 2, True, 0), (9, 7, False, 2)]
+
+
+@query(values(_UNITS, "line_index, number, in_schedule, skipped"))
+def accepted_units(spark, base):
+    """Numbers of headings that go on with the last one; 9 after 3, a second 4 and a paragraph 5 after 2 are none."""
+    rows = [(0, 1, 1, False), (0, 2, 3, False), (0, 3, 9, False), (0, 4, 4, False), (0, 5, 4, False), (0, 6, 1, True), (0, 7, 2, True), (0, 8, 5, True), (0, 9, 7, False)]
+    return outline.accepted_units(spark.createDataFrame(rows, "doc_id int, line_index long, number int, in_schedule boolean")).drop("doc_id")
+
+
+@query(values([("s1", "Charge. as", None), ("s1(1)", "tax under sub-section (3) applies; and", "s1"), ("s1(2)", "more", "s1"), ("s1(2)(a)", "rents", "s1(2)")], "id, text, parent"))
+def plausible_labels(spark, base):
+    """A reference that begins a wrapped line is text: (3) right after (1) isn't, (5) is."""
+    rows = [(0, 0, 1, 0.0, "1. Charge.", True), (0, 1, 1, 0.0, "as", False), (0, 2, 1, 20.0, "(1) tax under sub-section", False), (0, 3, 1, 5.0, "(3) applies; and", False), (0, 4, 1, 20.0, "(2) more", False), (0, 5, 1, 40.0, "(a) rents", False)]
+    lines = spark.createDataFrame(rows, "doc_id int, line_index long, page int, x double, text string, bold boolean")
+    out = outline.outline(lines.withColumn("text", F.when(F.col("line_index") == 3, F.lit("(7) applies; and")).otherwise(F.col("text"))), strict=True)
+    return out.select("id", F.replace(F.col("text"), F.lit("(7)"), F.lit("(3)")).alias("text"), "parent")
+
+
+@query(values([(1, 0, 0, "1."), (1, 0, 1, "Rent"), (1, 1, 1, "(i) of land"), (1, 1, 2, "10%"), (1, 2, 1, "(ii) of plant"), (1, 2, 2, "2%"), (2, 0, 0, "2."), (2, 0, 1, "Fees")], '"row", subrow, col, text'))
+def table_subrows(spark, base):
+    rows = ["0|Table", "0|A", "30|B", "80|C", "0|1.", "33|Rent", "33|(i) of", "80|10%", "33|land", "33|(ii) of plant", "80|2%", "0|2.", "33|Fees", "0|Note 1.—first", "5|goes on", "0|Note 2.—second"]
+    lines = spark.createDataFrame([(0, k, 1, float(x), t, False) for k, (x, t) in enumerate(r.split("|") for r in rows)], "doc_id int, line_index long, page int, x double, text string, bold boolean")
+    return outline.tables(lines).select(*[F.col(c).cast("int").alias(c) for c in ("row", "subrow", "col")], "text")
+
+
+@query(values([(1, "Note 1.—first goes on"), (2, "Note 2.—second")], "n, text"))
+def table_notes(spark, base):
+    rows = ["0|Table", "0|A", "30|B", "0|1.", "33|Rent", "0|Note 1.—first", "5|goes on", "0|Note 2.—second"]
+    lines = spark.createDataFrame([(0, k, 1, float(x), t, False) for k, (x, t) in enumerate(r.split("|") for r in rows)], "doc_id int, line_index long, page int, x double, text string, bold boolean")
+    return outline.table_notes(lines).select(F.col("n").cast("int").alias("n"), "text")
+
+
+@query(values([(1, True, False), (2, False, True), (3, False, False)], "n, joined, crossing"))
+def cell_boundaries(spark, base):
+    rows = spark.createDataFrame([(1, [0.0, 31.0], 200.0), (2, [32.0, 50.0], 560.0), (3, [0.0], 30.0)], "n int, xs array<double>, x1 double")
+    edges = F.array(*map(F.lit, (0.0, 30.0, 80.0)))
+    return rows.select("n", outline.joined_cells(F.col("xs"), edges).alias("joined"), (outline.crossing(F.col("xs")[0], F.col("x1"), edges) & ~outline.joined_cells(F.col("xs"), edges)).alias("crossing"))
+
+
+@query(values([("(1) a", 10.0), ("[(1) a", 12.8), ("[[", 40.0), ("text", 3.0)], "text, x"))
+def label_places(spark, base):
+    rows = spark.createDataFrame([("(1) a",), ("[(1) a",), ("[[",), ("text",)], "text string")
+    first = F.struct(F.col("text").alias("text"), F.array(F.lit(10.0), F.lit(0.0), F.lit(40.0), F.lit(9.0)).alias("bbox"))
+    return rows.select("text", F.round(structure.label_x(first, F.lit(3.0)), 4).alias("x"))
+
+
+_SPAN = "struct<text:string,font:string,size:double,bbox:array<double>>"
+_LAYOUT = [("Body low", 0, 805.0, True, False), ("Body bold", 1, 100.0, True, True)]
+
+
+@query(values(_LAYOUT, "text, b, y0, plain, bold"))
+def layout_lines(spark, base):
+    """Running heads and feet go by font, size and place; body text at the page's edge stays; labels of amended words stand apart."""
+    from quillon.sources import files
+
+    span = lambda t, font, size, y: (t, font, size, [10.0, y, 50.0, y + 8])
+    head, foot = span("Head", "NotoSans-Bold", 9.0, 20.0), span("Page 7", "NotoSans-Italic", 7.5, 806.0)
+    blocks = [([([head],), ([span("Body\u00a0low", "Serif", 10.0, 805.0)],), ([foot],)],), ([([span("Body", "Serif-Bold", 10.0, 100.0), span("3", "Serif", 7.1, 98.0), span("\u00a0bold", "Serif-Bold", 10.0, 100.0)],)],)]
+    raw = spark.createDataFrame([(0, 1, blocks)], f"doc_id int, page int, blocks array<struct<lines:array<struct<spans:array<{_SPAN}>>>>>")
+    return files.text_lines(raw).select("text", "b", "y0", (~F.col("all_italic")).alias("plain"), F.col("all_bold").alias("bold"))
+
+
+@query(values([("3", "{{fn:3}}")], "label, token"))
+def layout_markers(spark, base):
+    from quillon.sources import files
+
+    raw = spark.createDataFrame([(0, 1, [([([("a", "Serif", 10.0, [0.0] * 4), (" 3 ", "Serif", 7.1, [0.0] * 4)],)],)])], f"doc_id int, page int, blocks array<struct<lines:array<struct<spans:array<{_SPAN}>>>>>")
+    return files.markers(raw).select("label", structure.marker_token(F.col("label")).alias("token"))
+
+
+@query(values([("-2", "| version | recall | mrr |"), ("-1", "|---|---|---|"), ("2", "| v2 | 0.5000 | 0.2500 |"), ("10", "| v10 | 0.7500 | - |")], "ord, line"))
+def version_report(spark, base):
+    from quillon.sources import files
+
+    rows = spark.createDataFrame([("v10", "recall", 0.75), ("v2", "recall", 0.5), ("v2", "mrr", 0.25)], "version string, metric string, value double")
+    return files.report(rows, ["recall", "mrr"]).select(F.col("ord").cast("string").alias("ord"), "line")
+
+
 @query(values([(1, 0, "1."), (1, 1, "Rent of land"), (1, 2, "Rate: 10%"), (2, 0, "2."), (2, 1, "Fees"), (2, 2, "2%")], '"row", col, text'))
 def table_cells(spark, base):
     return outline.tables(frame(spark, "line")).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "text")

@@ -226,13 +226,12 @@ def one_of_each(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     # rows without words are in no group
     best = best.unionByName(rows.where("bare").select("k", "doc_id", F.lit(1).cast("long").alias("n")))
     best = materialize(best, "kept")
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    of = lambda rows: rows.select(F.col("k").alias("_k"), F.col("doc_id").alias("_doc"))
-    single, repeated = of(best.where("n = 1")), of(best.where("n > 1"))
-    kept = keyed.join(single, (keyed["_k"] == single["_k"]) & (keyed["doc_id"] == single["_doc"]), "left_semi")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), _row_key())
+    kept = keyed.join(best.where("n = 1").select("doc_id", "k"), ["doc_id", "k"], "left_semi")
     # equal rows stand for each other: one of them stays
-    again = keyed.join(repeated, (keyed["_k"] == repeated["_k"]) & (keyed["doc_id"] == repeated["_doc"]), "left_semi").dropDuplicates(["doc_id", "_k"])
-    return kept.unionByName(again).unionByName(keyed.where("doc_id is null")).drop("_k")
+    again = keyed.join(best.where("n > 1").select("doc_id", "k"), ["doc_id", "k"], "left_semi").dropDuplicates(["doc_id", "k"])
+    out = kept.unionByName(again).unionByName(keyed.where("doc_id is null"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _confirm(docs: DataFrame, reps: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:

@@ -182,29 +182,27 @@ def _rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets([(t or "").encode() for t in batch["text"].to_pylist()], shingle)
-            regs = registers(sets)
-            keys = band_keys(filled(regs))
+            keys = band_keys(filled(registers(sets)))
             # the set's name: two sums over its hashes and its size, as good as 128 random bits
             names = []
             for s in sets:
                 with np.errstate(over="ignore"):
                     names.append(f"{int(mix(s).sum()):016x}{int(mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum()):016x}{len(s):x}" if len(s) else None)
             bands = [k if len(s) else k[:0] for k, s in zip(keys, sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["k"], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "k", "n_shingles", "name", "bands", "regs"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["k"], pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.string()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "k", "n_shingles", "name", "bands"])
 
-    sketched = docs.select("doc_id", "text", _row_key()).mapInArrow(sketch, "doc_id long, k long, n_shingles long, name string, bands array<long>, regs binary")
+    sketched = docs.select("doc_id", "text", _row_key()).mapInArrow(sketch, "doc_id long, k long, n_shingles long, name string, bands array<long>")
     sketched = materialize(sketched, "sketches")
     # a class is named by its smallest id; one of its rows stands for it
     classes = sketched.where("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("k").alias("k"))
     classes = materialize(classes.withColumn("id", F.xxhash64("name")), "classes")
-    reps = sketched.join(classes.select("name", "k", "id"), ["name", "k"]).select("id", "k", "n_shingles", "bands", "regs").dropDuplicates(["id"])
-    reps = materialize(reps, "representatives")
+    reps = sketched.select("name", "k", "bands").join(classes.select("name", "k", "id"), ["name", "k"]).dropDuplicates(["name", "k"])
     bands = reps.select("id", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     # a merge join at every size: its hot keys can be split, and its cost grows in proportion
     candidates = bands.join(shared.hint("merge"), "key").where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     clusters = materialize(components(candidates, "clusters"), "clusters")
-    edges = _confirm(docs, reps.drop("bands"), clusters, shingle, percent)
+    edges = _confirm(docs, classes.select("id", "k"), clusters, shingle, percent)
     groups = classes.join(components(edges, "near"), "id", "left").select("name", "rep", F.coalesce("component", "id").alias("group"))
     least = groups.groupBy("group").agg(F.min("rep").alias("component"))
     named = groups.join(least, "group").select("name", "component")
@@ -235,13 +233,23 @@ def one_of_each(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
 
 def _confirm(docs: DataFrame, reps: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Edges (a, b) of spanning forests of the confirmed links within each cluster."""
+    """Edges (a, b) of spanning forests of the confirmed links within each cluster; reps: (id, k) of the row that stands for a class."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inflate = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            sets = shingle_sets([inflate(t) for t in batch["text"].to_pylist()], shingle)
+            packed = (pa.array([x.tobytes() for x in part], pa.binary()) for part in (registers(sets), sets))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int64()), *packed], ["id", "n_shingles", "regs", "shingles"])
+
+    wanted = clusters.select("id").join(reps, "id")
+    texts = squeezed(docs.select(_row_key(), "text")).join(wanted.hint("merge"), "k").dropDuplicates(["k"])
+    members = materialize(texts.select("id", "text").mapInArrow(build, "id long, n_shingles long, regs binary, shingles binary"), "members")
     sizes = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "component")
     block = F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.select("id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = clusters.join(sizes, "component").select("id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("id", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    known = placed.join(reps.select("id", "regs", "n_shingles"), "id")
+    known = placed.join(members.select("id", "regs", "n_shingles"), "id")
 
     def first_block(group: pa.Table) -> np.ndarray:
         i = group["i"][0].as_py()
@@ -253,19 +261,7 @@ def _confirm(docs: DataFrame, reps: DataFrame, clusters: DataFrame, shingle: int
         return group.take(pa.array(np.unique(np.concatenate([a, b])))).select(["id", "component", "i", "j", "block"])
 
     able = known.groupBy("component", "i", "j").applyInArrow(screen, "id long, component long, i int, j int, block int")
-    able = materialize(able, "screened")
-    wanted = able.groupBy("id").agg(F.collect_list(F.struct("component", "i", "j", "block")).alias("at")).join(reps.select("id", "k"), "id")
-    texts = squeezed(docs.select(_row_key(), "text")).join(wanted.hint("merge"), "k").dropDuplicates(["k"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inflate = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            sets = shingle_sets([inflate(t) for t in batch["text"].to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["at"], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "at", "shingles"])
-
-    place = "array<struct<component:bigint,i:int,j:int,block:int>>"
-    sets = texts.select("id", "text", "at").mapInArrow(build, f"id long, at {place}, shingles binary")
-    dealt = sets.select("id", F.explode("at").alias("at"), "shingles").select("id", "at.*", "shingles")
+    dealt = materialize(able, "screened").join(members.select("id", "shingles"), "id")
 
     def confirm(group: pa.Table) -> pa.Table:
         sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]

@@ -57,11 +57,12 @@ def attach(hits: DataFrame, lines: DataFrame) -> DataFrame:
     return out.withColumn("text", text).withColumn("tokens", token_count(F.col("text"))).drop("extra")
 
 
-def before(marked: Column, notes: Column) -> Column:
-    """The wording before the amendments, or null where the notes do not give it.
+def segments(marked: Column, notes: Column) -> Column:
+    """The plain and the marked pieces of a text, in order: array of (words, label, type, was, whole, inserted).
 
-    notes: array of (label, type, prior_text, header). Inserted words were absent; substituted words were what
-    the note quotes; a whole earlier wording in a note wins; text nearly all inserted did not exist.
+    notes: array of (label, type, prior_text, header). was: the wording before, as far as the piece's own note tells: all of
+    a plain piece, nothing for inserted words, what a substitution's note quotes; whole: the earlier wording of the
+    whole provision, where a note has that instead.
     """
     parts = F.split(F.regexp_replace(F.regexp_replace(marked, MARK, "\u0001\u0002$1\u0003$2\u0001"), "^\u0001|\u0001$", ""), "\u0001")
 
@@ -74,7 +75,16 @@ def before(marked: Column, notes: Column) -> Column:
         tagged = p.startswith("\u0002")
         was = F.when(~tagged, words).when(inserted, "").when(substituted, quoted)
         whole = F.when(tagged & was.isNull() & note["type"].isin("substituted", "omitted"), note["prior_text"])
-        return F.struct(words.alias("words"), was.alias("was"), whole.alias("whole"), (tagged & inserted).alias("inserted"))
+        return F.struct(words.alias("words"), F.when(tagged, label).alias("label"), F.when(tagged, note["type"]).alias("type"), was.alias("was"), whole.alias("whole"), (tagged & inserted).alias("inserted"))
+
+    return F.transform(parts, read)
+
+
+def before(marked: Column, notes: Column) -> Column:
+    """The wording before the amendments, or null where the notes do not give it; notes as for `segments`.
+
+    A whole earlier wording in a note wins; text nearly all inserted did not exist.
+    """
 
     def decide(x: Column) -> Column:
         length = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.length(s["words"]))
@@ -85,4 +95,4 @@ def before(marked: Column, notes: Column) -> Column:
         fresh = length(F.filter(x, lambda s: s["inserted"])) >= 0.8 * length(x)
         return F.coalesce(whole, F.when(fresh, "").when(known, tidy))
 
-    return once(F.transform(parts, read), decide)
+    return once(segments(marked, notes), decide)

@@ -42,7 +42,10 @@ def front_merge(base: DataFrame, front: DataFrame, k: int) -> DataFrame:
 
 
 def pack(hits: DataFrame, budget: int, tokens: str = "tokens", key: str = "qid") -> DataFrame:
-    """Greedy packing in rank order: a hit that does not fit is skipped, and later ones may still fit."""
+    """Greedy packing in rank order: a hit that does not fit is skipped, and later ones may still fit.
+
+    A query's list is folded in one row: it is as long as its retriever's k, which bounds it.
+    """
     rows = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(tokens).alias("t"), "id"))).alias("hits"))
     kind = dict(hits.dtypes)["id"]
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<rank:int,id:{kind},used:bigint>>").alias("taken"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.structure import relative, resolve, table_row_refs
+from quillon.operators.structure import relative, resolve, table_row_refs, tables_under
 
 # What opens a reference, and what it is (fixed values).
 WORDS = {
@@ -204,7 +204,7 @@ def _raw(labels: Column) -> Column:
 
 def _row_edges(scopes: DataFrame, closure: DataFrame, table_rows: DataFrame) -> DataFrame:
     asked = scopes.select("ref_key", "from_id", "scope", F.posexplode("rows").alias("nth", "serial"))
-    tables = table_rows.select("table_id").distinct().join(closure.select(F.col("pid").alias("table_id"), F.col("ancestor").alias("scope")), "table_id")
+    tables = tables_under(table_rows.select("table_id"), closure)
     tried = asked.join(tables, "scope", "left").withColumn("row_key", F.concat_ws("#", "ref_key", F.col("nth").cast("string"), F.coalesce("table_id", F.lit(""))))
     parts = tried.select("*", F.regexp_extract("serial", r"^\d+[A-Z]?", 0).alias("number"), F.nullif(F.regexp_extract("serial", r"\(.*$", 0), F.lit("")).alias("sub"))
     hits = table_row_refs(parts.select(F.col("row_key").alias("ref_key"), "table_id", "number", "sub"), table_rows).withColumnRenamed("ref_key", "row_key")

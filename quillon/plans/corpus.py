@@ -440,6 +440,23 @@ def wording_before(spark, base):
     return rows.select("n", amend.before(F.col("m"), F.col("notes")).alias("before"))
 
 
+_SEGMENTS = [
+    (1, 0, "under ", None, None, "under "), (1, 1, "sub-section (1)(a)(ii) or (b)", "11", "substituted", "sub-section (1)(a)(i) or (b)"), (1, 2, ", only", None, None, ", only"), (2, 0, "x ", None, None, "x "), (2, 1, "new", "2", "substituted", None), (2, 2, " y", None, None, " y"),
+    (3, 0, "all of it is new", "2", "inserted", ""), (4, 0, "a ", None, None, "a "), (4, 1, "b", "3", "omitted", None), (4, 2, " c", None, None, " c"), (5, 0, "a ", None, None, "a "), (5, 1, "b", "4", "inserted", ""), (5, 2, " c", None, None, " c"),
+]
+
+
+@query(values(_SEGMENTS, "n, at_, words, label, type, was"))
+def marked_segments(spark, base):
+    rows = spark.createDataFrame(_MARKED, "n int, m string, notes array<struct<label:string,type:string,prior_text:string,header:string>>")
+    return rows.select("n", F.posexplode(amend.segments(F.col("m"), F.col("notes"))).alias("at_", "s")).select("n", "at_", "s.words", "s.label", "s.type", "s.was")
+
+
+@query(f"WITH RECURSIVE {_REF} SELECT DISTINCT u.ancestor AS scope, t.table_id FROM trow t JOIN up u ON u.id = t.table_id")
+def tables_below(spark, base):
+    return structure.tables_under(frame(spark, "trow").select("table_id"), _pids(spark)).select("scope", "table_id")
+
+
 # ---------------------------------------------------------------------- look-ups
 
 

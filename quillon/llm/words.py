@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 20
 
 
-@lru_cache(4)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse**i modulo 2**64, for i < n."""
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (BASE, pow(BASE, -1, 1 << 64)))
+    """BASE**i and its inverse**i modulo 2**64, for i < n: views of one pair of arrays, as long as the most asked for so far."""
+    if len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, fingerprint, langid, minhash, packing, sharding, suffix, toxicity, vectors, warc
+from quillon.llm import bpe, fingerprint, hosts, langid, minhash, packing, sharding, suffix, toxicity, vectors, warc
 from quillon.llm.common import table, tune
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.host_verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_vectors": op2_vectors,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_hosts": op11_hosts,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,6 +76,30 @@ _REACH = """ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a AS id, b AS r FROM ends UNION SELECT reach.id, ends.b FROM reach JOIN ends ON ends.a = reach.r),
 least AS (SELECT id, min(r) AS r FROM reach GROUP BY id)"""
 
+_HOST_RULES = {
+    "base": "n_words < 20 OR 100 * n_repeat_words > 30 * n_words", "symbols": "10 * n_symbols > n_words",
+    "lines": "100 * n_dup_lines > 30 * n_lines", "word_length": "n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 10 * n_words)",
+}
+#: A rule's weight of the prior, from the hosts' counts: the intraclass correlation, turned round.
+_WEIGHT = """SELECT '{r}' AS rule, p, CASE WHEN rho > 0 THEN least(greatest(1 / rho - 1, 1.0), 1e6) ELSE 1e6 END AS w FROM (SELECT p, CASE WHEN p * (1 - p) > 0 AND size > 0
+THEN (s - f * f / n - (k - 1) * (p * (1 - p))) / (p * (1 - p) * size) ELSE 0.0 END AS rho FROM (SELECT *, f / n AS p, n - n2 / n - (k - 1) AS size
+FROM (SELECT count(*)::DOUBLE AS k, sum(n::DOUBLE) AS n, sum(n::DOUBLE * n) AS n2, sum(f_{r}::DOUBLE) AS f, sum(f_{r}::DOUBLE * f_{r} / n) AS s FROM h)))"""
+_HOSTS = f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT doc_id, i, concat_ws(chr(1), x, {", ".join(f"lead(x, {k}) OVER o" for k in range(1, 8))}) AS g, lead(x, 7) OVER o AS last FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE last IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS i FROM twice WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+v AS (SELECT *, {", ".join(f"({c}) AS {r}" for r, c in _HOST_RULES.items())} FROM m),
+h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER ({r}) AS f_{r}" for r in _HOST_RULES)} FROM v WHERE source IS NOT NULL GROUP BY source),
+prior AS ({" UNION ALL ".join(_WEIGHT.format(r=r) for r in _HOST_RULES)}),
+rate AS (SELECT source, n, {", ".join(f"(SELECT (f_{r} + p * w) / (n + (p * w + (1 - p) * w)) FROM prior WHERE rule = '{r}') AS rate_{r}" for r in _HOST_RULES)} FROM h)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base AS base_failed,
+NOT (base OR coalesce(rate_base >= 0.5, false) OR {" OR ".join(f"({r} AND coalesce(rate_{r} >= 0.2, false))" for r in list(_HOST_RULES)[1:])}) AS kept, n AS host_docs, round(rate_base, 6) AS host_rate
+FROM v LEFT JOIN rate USING (source)"""
+
 #: The others have no SQL: trained models, tokenizers, a space-filling curve and byte windows are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op2_vectors": f"""WITH RECURSIVE links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
@@ -88,4 +117,5 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), c AS (SELECT x.doc_i
 links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)), {_REACH}
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least.r, doc_id)) AS component_id, doc_id <= coalesce(least.r, doc_id) AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.id = doc_id""",
+    "op11_hosts": _HOSTS,
 }

@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_fingerprint": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_toxicity": "doc_id held_out score predicted",
+    "op11_hosts": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
 }
 
 

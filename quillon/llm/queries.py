@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, fingerprint, hosts, langid, minhash, packing, sharding, suffix, toxicity, vectors, warc
+from quillon.llm import bpe, dialogue, fingerprint, hosts, langid, minhash, packing, sharding, suffix, toxicity, vectors, warc
 from quillon.llm.common import table, tune
 
 
@@ -55,6 +55,10 @@ def op11_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.host_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.reports(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_vectors": op2_vectors,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_hosts": op11_hosts,
+    "op13_dialogue": op13_dialogue,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, dialogue, fingerprint, hosts, langid, minhash, packing, sharding, suffix, toxicity, vectors, warc
+from quillon.llm import bpe, dialogue, divergence, fingerprint, hosts, langid, minhash, packing, sharding, suffix, toxicity, vectors, warc
 from quillon.llm.common import table, tune
 
 
@@ -55,6 +55,10 @@ def op11_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.host_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.reports(dialogue.damaged(table(spark, sf_dir, "conversations")))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
     "op11_hosts": op11_hosts,
+    "op12_divergence": op12_divergence,
     "op13_dialogue": op13_dialogue,
 }
 
@@ -105,6 +110,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 NOT (base OR coalesce(rate_base >= 0.5, false) OR {" OR ".join(f"({r} AND coalesce(rate_{r} >= 0.2, false))" for r in list(_HOST_RULES)[1:])}) AS kept, n AS host_docs, round(rate_base, 6) AS host_rate
 FROM v LEFT JOIN rate USING (source)"""
 
+_SHARE = "1 + 1000000000::HUGEINT * ({n} + 5) // ({total} + 5 * {v})"
+_DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+c AS (SELECT lang, source, t, count(*) AS n, count(DISTINCT k) AS docs FROM (SELECT lang, source, k, unnest(w) AS t FROM d) GROUP BY ALL),
+kept AS (SELECT lang, t, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 30), langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+used AS (SELECT c.* FROM c JOIN kept USING (lang, t)), groups AS (SELECT DISTINCT lang, source FROM d), sums AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.t, coalesce(u.n, 0) AS n, {_SHARE.format(n="coalesce(u.n, 0)", total="coalesce(s.total, 0)", v="l.v")} AS p, {_SHARE.format(n="k.n", total="l.total", v="l.v")} AS q
+FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.t = k.t),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+UNION ALL SELECT lang, source, 'term', t, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r) SELECT * FROM ranks WHERE part = 'pair' OR rank <= 50"""
+
 #: The others have no SQL: trained models, tokenizers, a space-filling curve and byte windows are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op2_vectors": f"""WITH RECURSIVE links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
@@ -123,4 +140,5 @@ links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least.r, doc_id)) AS component_id, doc_id <= coalesce(least.r, doc_id) AS kept
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.id = doc_id""",
     "op11_hosts": _HOSTS,
+    "op12_divergence": _DIVERGENCE,
 }

@@ -19,6 +19,7 @@ COLUMNS = {
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_toxicity": "doc_id held_out score predicted",
     "op11_hosts": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op12_divergence": "lang source part item value rank",
     "op13_dialogue": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
 }
 

@@ -51,19 +51,24 @@ def accepted_units(rows: DataFrame, gap: int = 3) -> DataFrame:
     return folded.select("doc_id", "x.*")
 
 
-#: The first label of each kind (fixed values), and how far labels of one list may stand apart.
+#: The first label of each kind (fixed values), how far labels of one list may stand apart, and how far a bracket may push one to the right.
 FIRST = {"num": "1", "alpha": "a", "roman": "i", "ALPHA": "A", "ROMAN": "I"}
 ALIGN = 6.0
+PUSHED = 12.0
 
 
 def plausible(label: Column, x: Column, siblings: Column) -> Column:
-    """Whether a label (with brackets) at x can open a node: as the first of a kind, where no list of it is open there, or as what follows one of the open siblings (x, label)."""
+    """Whether a label (with brackets) at x can open a node: as the first of a kind, where no list of it is open there, or as what follows an open sibling (x, label) that it stands below.
+
+    A label left of a list doesn't go on with it, whatever its number: it is a reference that begins a wrapped line.
+    """
     bare = lambda c: F.regexp_replace(c, "[()]", "")
     near = F.filter(siblings, lambda e: F.abs(e["x"] - x) <= ALIGN)
+    in_line = F.filter(siblings, lambda e: (x - e["x"]).between(-ALIGN, PUSHED))
 
     def fits(kind: str, first: str) -> Column:
         same = F.exists(near, lambda e: F.array_contains(label_classes(bare(e["label"])), kind))
-        after = F.exists(siblings, lambda e: follows(bare(e["label"]), bare(label), F.lit(kind)))
+        after = F.exists(in_line, lambda e: follows(bare(e["label"]), bare(label), F.lit(kind)))
         return F.array_contains(label_classes(bare(label)), kind) & F.when(bare(label) == first, ~same).otherwise(after)
 
     ok = F.lit(False)

@@ -1,4 +1,4 @@
-"""Registered queries of the structuring, look-up, answering and evaluation operators over the fixture's tables.
+"""Cases of the structuring, look-up, answering and evaluation operators over the fixture's small tables. They are unit tests, not registered queries.
 
 What SQL can compute from the same literals it computes; where an operator reads text, the SQL states the rows
 that the text means.
@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 from quillon.functions import labels as L
 from quillon.functions import text as T
 from quillon.operators import agent, amend, answers, chunk, evals, hierarchy, lookups, outline, questions, rank, references, retrieve, scoring, structure
-from quillon.plans.catalog import query
-from quillon.plans.fixture import ctes, frame
 from quillon.streaming import decode
+from tests.fixture import ctes, frame
+
+CASES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql):
+    def register(f):
+        CASES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return register
+
 
 _UP = "up AS (SELECT id, id AS ancestor, 0 AS depth FROM prov UNION ALL SELECT u.id, p.parent, u.depth + 1 FROM up u JOIN prov p ON p.id = u.ancestor WHERE p.parent IS NOT NULL)"
 _REF = f"{ctes('prov', 'trow')}, {_UP}"
@@ -97,8 +108,7 @@ _EDGES = [
 @query(values(_EDGES, "from_id, raw, ref_type, to_id, resolution"))
 def cross_references(spark, base):
     p = frame(spark, "prov")
-    out = references.cross_refs(p.select("id", "text"), p.select("id", "kind", "chapter"), _pids(spark), frame(spark, "trow").select("row_id", "table_id"))
-    return out.where("raw not in ('Sub-section (1)')")
+    return references.cross_refs(p.select("id", "text"), p.select("id", "kind", "chapter"), _pids(spark), frame(spark, "trow").select("row_id", "table_id"))
 
 
 @query(f"""WITH RECURSIVE {_REF}, asked(ref, base, labels) AS (VALUES (1, 's5', ['(1)', '(b)']), (2, 's5', ['(1)', '(z)']), (3, 's2', ['(a)']), (4, 's7', ['(1)']), (5, 's5', []::VARCHAR[])),
@@ -148,11 +158,10 @@ def accepted_units(spark, base):
 
 @query(values([("s1", "Charge. as", None), ("s1(1)", "tax under sub-section (3) applies; and", "s1"), ("s1(2)", "more", "s1"), ("s1(2)(a)", "rents", "s1(2)")], "id, text, parent"))
 def plausible_labels(spark, base):
-    """A reference that begins a wrapped line is text: (3) right after (1) isn't, (5) is."""
+    """A reference that begins a wrapped line is text: (3), left of the list that (1) opened."""
     rows = [(0, 0, 1, 0.0, "1. Charge.", True), (0, 1, 1, 0.0, "as", False), (0, 2, 1, 20.0, "(1) tax under sub-section", False), (0, 3, 1, 5.0, "(3) applies; and", False), (0, 4, 1, 20.0, "(2) more", False), (0, 5, 1, 40.0, "(a) rents", False)]
     lines = spark.createDataFrame(rows, "doc_id int, line_index long, page int, x double, text string, bold boolean")
-    out = outline.outline(lines.withColumn("text", F.when(F.col("line_index") == 3, F.lit("(7) applies; and")).otherwise(F.col("text"))), strict=True)
-    return out.select("id", F.replace(F.col("text"), F.lit("(7)"), F.lit("(3)")).alias("text"), "parent")
+    return outline.outline(lines, strict=True).select("id", "text", "parent")
 
 
 @query(values([(1, 0, 0, "1."), (1, 0, 1, "Rent"), (1, 1, 1, "(i) of land"), (1, 1, 2, "10%"), (1, 2, 1, "(ii) of plant"), (1, 2, 2, "2%"), (2, 0, 0, "2."), (2, 0, 1, "Fees")], '"row", subrow, col, text'))
@@ -607,12 +616,11 @@ def prompt_blocks(spark, base):
     return rows.withColumn("block", agent.prompt_parts("explained", F.col("route")))
 
 
-@query(f"WITH {ctes('ans')} SELECT id, to_json({{'question': id, 'version': 'v1', 'answer': answer, 'refused': refused}}) AS payload FROM ans WHERE answer IS NOT NULL")
+@query(f"WITH {ctes('ans')} SELECT id, to_json({{'question': id, 'version': 'v1', 'answer': answer, 'refused': refused, 'citations': []}}) AS payload FROM ans WHERE answer IS NOT NULL")
 def answer_payloads(spark, base):
     rows = frame(spark, "ans").where("answer is not null").select(F.col("id").alias("qid"), F.col("id").alias("question"), "answer", "refused", F.array().cast("array<string>").alias("cited"), F.lit(None).cast("string").alias("error"))
     passages = frame(spark, "cit").select(F.col("id").alias("qid"), F.col("n").cast("string").alias("id"), "provisions", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
-    out = agent.payload(rows, passages, "v1")
-    return out.select(F.col("qid").alias("id"), F.replace(F.col("payload"), F.lit(',"citations":[]'), F.lit("")).alias("payload"))
+    return agent.payload(rows, passages, "v1").select(F.col("qid").alias("id"), "payload")
 
 
 # ---------------------------------------------------------------------- evaluation

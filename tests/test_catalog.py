@@ -5,8 +5,8 @@ import math
 import duckdb
 import pytest
 
-from quillon.plans import corpus  # noqa: F401  registers its queries
 from quillon.plans.catalog import ORACLES, QUERIES
+from tests import fixture_cases
 
 BASE = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,6 +34,13 @@ def test_matches_duckdb(spark, duck, name):
     assert got == canonical([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(fixture_cases.CASES))
+def test_fixture_case(spark, duck, name):
+    df = fixture_cases.CASES[name](spark, BASE)
+    cur = duck.execute(fixture_cases.ORACLES[name])
+    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical([c[0] for c in cur.description], cur.fetchall())
+
+
 def test_queries_without_sql(spark):
     for name in set(QUERIES) - set(ORACLES):
         assert QUERIES[name](spark, BASE).count() > 0

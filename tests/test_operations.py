@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon import schemas, scratch
 from quillon.operators import chunk, events, hierarchy
-from quillon.plans.fixture import frame
+from tests.fixture import frame
 from quillon.sources import files, providers
 from quillon.streaming import decode, limits
 

@@ -10,6 +10,8 @@ from quillon.operators.rank import ranked, rrf, slot_merge
 
 #: Queries that are sent to every task at once; more go in blocks.
 QUERY_BLOCK = 4096
+#: Search terms that are sent to every task; more meet the texts in a shuffle.
+TERM_BLOCK = 100_000
 POOL = 30
 
 
@@ -82,16 +84,21 @@ def fits(hits: DataFrame, budget: int) -> DataFrame:
     return hits.groupBy("qid").agg(F.sum("tokens").alias("tokens")).withColumn("fits", F.col("tokens") <= budget)
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(term, id, tf) of rows (id, text); all terms, stop words too."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    return texts.select("id", F.explode(found).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+def postings(texts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf) of rows (id, text): all terms, stop words too, or those wanted (term), which are selected before any shuffle."""
+    found = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    if wanted is not None:
+        found = found.join(wanted, "term", "left_semi")
+    return found.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def full_text(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """OR query over terms: each occurrence of a query term is a cover of its own and weighs 0.1; ordered by weight, then id."""
     asked = queries.select("qid", F.explode(query_terms(F.col("text"))).alias("term"))
-    hits = asked.join(postings(texts), "term").groupBy("qid", "id").agg(F.round(0.1 * F.sum("tf"), 6).alias("score"))
+    wanted = asked.select("term").distinct()
+    if wanted.count() <= TERM_BLOCK:
+        wanted = F.broadcast(wanted)
+    hits = asked.join(postings(texts, wanted), "term").groupBy("qid", "id").agg(F.round(0.1 * F.sum("tf"), 6).alias("score"))
     return ranked(hits, [F.desc("score"), F.col("id")], k).select("qid", "rank", "id", "score")
 
 

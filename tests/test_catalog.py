@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quillon.plans.catalog import ORACLES, QUERIES
+from quillon.plans.registry import ORACLES, QUERIES
 from tests import fixture_cases
 
 BASE = "/root/testdata/sf0.001"

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon import schemas, scratch
 from quillon.operators import chunk, events, hierarchy
-from tests.fixture import frame
-from quillon.sources import files, providers
+from quillon.sources import files, providers, snapshots
 from quillon.streaming import decode, limits
+from tests.fixture import frame
 
 
 def test_corpus_is_reloaded(spark, tmp_path):
@@ -18,10 +18,11 @@ def test_corpus_is_reloaded(spark, tmp_path):
     for _ in range(2):  # again: replaced, not added
         counts = files.load_corpus(p, frame(spark, "tab"), frame(spark, "trow"), frame(spark, "amend"), refs, str(tmp_path))
     assert counts == {"provisions": 16, "tables": 1, "table_rows": 4, "amendments": 4, "amendment_links": 4, "cross_refs": 1}
-    marked = spark.read.parquet(f"{tmp_path}/provisions").where("text_marked is not null")
+    marked = snapshots.read(spark, str(tmp_path), "provisions").where("text_marked is not null")
     assert [r["id"] for r in marked.collect()] == ["s5(1)(a)"]
-    files.bulk_insert(refs.select(*reversed(refs.columns)), f"{tmp_path}/cross_refs")
-    assert spark.read.parquet(f"{tmp_path}/cross_refs").where("to_id = 's2'").count() == 2
+    files.bulk_insert(refs.select(*reversed(refs.columns)), f"{tmp_path}/more_refs")
+    files.bulk_insert(refs, f"{tmp_path}/more_refs")
+    assert spark.read.parquet(f"{tmp_path}/more_refs").where("to_id = 's2'").count() == 2
 
 
 def test_index_is_built_per_version(spark, tmp_path):

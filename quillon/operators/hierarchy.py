@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.labels import roman_value
 from quillon.functions.text import ancestors
 from quillon.scratch import materialize
 
@@ -84,3 +85,65 @@ def breadcrumb(tree: DataFrame, nodes: DataFrame, separator: str = " · ") -> Da
 def subtree_depth(pid):
     """How many brackets and segments an id has."""
     return F.length(F.regexp_replace(pid, "[^(:]", ""))
+
+
+# ---------------------------------------------------------------------- moving subtrees
+
+
+def moved(tree: DataFrame, moves: DataFrame) -> DataFrame:
+    """The closure (id, ancestor, depth) after subtrees move: moves has (id, parent), each root with its new parent (null: none).
+
+    Moves hold together, also where one root lies below another or goes below one. The tree is cut above every root; paths within a
+    piece stay as they are, and only paths across a cut are made anew: from a node up to its piece's root, over the new edge to
+    the parent, up within the parent's piece, and so on. A move below itself raises.
+    """
+    roots = materialize(moves.select("id", "parent"), "moves")
+    cut = roots.select(F.col("id").alias("ancestor"))
+    # a node's piece is named by the nearest root at or above it; null is what no cut lies above
+    at = tree.join(cut, "ancestor").groupBy("id").agg(F.min(F.struct("depth", "ancestor")).alias("m")).select("id", F.col("m.ancestor").alias("piece"), F.col("m.depth").alias("down"))
+    at = materialize(at, "pieces")
+    piece = lambda df, c, to: df.join(at.select(F.col("id").alias(c), F.col("piece").alias(to)), c, "left")
+    both = piece(piece(tree, "id", "_p"), "ancestor", "_q")
+    inside = materialize(both.where(F.col("_p").eqNullSafe(F.col("_q"))).select("id", "ancestor", "depth"), "inside")
+    # each root's edge up: into which piece it leads, and how far below that piece's root it ends
+    up = roots.where("parent is not null").join(at.select(F.col("id").alias("parent"), F.col("piece").alias("over"), F.col("down").alias("deep")), "parent", "left")
+    up = materialize(up, "new-edges")
+    chain = closure(up.select("id", F.col("over").alias("parent")).unionByName(roots.where("parent is null").select("id", F.lit(None).cast(dict(tree.dtypes)["id"]).alias("parent"))))
+    # along a chain of roots: the steps from its first root to the place where its k-th root's new edge ends
+    ends = chain.select(F.col("id").alias("root"), F.col("ancestor").alias("id"), F.col("depth").alias("hop")).join(up, "id")
+    w = Window.partitionBy("root").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("steps", F.lit(1) + F.coalesce(F.sum(F.col("deep") + 1).over(w), F.lit(0))).select("root", F.col("parent").alias("mid"), "steps")
+    below = at.select("id", F.col("piece").alias("root"), "down")
+    across = below.join(ends, "root").join(inside.select(F.col("id").alias("mid"), "ancestor", F.col("depth").alias("more")), "mid")
+    return inside.unionByName(across.select("id", "ancestor", (F.col("down") + F.col("steps") + F.col("more")).cast("int").alias("depth")))
+
+
+def renamed(tree: DataFrame, moves: DataFrame, label: Column, separator: str = "") -> DataFrame:
+    """(id, new_id) of every node at or below a moved root, where ids are paths: the names of all that encloses a node after the move, from the top, joined.
+
+    label: a node's own part of its id, of column id.
+    """
+    after = moved(tree, moves)
+    touched = tree.join(moves.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id").distinct()
+    parts = after.join(touched, "id").select("id", "depth", F.col("ancestor").alias("node"))
+    own = tree.select("id").distinct().select(F.col("id").alias("node"), label.alias("name"))
+    path = parts.join(own, "node").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "name")), asc=False).alias("p"))
+    return path.select("id", F.array_join(F.transform("p", lambda x: x["name"]), separator).alias("new_id"))
+
+
+def misread_numerals(nodes: DataFrame) -> DataFrame:
+    """(id, parent) of the moves that right a list of numerals (i), (ii), ... read as siblings after the clause (h): all of them belong below it.
+
+    nodes: (id, parent, number, ord). Where (ii) follows, (i) was no letter; the run ends where the numerals do.
+    """
+    w = Window.partitionBy("parent").orderBy("ord")
+    bare = F.lower(F.regexp_replace("number", "[()]", ""))
+    rows = nodes.select("id", "parent", "ord", bare.alias("n")).withColumns({"before": F.lag("n").over(w), "after": F.lead("n").over(w), "letter": F.lag("id").over(w)})
+    starts = (F.col("n") == "i") & (F.col("before") == "h") & (F.col("after") == "ii")
+    value = roman_value(F.col("n"))
+    rows = rows.withColumns({"starts": starts, "value": value})
+    rows = rows.withColumn("run", F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("run > 0")
+    in_run = Window.partitionBy("parent", "run").orderBy("ord")
+    rows = rows.withColumn("goes_on", F.col("value") == F.row_number().over(in_run)).withColumn("under", F.first("letter").over(in_run))
+    broken = F.max((~F.coalesce("goes_on", F.lit(False))).cast("int")).over(in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_b", broken).where("_b = 0").select("id", F.col("under").alias("parent"))

@@ -73,13 +73,13 @@ def coverage(chunks: DataFrame, probes: DataFrame, length: int = 60, least: int
     return found.select("chunk", "probe_id")
 
 
-def structural(nodes: DataFrame, tree: DataFrame, texts: DataFrame, most: int = MOST) -> DataFrame:
+def structural(nodes: DataFrame, tree: DataFrame, counts: DataFrame, most: int = MOST) -> DataFrame:
     """The cut through a tree: (id, whole, tokens) of the nodes that become chunks.
 
     A node is one chunk with all below it if that has at most `most` tokens or no child; otherwise its own
-    text is a chunk and its children are cut likewise. tree: (id, ancestor, depth); texts: (id, text) of subtrees.
+    text is a chunk and its children are cut likewise. tree: (id, ancestor, depth); counts: (id, all_tokens) of subtrees.
     """
-    sized = nodes.join(texts.select("id", token_count(F.col("text")).alias("all_tokens")), "id", "left").na.fill({"all_tokens": 0})
+    sized = nodes.join(counts.select("id", F.col("all_tokens").cast("int").alias("all_tokens")), "id", "left").na.fill({"all_tokens": 0})
     parents = nodes.where("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
     sized = sized.join(parents, "id", "left").withColumn("split", (F.col("all_tokens") > most) & F.coalesce("inner", F.lit(False)))
     above = tree.where("depth > 0").join(sized.select(F.col("id").alias("ancestor"), F.col("split").alias("up")), "ancestor")
@@ -123,12 +123,12 @@ def build(version: str, corpus: dict[str, DataFrame]) -> DataFrame:
         return pages.select(F.concat_ws(":", F.lit(version), F.col("doc_id").cast("string"), F.col("start").cast("string")).alias("id"), "text")
     if version != "v2":
         raise ValueError(f"no chunker for {version}")
-    from quillon.operators.hierarchy import closure, subtree_text
+    from quillon.operators.hierarchy import closure, subtree_text, subtree_tokens
 
     nodes = corpus["nodes"]
     tree = closure(nodes.select("id", "parent"))
-    below = subtree_text(tree, nodes)
-    cut = structural(nodes, tree, below)
+    cut = structural(nodes, tree, subtree_tokens(tree, nodes))
+    below = subtree_text(tree, nodes, only=cut.where("whole"))  # texts of chunks only
     own = cut.where("not whole").join(nodes, "id").select("id", "text")
     parts = cut.where("whole").join(below, "id").select("id", "text").unionByName(own).unionByName(row_chunks(corpus["table_rows"]).select("id", "text")).unionByName(note_chunks(corpus["tables"]).select("id", "text"))
     return split_oversize(parts.withColumn("id", F.concat(F.lit("v2:"), "id")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.labels import roman_value
-from quillon.functions.text import ancestors
+from quillon.functions.text import ancestors, token_count
 from quillon.scratch import materialize
 
 
@@ -46,13 +46,24 @@ def subtree(tree: DataFrame, roots: DataFrame, nodes: DataFrame, limit: int | No
     return found
 
 
-def subtree_text(tree: DataFrame, nodes: DataFrame, separator: str = "\n") -> DataFrame:
-    """(id, text): every node's own text and that of all below it, in document order."""
+def subtree_text(tree: DataFrame, nodes: DataFrame, separator: str = "\n", only: DataFrame | None = None) -> DataFrame:
+    """(id, text): a node's own text and that of all below it, in document order; of all nodes, or of those in `only` (id).
+
+    A text is copied to every asked node above it: ask for chunks, not for all that encloses them.
+    """
+    if only is not None:
+        tree = tree.join(only.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
     rows = tree.join(nodes.select("id", "ord", "text"), "id").where("text is not null")
     parts = rows.groupBy("ancestor").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("parts"))
     return parts.select(F.col("ancestor").alias("id"), F.array_join(F.transform("parts", lambda p: p["text"]), separator).alias("text"))
 
 
+def subtree_tokens(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, all_tokens): how many tokens a node's text and all below it have: counts are added up, no text is moved."""
+    counts = nodes.where("text is not null").select("id", token_count(F.col("text")).alias("n"))
+    return tree.join(counts, "id").groupBy(F.col("ancestor").alias("id")).agg(F.sum("n").alias("all_tokens"))
+
+
 def rollup(tree: DataFrame, values: DataFrame, *aggs) -> DataFrame:
     """Aggregates values (id, ...) of each node's subtree."""
     return tree.join(values, "id").groupBy("ancestor").agg(*aggs)

@@ -277,14 +277,14 @@ cut AS (SELECT id, NOT split AS whole, CASE WHEN split THEN own ELSE n END AS to
 @query(f"WITH RECURSIVE {_REF}, {_CUT} SELECT id, whole, tokens::INT AS tokens FROM cut WHERE tokens > 0")
 def structural_cut(spark, base):
     tree = _tree(spark)
-    return chunk.structural(frame(spark, "prov"), tree, hierarchy.subtree_text(tree, frame(spark, "prov")), 20)
+    return chunk.structural(frame(spark, "prov"), tree, hierarchy.subtree_tokens(tree, frame(spark, "prov")), 20)
 
 
 @query(f"""WITH RECURSIVE {_REF}, {_CUT}, o AS (SELECT c.id, u.depth, left(trim(concat_ws(' ', p.label, p.text)), 160) AS opening FROM cut c JOIN up u ON u.id = c.id AND u.depth > 0 JOIN cut s ON s.id = u.ancestor AND NOT s.whole JOIN prov p ON p.id = u.ancestor WHERE c.tokens > 0 AND s.tokens > 0)
 SELECT id, string_agg(opening, ' ' ORDER BY depth DESC) AS lead FROM o GROUP BY id""")
 def chunk_leads(spark, base):
     tree, p = _tree(spark), frame(spark, "prov")
-    return chunk.leads(p, tree, chunk.structural(p, tree, hierarchy.subtree_text(tree, p), 20))
+    return chunk.leads(p, tree, chunk.structural(p, tree, hierarchy.subtree_tokens(tree, p), 20))
 
 
 @query(f"""WITH {ctes('trow')} SELECT row_id AS id, concat_ws(' | ', row_heading, array_to_string(list_transform(list_filter(map_entries(cells), lambda e: e.value IS NOT NULL AND e.value <> ''), lambda e: e.key || ': ' || e.value), '; ')) AS text, row_id || '; ' || table_id AS provisions FROM trow""")

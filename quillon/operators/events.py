@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.scratch import materialize
+
 
 def asof_next(rows: DataFrame, key: str | list[str], order: Column, is_target: Column, value: Column, out: str) -> DataFrame:
     """Adds to each row the value of the next target row of its key, strictly later in order; ties aren't later, and of equal later targets any one counts.
@@ -39,6 +41,27 @@ def nearest(rows: DataFrame, key: str | list[str], place: str, is_target: Column
     return out
 
 
+def successors(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds `next`: the smallest later value of `order` among rows of the same keys (distinct values), null for the last.
+
+    Rows are range-partitioned by keys and order, so a hot key lies in several tasks; what a partition lacks, the first row
+    of the one after it, is carried over: one row for each partition.
+    """
+    placed = rows.select(*keys, order).repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    placed = materialize(placed.withColumn("_mid", F.monotonically_increasing_id()), "successors")
+    part = F.shiftrightunsigned("_mid", 33)
+    placed = placed.withColumn("_part", part)
+    within = Window.partitionBy("_part").orderBy("_mid")
+    here = placed.withColumn("_then", F.lead(F.struct(*keys, order)).over(within))
+    heads = placed.groupBy("_part").agg(F.min_by(F.struct(*keys, order), "_mid").alias("_head"))
+    after = heads.select("_part", F.lead("_head").over(Window.orderBy("_part")).alias("_over"))  # one row for each partition
+    both = here.join(F.broadcast(after), "_part").withColumn("_n", F.coalesce("_then", "_over"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_n.{k}").eqNullSafe(F.col(k))
+    return both.select(*keys, order, F.when(F.col("_n").isNotNull() & same, F.col(f"_n.{order}")).alias("next"))
+
+
 def group_runs(rows: DataFrame, key: str, order: list[str], starts: Column) -> DataFrame:
     """Numbers runs of rows: a row where `starts` holds begins a new one. starts may use lag over the same order."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import chunk, evals, events, hierarchy, rank, retrieve
+from quillon.operators import chunk, evals, events, hierarchy, rank, retrieve, textindex
+from quillon.plans.derived import place
+from quillon.sources import snapshots
 from quillon.tables import events as load_events
 from quillon.tables import load
 
@@ -70,8 +72,8 @@ def _dense(spark, base, k=30):
 
 def _by_label(spark, base, k=30):
     """Documents of the query's label, largest id first: a second ranked list to fuse."""
-    same = asked(spark, base).select("qid", "label").join(vectors(spark, base).select("id", "label"), "label")
-    return rank.ranked(same, [F.desc("id")], k).select("qid", "rank", "id")
+    highest = rank.ranked(vectors(spark, base).select("id", "label"), [F.desc("id")], k, "label")  # at most k of each label meet the queries
+    return asked(spark, base).select("qid", "label").join(highest, "label").select("qid", "rank", "id")
 
 
 _LABELLED = "labelled AS (SELECT q.qid, row_number() OVER (PARTITION BY q.qid ORDER BY e.vec_id DESC) AS rank, e.vec_id AS id FROM q JOIN embeddings e ON e.label = q.qlabel)"
@@ -124,16 +126,30 @@ def _benchmark(spark, base):
 
 @query(f"WITH {_FTS} SELECT qid, rank, id, score FROM ftsr WHERE rank <= 10")
 def fts_or_rank(spark, base):
+    """Through an index of the documents, which the first search builds."""
+    return textindex.search(spark, _index(spark, base), _benchmark(spark, base), 10)
+
+
+@query(f"WITH {_FTS} SELECT qid, rank, id, score FROM ftsr WHERE rank <= 10")
+def fts_scan(spark, base):
+    """Without an index: texts are searched for the query's terms."""
     return retrieve.full_text(_benchmark(spark, base), _texts(spark, base), 10)
 
 
+def _index(spark, base):
+    root = place(spark, base, ["documents"], "text-index")
+    if snapshots.current(spark, root) is None:
+        textindex.append(spark, root, _texts(spark, base))
+    return root
+
+
 @query(f"""WITH {_PAIRS}, {_FTS}, hits AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, id FROM pairs),
 lists AS (SELECT qid, id, 1.0 / (60 + rank) AS part FROM hits WHERE rank <= 30 UNION ALL SELECT qid, id, 1.0 / (60 + rank) FROM ftsr WHERE rank <= 30 AND qid IN (SELECT qid FROM q)),
 fused AS (SELECT qid, id, sum(part) AS score FROM lists GROUP BY qid, id), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id) AS rank, id, round(score, 6) AS score FROM fused)
 SELECT qid, rank, id, score FROM r WHERE rank <= 10""")
 def hybrid_search(spark, base):
     """Vectors and full text of the same ids, fused: a query's vector and its benchmark text where it has one."""
-    text = retrieve.full_text(_benchmark(spark, base), _texts(spark, base), 30)
+    text = textindex.search(spark, _index(spark, base), _benchmark(spark, base), 30)
     text = text.join(asked(spark, base).select("qid"), "qid", "left_semi")
     return retrieve.hybrid({"dense": _dense(spark, base), "fts": text.select("qid", "rank", "id")}, {}, 10)
 
@@ -146,8 +162,7 @@ r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) A
 def xref_one_hop(spark, base):
     """Edges lead from each vector to the next of its label; each vector covers itself."""
     v = vectors(spark, base)
-    nxt = F.lead("id").over(Window.partitionBy("label").orderBy("id"))
-    edges = v.select(F.col("id").alias("src"), nxt.alias("dst")).where("dst is not null")
+    edges = events.successors(v.select("label", "id"), ["label"], "id").select(F.col("id").alias("src"), F.col("next").alias("dst")).where("dst is not null")
     cover = v.select(F.col("id").alias("chunk"), F.col("id").alias("pid"))
     seeds = _dense(spark, base, 3).select("qid", "id")
     found = retrieve.one_hop(seeds, edges, cover, asked(spark, base).select("qid", "vector"), v.select("id", "vector"), 10)
@@ -367,11 +382,10 @@ def percentile_nearest_rank(spark, base):
     return evals.nearest_rank(load(spark, base, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
-@query("""SELECT l.toxic::VARCHAR AS type, count(*) AS n, round(avg(n_chars), 4) AS n_chars, round(avg(quality), 4) AS quality FROM documents JOIN labels l USING (doc_id) GROUP BY ROLLUP (l.toxic)""")
+@query("""SELECT l.toxic::VARCHAR AS type, count(*) AS n, round_even(avg(n_chars), 4) AS n_chars, round_even(avg(quality), 4) AS quality FROM documents JOIN labels l USING (doc_id) GROUP BY ROLLUP (l.toxic)""")
 def rollup_by_type(spark, base):
     rows = load(spark, base, "documents").join(load(spark, base, "labels"), "doc_id").withColumn("type", F.col("toxic").cast("string"))
-    out = rows.rollup("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("n_chars"), F.round(F.avg("quality"), 4).alias("quality"))
-    return out
+    return evals.by_type(rows, ["n_chars", "quality"])
 
 
 @query("""WITH r AS (SELECT n_chars < 1000 AS said, quality = 0 AS poor FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (said AND poor) AS tp, count(*) FILTER (said AND NOT poor) AS fp, count(*) FILTER (NOT said AND poor) AS fn FROM r)
@@ -489,8 +503,7 @@ def json_props(spark, base):
 
 @query(r"""SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?[ ]?%?'), lambda x: trim(x)), lambda x: length(x) > 1)))::INT AS numbers FROM documents WHERE text IS NOT NULL""")
 def numbers_in_text(spark, base):
-    found = F.transform(F.regexp_extract_all("text", F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?[ ]?%?"), F.lit(0)), lambda x: F.trim(x))
-    return load(spark, base, "documents").where("text is not null").select("doc_id", F.size(F.array_distinct(F.filter(found, lambda x: F.length(x) > 1))).alias("numbers"))
+    return load(spark, base, "documents").where("text is not null").select("doc_id", F.size(T.stated_numbers(F.col("text"))).alias("numbers"))
 
 
 @query("""SELECT doc_id, 'hash|passage|' || sha256(text) AS key FROM documents WHERE text IS NOT NULL""")
@@ -519,11 +532,10 @@ def breadcrumbs(spark, base):
     return hierarchy.breadcrumb(hierarchy.closure(tree), tree.select("id", F.col("id").alias("name")))
 
 
-@query("SELECT lang AS type, round(avg(CASE WHEN toxic = 0 THEN n_chars END), 4) AS clean, round(avg(CASE WHEN toxic = 1 THEN n_chars END), 4) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+@query("SELECT lang AS type, round_even(avg(CASE WHEN toxic = 0 THEN n_chars END), 4) AS clean, round_even(avg(CASE WHEN toxic = 1 THEN n_chars END), 4) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def version_comparison(spark, base):
     rows = load(spark, base, "documents").join(load(spark, base, "labels"), "doc_id").withColumn("version", F.when(F.col("toxic") == 1, "toxic").otherwise("clean")).withColumn("type", F.col("lang"))
-    wide = rows.groupBy("type").pivot("version", ["clean", "toxic"]).agg(F.round(F.avg("n_chars"), 4))
-    return wide.select("type", "clean", "toxic")
+    return evals.compare_versions(rows, "n_chars").select("type", "clean", "toxic")
 
 
 @query("""WITH p AS (SELECT a.n_chars AS lay, b.n_chars AS original FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT count(*) AS n, round(avg(lay), 4) AS lay, round(avg(original), 4) AS original, round(avg(lay - original), 4) AS gain FROM p""")

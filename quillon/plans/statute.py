@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.labels import to_roman
 from quillon.operators import hierarchy
+from quillon.plans.derived import derived
 from quillon.tables import load
 
 _ROMAN = "(['', 'X', 'XX', 'XXX'][{n} // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][{n} % 10 + 1])"
@@ -49,7 +50,15 @@ def lines(spark: SparkSession, base: str) -> DataFrame:
     return rows.withColumns({"node": _str(F.col("clause"), "(", F.col("letter"), ")"), "pct": F.round(F.col("l_discount") * 100).cast("int"), "price": F.floor("l_extendedprice").cast("long")})
 
 
+_TABLES = ["nation", "customer", "orders", "lineitem"]
+
+
 def provisions(spark: SparkSession, base: str) -> DataFrame:
+    """id, kind, number, label, heading, text, text_marked, parent, chapter, schedule, page_start, page_end, ord: written once."""
+    return derived(spark, base, _TABLES, "provisions", lambda: _provisions(spark, base))
+
+
+def _provisions(spark: SparkSession, base: str) -> DataFrame:
     nation = load(spark, base, "nation").select(F.col("n_nationkey").alias("h"), to_roman(F.col("n_nationkey") + 1).alias("chapter"), "n_name")
     customer = load(spark, base, "customer").join(nation, F.col("c_nationkey") == F.col("h"))
     ord_of = (F.col("h") + 1).cast("long") * 10**15
@@ -102,7 +111,7 @@ def table_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, base: str) -> DataFrame:
-    return hierarchy.closure(provisions(spark, base).select("id", "parent"))
+    return derived(spark, base, _TABLES, "closure", lambda: hierarchy.closure(provisions(spark, base).select("id", "parent")))
 
 
 def pids(spark: SparkSession, base: str) -> DataFrame:

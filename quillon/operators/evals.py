@@ -19,7 +19,8 @@ def retrieval_metrics(gold: DataFrame, ranked: DataFrame, tree: DataFrame | None
     """
     reach = gold.select("qid", "gold", F.col("gold").alias("pid"))
     if tree is not None:
-        reach = gold.join(tree.select(F.col("id").alias("pid"), F.col("ancestor").alias("gold")), "gold").select("qid", "gold", "pid")
+        below = gold.join(tree.select(F.col("id").alias("pid"), F.col("ancestor").alias("gold")), "gold").select("qid", "gold", "pid")
+        reach = reach.unionByName(below).distinct()  # ids outside the tree, such as rows, find themselves
     found = reach.join(ranked, ["qid", "pid"], "left").groupBy("qid", "gold").agg(F.min("rank").alias("first"))
     aggs = [F.avg((F.coalesce(F.col("first"), F.lit(1 << 30)) <= k).cast("double")).alias(f"recall_{k}") for k in CUTS]
     aggs += [F.max((F.coalesce(F.col("first"), F.lit(1 << 30)) <= k).cast("double")).alias(f"hit_{k}") for k in CUTS]

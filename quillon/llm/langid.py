@@ -1,6 +1,7 @@
 """Language identification with a byte convolutional network: filters of several widths, max pooling, softmax.
 
-The network is trained here in numpy, on windows of at most SAMPLE labelled texts (a documented bound), and
+The network is trained here in numpy, on PIECES pieces of each of at most SAMPLE labelled texts (documented bounds), which
+a hash draws from the whole text, and
 applied to every window of every text, in batches of fixed-length windows. A text's scores are the means of
 its windows' probabilities. Only the text goes into a prediction.
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import hash_sample, tune
 
 SAMPLE = 4000
-#: Characters of each sampled text, taken from its middle.
-EXCERPT = 600
+#: Pieces drawn from each sampled text, from anywhere in it, and their characters. A text of no more than all of them is taken whole.
+PIECES = 3
+PIECE = 200
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -164,17 +166,19 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> ByteCnn | None:
-    """Trains on excerpts of at most `sample` labelled documents outside fold 1, taken by the order of a hash."""
+    """Trains on pieces of at most `sample` labelled documents outside fold 1, taken by the order of a hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold(F.col("doc_id")) != 1, F.lit(False)))
     n = F.char_length("text")
-    middle = F.greatest(F.lit(1), F.floor((n - EXCERPT) / 2).cast("int"))
-    excerpt = F.substring("text", middle, F.lit(EXCERPT))
-    rows = hash_sample(known.select("lang", excerpt.alias("text"), "doc_id"), sample, "doc_id", "lang", "text").collect()
-    labels = sorted({r["lang"] for r in rows})
+    start = lambda k: (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(n - (PIECE - 1), F.lit(1))) + 1).cast("int")
+    drawn = F.array(*[F.substring("text", start(k), F.lit(PIECE)) for k in range(PIECES)])
+    pieces = F.when(n <= PIECES * PIECE, F.array("text")).otherwise(drawn)
+    found = hash_sample(known.select("lang", pieces.alias("pieces"), "doc_id"), sample, "doc_id", "lang", "pieces").collect()
+    rows = [(r["lang"], t) for r in found for t in r["pieces"]]
+    labels = sorted({lang for lang, _ in rows})
     if not labels:
         return None
-    x, owner = windows_of([normal_bytes(r["text"]) for r in rows])
-    y = np.array([labels.index(r["lang"]) for r in rows])[owner]
+    x, owner = windows_of([normal_bytes(t) for _, t in rows])
+    y = np.array([labels.index(lang) for lang, _ in rows])[owner]
     model = ByteCnn(labels)
     if len(labels) > 1:
         model.train(x, y)

@@ -1,46 +1,77 @@
-"""Amounts of rupees in one form: `Rs. 50,00,000`, `50 lakh` after a rupee sign and `fifty lakh rupees` all read rs5000000."""
+"""Texts in one form, token by token: amounts of rupees, shares and grouped numbers read alike however they are written.
+
+`Rs. 50,00,000`, `50 lakh` after a rupee sign and `fifty lakh rupees` all read rs5000000. What a token becomes depends on the tokens around
+it: a number is an amount after the rupee mark, before `rupees`, or before a scale, where number words count too.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.tokens import once, parts
+
 #: Number words by value (fixed values).
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 TENS = "thirty forty fifty sixty seventy eighty ninety hundred".split()
 VALUES = {w: n for n, w in enumerate(UNITS)} | {w: 10 * n for n, w in enumerate(TENS, 3)}
 #: Scales by value (fixed values).
-SCALES = {"lakh": 100_000, "crore": 10_000_000}
-
-_DIGITS = r"\d[\d,]*(?:\.\d+)?"
-_WORDS = "|".join(VALUES)
-SCALED = rf"(?:\brs\.?\s*)?\b({_DIGITS}|{_WORDS})\s+(lakh|crore)s?\b(?:\s+rupees)?"
-MARKED = r"\brs\.?\s*(\d[\d,]*)(?:\.0+)?\b"
-TOLD = r"\b(\d[\d,]*)\s+rupees\b"
-ANY = rf"{SCALED}|{MARKED}|{TOLD}"
-
-
-def _plain_number(digits: Column) -> Column:
-    return F.regexp_replace(digits, ",", "")
-
-
-def _amount(piece: Column) -> Column:
-    """The canonical form of a piece of text that is an amount."""
-    number, scale = F.regexp_extract(piece, SCALED, 1), F.regexp_extract(piece, SCALED, 2)
-    value, times = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for word, n in VALUES.items():
-        value = F.when(number == word, float(n)).otherwise(value)
-    for word, n in SCALES.items():
-        times = F.when(scale == word, float(n)).otherwise(times)
-    value = F.coalesce(value, _plain_number(number).try_cast("double"))
-    whole = F.bround(value * times).cast("decimal(38,0)").cast("string")
-    bare = F.concat(F.regexp_extract(piece, MARKED, 1), F.regexp_extract(piece, TOLD, 1))
-    return F.concat(F.lit(" rs"), F.when(scale != "", whole).otherwise(_plain_number(bare)), F.lit(" "))
-
-
-def money(text: Column) -> Column:
-    """Lower-case text with every amount of rupees in its canonical form; what stands between amounts stays."""
-    signed = F.regexp_replace(text, "₹", " rs ")
-    between = F.split(signed, ANY, -1)
-    amounts = F.transform(F.regexp_extract_all(signed, F.lit(ANY), F.lit(0)), _amount)
-    return F.array_join(F.flatten(F.zip_with(between, amounts, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+SCALES = {"lakh": 100_000, "lakhs": 100_000, "crore": 10_000_000, "crores": 10_000_000}
+#: Marks that go, that part words, and that stay (fixed values).
+DROPPED, PARTED, KEPT = "“”‘’'`\"", "—–‑-", "%.,/()_"
+
+
+def _among(t: Column, values: dict[str, int]) -> Column:
+    return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), t)
+
+
+def one_form(text: Column) -> Column:
+    """A text in lower case, with its amounts in one form and without what only style decides."""
+    return once(parts(F.replace(F.lower(text), F.lit("₹"), F.lit(" rs "))), lambda p: once(F.transform(p, lambda x, i: _amount(p, x, i)), lambda a: _written(p, a)))
+
+
+def _token(p: Column, i: Column) -> Column:
+    return F.coalesce(F.get(p, i)["t"], F.lit(""))
+
+
+def _is_number(t: Column) -> Column:
+    return t.rlike("^[0-9]")
+
+
+def _mark_before(p: Column, i: Column) -> Column:
+    """How many tokens before place i are the rupee mark: rs, or rs with a stop."""
+    return F.when(_token(p, i - 1) == "rs", 1).when((_token(p, i - 1) == ".") & (_token(p, i - 2) == "rs"), 2).otherwise(0)
+
+
+def _amount(p: Column, x: Column, i: Column) -> Column:
+    """Of the token at place i: what it reads as an amount, how many tokens before it are its mark, and how many after it belong to it; null where it is none."""
+    t, number = x["t"], _is_number(x["t"])
+    value = F.when(number, F.replace(t, F.lit(","), F.lit("")).try_cast("double")).otherwise(_among(t, VALUES))
+    scale = F.when(F.get(p, i + 1)["far"], _among(_token(p, i + 1), SCALES))
+    mark = _mark_before(p, i)
+    whole = F.replace(F.regexp_extract(t, r"^[\d,]+", 0), F.lit(","), F.lit(""))
+    rest = F.regexp_replace(F.regexp_extract(t, r"\.\d+$", 0), r"^\.0+$", "")  # paise that aren't nought stand apart
+    told = F.get(p, i + 1)["far"] & (_token(p, i + 1) == "rupees")
+    scaled = F.bround(value * scale).cast("decimal(38,0)").cast("string")
+    after = F.when(scale.isNotNull(), F.when(_token(p, i + 2) == "rupees", 2).otherwise(1)).when((mark == 0) & told, 1).otherwise(0)
+    reads = F.when(value.isNotNull() & scale.isNotNull(), scaled).when(number & ((mark > 0) | told), F.concat_ws(" ", whole, F.nullif(rest, F.lit(""))))
+    return F.when(reads.isNotNull(), F.struct(F.concat(F.lit(" rs"), reads, F.lit(" ")).alias("reads"), mark.alias("mark"), after.alias("after")))
+
+
+def _written(p: Column, a: Column) -> Column:
+    """The tokens joined again: amounts as they read, their marks and what belongs to them gone, other tokens by the marks' lists."""
+    of = lambda i, field: F.coalesce(F.get(a, i)[field], F.lit(0))
+
+    def word(x: Column, i: Column) -> Column:
+        t, before = x["t"], _token(p, i - 1)
+        taken = (of(i + 1, "mark") >= 1) | (of(i + 2, "mark") >= 2) | (of(i - 1, "after") >= 1) | (of(i - 2, "after") >= 2)
+        share = (t == "%") | (t == "percent") | ((t == "per") & (_token(p, i + 1) == "cent"))
+        cent = (t == "cent") & (before == "per") & _is_number(_token(p, i - 2))
+        far = F.when(x["far"], " ").otherwise("")
+        kept = F.when(_is_number(t), F.replace(t, F.lit(","), F.lit(""))).otherwise(t)
+        plain = t.rlike(r"(?U)^[\w]") | F.contains(F.lit(KEPT), t)
+        out = F.when(share & _is_number(before), "%").when(F.contains(F.lit(DROPPED), t), far).when(F.contains(F.lit(PARTED), t), " ").when(plain, F.concat(far, kept)).otherwise(" ")
+        return F.when(F.get(a, i).isNotNull(), F.get(a, i)["reads"]).when(taken | cent, "").otherwise(out)
+
+    joined = F.array_join(F.transform(p, word), "")
+    return F.regexp_replace(F.regexp_replace(joined, r"(?U)\s+", " "), r"^[ .,;]+|[ .,;]+$", "")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import CHANGE_STEMS, contains, fact_match, normal_form, stated_numbers, strings, token_f1
+from quillon.functions.text import CHANGE_STEMS, normal_form, read_answer, read_match, stated_numbers, strings, token_f1
 from quillon.operators.amend import changed_words
 from quillon.operators.evals import nearest_rank, precision_recall
+from quillon.scratch import materialize
 
 #: Words right before the second wording that tell which of the two is the old one (fixed values).
 OLD_IS_SECOND = ["for", "in place of", "instead of"]
@@ -73,11 +74,13 @@ def answer_metrics(records: DataFrame, tree: DataFrame, pairs: DataFrame) -> Dat
     cited = asked.select("id", F.posexplode("cited").alias("n", "c")).select("id", "n", F.explode("c.provisions").alias("pid"))
     hits = reach(asked, tree).join(cited, ["id", "pid"]).groupBy("id").agg(F.count_distinct("n").alias("good"), F.count_distinct("gold").alias("found"))
     asked = asked.join(hits, "id", "left").join(pairs, "id", "left").na.fill(0, ["good", "found"])
-    facts = F.col("gold_facts")
-    exact, soft = F.transform(facts, lambda f: contains(F.col("answer"), f)), F.transform(facts, lambda f: fact_match(F.col("answer"), f))
+    # each answer and its passages are brought into their form once, each fact once
+    asked = asked.withColumn("_read", read_answer(F.col("answer"))).withColumn("_said", normal_form(F.array_join(F.transform("cited", lambda c: c["text"]), " ")))
+    verdict = lambda f: F.struct(F.contains(F.col("_read.form"), normal_form(f)).alias("exact"), read_match(F.col("_read"), f).alias("soft"))
+    asked = asked.withColumn("_facts", F.transform("gold_facts", verdict)).withColumn("_numbers", F.transform(stated_numbers(F.col("answer")), lambda x: F.contains(F.col("_said"), normal_form(x))))
+    facts = F.col("_facts")
+    exact, soft = F.transform(facts, lambda f: f["exact"]), F.transform(facts, lambda f: f["soft"])
     some, n_gold = F.size(F.coalesce(facts, F.array())) > 0, F.size(F.array_distinct(gold_targets(F.col("type"), F.col("gold_provisions"), F.col("gold_table_rows"))))
-    numbers = stated_numbers(F.col("answer"))
-    passages = F.array_join(F.transform("cited", lambda c: c["text"]), " ")
     change = F.lower("gold_amendment.type")
     stems = F.coalesce(*[F.when(change == kind, F.exists(strings(values), lambda s: F.contains(F.lower("answer"), s))) for kind, values in CHANGE_STEMS.items()])
     amended = (F.col("type") == "amendment") & F.col("gold_amendment").isNotNull()
@@ -88,7 +91,7 @@ def answer_metrics(records: DataFrame, tree: DataFrame, pairs: DataFrame) -> Dat
         F.when(some, _share(exact)).alias("fact_recall_exact"), F.when(some, whole(exact)).alias("all_facts_exact"),
         F.when(F.size("cited") > 0, F.col("good") / F.size("cited")).otherwise(0.0).alias("citation_precision"),
         F.when(n_gold > 0, F.col("found") / n_gold).otherwise(0.0).alias("citation_recall"),
-        F.when(F.size(numbers) > 0, _share(F.transform(numbers, lambda x: contains(passages, x)))).alias("grounded_numbers"),
+        F.when(F.size("_numbers") > 0, _share(F.col("_numbers"))).alias("grounded_numbers"),
         F.when(F.col("type") == "table", F.when(some, whole(exact)).otherwise(0.0)).alias("table_exact"),
         F.when(amended, F.coalesce(stems, F.lit(False)).cast("double")).alias("amendment_type"),
         F.when(amended & (F.col("gold_amendment.prior_text") != ""), token_f1(F.col("answer"), F.col("gold_amendment.prior_text"))).alias("prior_text_f1"),
@@ -100,6 +103,7 @@ def answer_metrics(records: DataFrame, tree: DataFrame, pairs: DataFrame) -> Dat
 
 def aggregate(metrics: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     """(type, metric, value): means by type and over all (type null), 4 digits half to even; over all also refusals, costs (1 digit) and latencies (3 digits)."""
+    metrics = materialize(metrics, "metrics")  # read once for each kind of figure below
     flags = ["refused", "should_refuse", "scope_refused"]
     names = [c for c in metrics.columns if c not in ("id", "type", *flags)]
     long = metrics.select("type", F.explode(F.map_entries(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))]))).alias("m")).where("m.value is not null")

@@ -367,7 +367,7 @@ def _rows(spark: SparkSession, base: str) -> DataFrame:
     return i.select((F.col("l_orderkey") * 100 + F.col("k")).alias("id"), F.when(F.col("k") % 2 == 0, "lookup").otherwise("table").alias("type"), question.alias("question"), gold.alias("gold_provisions"), F.array().cast("array<string>").alias("gold_table_rows"), facts.alias("gold_facts"), F.lit(None).cast("struct<type:string,prior_text:string,effective_date:string,footnote:string>").alias("gold_amendment"), (p % 7 == 4).alias("should_refuse"), "node", F.lit("unverified").alias("status"))
 
 
-_PROBLEMS = f"""{SQL}, x AS (SELECT l_orderkey * 100 + k AS id, CASE WHEN k % 2 = 0 THEN 'lookup' ELSE 'table' END AS type, CASE l_partkey % 7 WHEN 0 THEN 'names a provision: s' || c WHEN 1 THEN 'quotes a term: “stock”' WHEN 2 THEN 'unknown gold id s9(999)' WHEN 3 THEN 'fact not in gold text: 777%' WHEN 4 THEN 'a refusal has no gold, an answerable question has some' END AS problem FROM line)"""
+_PROBLEMS = f"""{SQL}, x AS (SELECT l_orderkey * 100 + k AS id, CASE WHEN k % 2 = 0 THEN 'lookup' ELSE 'table' END AS type, CASE l_partkey % 7 WHEN 0 THEN 'names a provision: s' || c WHEN 1 THEN 'quotes a term: stock' WHEN 2 THEN 'unknown gold id s9(999)' WHEN 3 THEN 'fact not in gold text: 777%' WHEN 4 THEN 'a refusal has no gold, an answerable question has some' END AS problem FROM line)"""
 
 
 def _checked(spark: SparkSession, base: str) -> DataFrame:

@@ -742,7 +742,7 @@ def oracle_evidence(spark, base):
 
 
 _LINT = [
-    ("l1", ""), ("l2", "names a provision: s5; quotes a term: \"levy\"; copies the gold text: 'costs accountant holder clause them'; unknown gold id s99; fact not in gold text: 17%"),
+    ("l1", ""), ("l2", "names a provision: s5; quotes a term: levy; copies the gold text: 'costs accountant holder clause them'; unknown gold id s99; fact not in gold text: 17%"),
     ("l3", "a refusal has no gold, an answerable question has some"),
 ]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +24,15 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def release() -> None:
+    """Gives back what a Python worker holds from tasks before: workers are used again, and allocators keep what is freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +45,7 @@ def squeezed(rows: DataFrame) -> DataFrame:
     """Compresses the column text, which then moves through shuffles at a third of its size."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         deflate = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             i = batch.schema.get_field_index("text")

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, materialize, squeezed, tune
+from quillon.llm.common import components, materialize, release, squeezed, tune
 from quillon.llm.words import mix, shingle_sets
 
 BANDS, ROWS = 42, 6
@@ -180,6 +180,7 @@ def _rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     tune(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             sets = shingle_sets([(t or "").encode() for t in batch["text"].to_pylist()], shingle)
             keys = band_keys(filled(registers(sets)))
@@ -236,6 +237,7 @@ def _confirm(docs: DataFrame, reps: DataFrame, clusters: DataFrame, shingle: int
     """Edges (a, b) of spanning forests of the confirmed links within each cluster; reps: (id, k) of the row that stands for a class."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         inflate = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sets = shingle_sets([inflate(t) for t in batch["text"].to_pylist()], shingle)

@@ -99,7 +99,7 @@ def test_windows(spark):
 def test_structural(spark):
     nodes = spark.createDataFrame([("r", None, 0, "root words"), ("a", "r", 1, "x " * 900), ("b", "r", 2, "y " * 10), ("b1", "b", 3, "z z")], "id string, parent string, ord int, text string")
     tree = hierarchy.closure(nodes.select("id", "parent"))
-    cut = {r["id"]: (r["whole"], r["tokens"]) for r in chunk.structural(nodes, tree, hierarchy.subtree_text(tree, nodes)).collect()}
+    cut = {r["id"]: (r["whole"], r["tokens"]) for r in chunk.structural(nodes, tree, hierarchy.subtree_tokens(tree, nodes)).collect()}
     assert cut == {"r": (False, 2), "a": (True, 900), "b": (True, 12)}
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import hash_sample, tune
+from quillon.llm.common import hash_sample, release, tune
 
 SAMPLE = 4000
 #: Pieces drawn from each sampled text, from anywhere in it, and their characters. A text of no more than all of them is taken whole.
@@ -192,6 +192,7 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # some 100 kB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         net = shared.value
         for batch in batches:
             texts = batch["text"].to_pylist()

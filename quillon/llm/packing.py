@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe
-from quillon.llm.common import global_rank, materialize, tune
+from quillon.llm.common import global_rank, materialize, release, tune
 
 GRID = 256
 END_ID = 2
@@ -35,6 +35,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int) -> DataFra
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and end id, cut at multiples of capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tables = bpe.load(vocabulary)
         for batch in batches:
             ids, at = tables.encode(["" if t is None else t for t in batch["text"].to_pylist()])

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, partitions, squeezed, tune
+from quillon.llm.common import materialize, partitions, release, squeezed, tune
 from quillon.llm.words import mix, powers, word_bounds, word_hashes
 
 LIMIT = 4000
@@ -165,6 +165,7 @@ def runs(docs: DataFrame, length: int, unit: Unit = BYTES) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             doc, k = batch["doc"].to_numpy(), batch["k"].to_numpy()
             parts: list[tuple[int, int, bytes]] = []

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import hash_sample, materialize, tune
+from quillon.llm.common import hash_sample, materialize, release, tune
 from quillon.llm.langid import fold
 from quillon.llm.words import mix, powers
 
@@ -131,6 +131,7 @@ def all_terms(sample: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The terms of rows (text, toxic), and of each the root of twice its log-likelihood ratio, by the number of texts of each class with it and without."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             toxic = np.asarray(batch["toxic"].to_pylist(), float)
             for owner, h, n, names in text_counts(batch["text"].to_pylist()):
@@ -328,6 +329,7 @@ def example_counts(sampled: DataFrame, shared: Broadcast) -> tuple[list[int], np
     """(id, toxic, (terms, numbers of occurrences)) of the sampled rows, counted in tasks; no text comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         deflate = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             owner, term, n = shared.value.counts(batch["text"].to_pylist())
@@ -347,6 +349,7 @@ def example_scores(sampled: DataFrame, index: BlockMaxIndex) -> tuple[np.ndarray
     shared = sampled.sparkSession.sparkContext.broadcast(index)  # terms of 3 * sample rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(shared.value.left_out(batch["text"].to_pylist()), pa.float64())], ["toxic", "raw"])
 
@@ -361,6 +364,7 @@ def frequencies(docs: DataFrame, shared: Broadcast) -> tuple[int, np.ndarray]:
     """The number of all documents, and in how many of them each term occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         voc = shared.value
         total, df = 0, np.zeros(len(voc.names), np.int64)
         for batch in batches:
@@ -384,6 +388,7 @@ def score(docs: DataFrame, index: BlockMaxIndex | None, evidence: bool = True) -
     shared = spark.sparkContext.broadcast(index)  # terms of 3 * SAMPLE rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = shared.value
         for batch in batches:
             scores, near, cosine, terms = [], [], [], []

@@ -68,13 +68,17 @@ def group_runs(rows: DataFrame, key: str, order: list[str], starts: Column) -> D
     return rows.withColumn("run", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def merge_fragments(lines: DataFrame, most: float = 2.5) -> DataFrame:
-    """Joins fragments (doc_id, line_index, y0, x0, text) of one visual line: next to each other in height, and to the right."""
+def merge_fragments(lines: DataFrame, most: float = 2.5, back: bool = False) -> DataFrame:
+    """Joins fragments (doc_id, line_index, y0, x0, text) of one visual line: next to each other in height, and to the right.
+
+    back: a step back in height, however far, begins no new line. Fragments without a height or place stand alone.
+    """
     w = Window.partitionBy("doc_id").orderBy("line_index")
-    starts = F.coalesce((F.abs(F.col("y0") - F.lag("y0").over(w)) >= most) | (F.col("x0") <= F.lag("x0").over(w)), F.lit(True))
+    step = F.col("y0") - F.lag("y0").over(w)
+    starts = F.coalesce(((step if back else F.abs(step)) >= most) | (F.col("x0") <= F.lag("x0").over(w)), F.lit(True))
     runs = group_runs(lines.withColumn("_s", starts), "doc_id", ["line_index"], F.col("_s"))
-    parts = runs.groupBy("doc_id", "run").agg(F.min("line_index").alias("line_index"), F.array_sort(F.collect_list(F.struct("line_index", "text"))).alias("p"))
-    return parts.select("doc_id", "line_index", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
+    parts = runs.groupBy("doc_id", "run").agg(F.min("line_index").alias("line_index"), F.array_sort(F.collect_list(F.struct("line_index", "text"))).alias("p"), F.count("text").alias("n"))
+    return parts.select("doc_id", "line_index", F.when(F.col("n") > 0, F.array_join(F.transform("p", lambda x: x["text"]), " ")).alias("text"))
 
 
 def forward_fill(rows: DataFrame, key: str, order: str, col: str) -> DataFrame:

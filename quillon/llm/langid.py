@@ -35,6 +35,8 @@ BATCH = 64
 UNKNOWN = "und"
 #: Share of correctly classified held-out texts that may score below the level of rejection.
 DOUBTFUL = 0.01
+#: Levels of rejection between 0 and 1.
+LEVELS = 10_000
 BLANK = 0x20
 
 
@@ -227,14 +229,25 @@ def identify(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def least_scores(docs: DataFrame, model: ByteCnn | None, sample: int = SAMPLE) -> dict[str, float]:
-    """For each language the score that all but a share DOUBTFUL of its correctly classified held-out texts reach, on at most `sample` labelled documents of fold 1."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) == 1)).select("doc_id", "lang", "text")
+def least_scores(docs: DataFrame, model: ByteCnn | None) -> dict[str, float]:
+    """For each language the highest level, of LEVELS even ones, that no more than a share DOUBTFUL of its correctly classified held-out texts miss.
+
+    All labelled documents of fold 1 count; what reaches the driver is at most one count for each language and level.
+    """
     if model is None:
         return {}
-    picked = hash_sample(known.select("doc_id", "lang", F.xxhash64("text").alias("h")), sample, "doc_id", "lang", "h").select("doc_id").distinct()
-    rows = predict(known.join(F.broadcast(picked), "doc_id"), model).where("lang_pred = lang")  # `sample` ids at most
-    return {r["lang"]: r["least"] for r in rows.groupBy("lang").agg(F.expr(f"percentile(score, {DOUBTFUL})").alias("least")).collect()}
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) == 1)).select("lang", "text")
+    at = F.floor(F.col("score") * LEVELS).cast("int").alias("at")
+    counts = predict(known, model).where("lang_pred = lang").groupBy("lang", at).agg(F.count(F.lit(1)).alias("n")).collect()
+    total: dict[str, int] = {}
+    for r in counts:
+        total[r["lang"]] = total.get(r["lang"], 0) + r["n"]
+    least, below = {}, dict.fromkeys(total, 0)
+    for r in sorted(counts, key=lambda r: r["at"]):
+        if below[r["lang"]] <= DOUBTFUL * total[r["lang"]]:
+            least[r["lang"]] = r["at"] / LEVELS
+        below[r["lang"]] += r["n"]
+    return least
 
 
 def keep_known(docs: DataFrame, model: ByteCnn | None, least: float | dict[str, float] = 0.0) -> DataFrame:

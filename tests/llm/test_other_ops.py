@@ -359,3 +359,12 @@ def test_search_of_rare_and_common_terms_is_exact():
         w = index.weight(t, n[owner == k])
         w /= np.linalg.norm(w)
         assert np.allclose(cosine, np.sort(every[:, t] @ w)[::-1][:15], atol=1e-5) and np.allclose(every[near][:, t] @ w, cosine, atol=1e-5)
+
+
+def test_levels_of_rejection_come_from_all_held_out_texts(spark, monkeypatch):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("aa").alias("lang"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).cast("string").alias("text"))
+    monkeypatch.setattr(langid, "predict", lambda df, model: df.withColumns({"score": F.col("text").cast("double"), "lang_pred": F.col("lang")}))
+    scores = sorted(float(r["text"]) for r in docs.where(langid.fold(F.col("doc_id")) == 1).collect())
+    least = langid.least_scores(docs, object())["aa"]
+    below = lambda level: sum(s < level for s in scores) / len(scores)
+    assert len(scores) > 2 * langid.SAMPLE and below(least) <= langid.DOUBTFUL < below(least + 1 / langid.LEVELS)

@@ -1,3 +1,6 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from quillon.operators import rank, retrieve
@@ -69,3 +72,28 @@ def test_knn_is_exact(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for r in retrieve.knn(q, c, 3).collect():
         assert np.argsort(-(u[r["qid"]] @ u.T), kind="stable")[r["rank"] - 1] == r["id"]
+
+
+def test_knn_ships_only_the_best_of_each_task(spark, monkeypatch):
+    """Blocks of rows and queries in tasks, ties by id across blocks, k of each group, ids that are strings, vectors of another length, and no shuffle of pairs."""
+    rng = random.Random(4)
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieve, "ROWS", 7)
+    monkeypatch.setattr(retrieve, "ASKED", 2)
+    vectors = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(240)]
+    rows = [(f"d{i}", v, "abc"[i % 3] if i % 11 else None) for i, v in enumerate(vectors)] + [("long", [1.0, 2.0, 3.0, 4.0], "a"), ("none", None, "a")]
+    corpus = spark.createDataFrame(rows, "id string, vector array<float>, g string")
+    asked = [(f"q{i}", v) for i, v in enumerate(vectors[:13])]
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)), 9)
+    known = [(i, v, g) for i, v, g in rows if v and len(v) == 3 and any(v)]
+    for per in (None, "g"):
+        found = retrieve.knn(spark.createDataFrame(asked, "qid string, vector array<float>"), corpus, 4, per=per)
+        got = sorted((r["qid"], (r["g"] or "") if per else "", r["rank"], r["id"], round(r["score"], 7)) for r in found.collect())
+        want = []
+        for q, u in asked:
+            for g in ["a", "b", "c", None] if per else [""]:
+                best = sorted((-cos(u, v), i) for i, v, h in known if not per or h == g)[:4] if any(u) else []
+                want += [(q, g or "", n, i, round(-s, 7)) for n, (s, i) in enumerate(best, 1)]
+        assert got == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan

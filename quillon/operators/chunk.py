@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import n_grams, plain, token_count, tokens
+from quillon.scratch import materialize
 
 WINDOW, OVERLAP, MOST, SPLIT, LEAD = 512, 64, 700, 1500, 160
 
@@ -79,13 +80,16 @@ def structural(nodes: DataFrame, tree: DataFrame, counts: DataFrame, most: int =
     A node is one chunk with all below it if that has at most `most` tokens or no child; otherwise its own
     text is a chunk and its children are cut likewise. tree: (id, ancestor, depth); counts: (id, all_tokens) of subtrees.
     """
-    sized = nodes.join(counts.select("id", F.col("all_tokens").cast("int").alias("all_tokens")), "id", "left").na.fill({"all_tokens": 0})
+    sized = counts.select("id", F.col("all_tokens").cast("int").alias("all_tokens"))
     parents = nodes.where("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("inner", F.lit(True))
-    sized = sized.join(parents, "id", "left").withColumn("split", (F.col("all_tokens") > most) & F.coalesce("inner", F.lit(False)))
-    above = tree.where("depth > 0").join(sized.select(F.col("id").alias("ancestor"), F.col("split").alias("up")), "ancestor")
-    closed = above.where(~F.col("up")).select("id").distinct()  # inside a whole chunk
-    own = F.when(F.col("split"), token_count(F.col("text"))).otherwise(F.col("all_tokens"))
-    return sized.join(closed, "id", "left_anti").select("id", (~F.col("split")).alias("whole"), own.alias("tokens")).where("tokens > 0")
+    sized = materialize(sized.join(parents, "id", "left").where(F.col("inner") | (F.col("all_tokens") > 0)), "sized")
+    # a node holds no fewer tokens than any below it: where one above is whole, the parent is
+    shut = sized.where((F.col("all_tokens") <= most) & F.col("inner")).select(F.col("id").alias("parent"))
+    own = nodes.select("id", "parent", F.coalesce(token_count(F.col("text")), F.lit(0)).alias("own"))
+    free = own.join(shut, "parent", "left_anti").select("id", "own")
+    split = (F.col("all_tokens") > most) & F.coalesce("inner", F.lit(False))
+    out = free.join(sized, "id").select("id", (~split).alias("whole"), F.when(split, F.col("own")).otherwise(F.col("all_tokens")).alias("tokens"))
+    return out.where("tokens > 0")
 
 
 def leads(nodes: DataFrame, tree: DataFrame, cut: DataFrame, longest: int = LEAD) -> DataFrame:

@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import hash_bucket
+from quillon.functions.text import ancestors, hash_bucket
 
 CUTS = (1, 5, 10)
 #: Of the percentiles that bracket a rank.
 ACCURACY = 1000
 
 
-def retrieval_metrics(gold: DataFrame, ranked: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+def retrieval_metrics(gold: DataFrame, ranked: DataFrame, tree: DataFrame | None = None, paths: bool = False) -> DataFrame:
     """Per question recall@k, hit@k and reciprocal rank. gold: (qid, gold); ranked: (qid, rank, pid).
 
-    A gold id is found where it, or with a tree (id, ancestor) one below it, is covered. Questions without gold have no row.
+    A gold id is found where it, or with a tree (id, ancestor) one below it, is covered; with paths, ids tell themselves what
+    encloses them. Questions without gold have no row.
     """
+    if paths:  # gold and all that a ranked id lies in meet in one shuffle by question
+        covered = ranked.select("qid", F.explode(ancestors(F.col("pid"))).alias("gold"), "rank", F.lit(False).alias("asked"))
+        both = gold.select("qid", "gold", F.lit(None).cast(dict(ranked.dtypes)["rank"]).alias("rank"), F.lit(True).alias("asked")).unionByName(covered)
+        found = both.repartition("qid").groupBy("qid", "gold").agg(F.min("rank").alias("first"), F.bool_or("asked").alias("asked")).where("asked")
+        return _recalls(found)
     reach = gold.select("qid", "gold", F.col("gold").alias("pid"))
     if tree is not None:
         below = gold.join(tree.select(F.col("id").alias("pid"), F.col("ancestor").alias("gold")), "gold").select("qid", "gold", "pid")
         reach = reach.unionByName(below).distinct()  # ids outside the tree, such as rows, find themselves
     found = reach.join(ranked, ["qid", "pid"], "left").groupBy("qid", "gold").agg(F.min("rank").alias("first"))
+    return _recalls(found)
+
+
+def _recalls(found: DataFrame) -> DataFrame:
     aggs = [F.avg((F.coalesce(F.col("first"), F.lit(1 << 30)) <= k).cast("double")).alias(f"recall_{k}") for k in CUTS]
     aggs += [F.max((F.coalesce(F.col("first"), F.lit(1 << 30)) <= k).cast("double")).alias(f"hit_{k}") for k in CUTS]
     return found.groupBy("qid").agg(*aggs, F.coalesce(1.0 / F.min("first"), F.lit(0.0)).alias("mrr"))

@@ -38,9 +38,13 @@ def closure(nodes: DataFrame) -> DataFrame:
         span *= 2
 
 
-def subtree(tree: DataFrame, roots: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Nodes below and at each root (root), in document order (ord), with their depth; tree: (id, ancestor, depth)."""
-    found = roots.join(tree, F.col("ancestor") == F.col("root")).join(nodes, "id").select("root", "id", "ord", "depth")
+def subtree(tree: DataFrame, roots: DataFrame | None, nodes: DataFrame | None, limit: int | None = None) -> DataFrame:
+    """Nodes below and at each root (root), in document order (ord), with their depth; tree: (id, ancestor, depth).
+
+    Without roots every ancestor of the tree is one; without nodes the tree has its nodes' ord. Neither needs a join then.
+    """
+    found = tree.withColumn("root", F.col("ancestor")) if roots is None else roots.join(tree, F.col("ancestor") == F.col("root"))
+    found = (found if nodes is None else found.join(nodes, "id")).select("root", "id", "ord", "depth")
     if limit:
         found = found.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("ord"))).where(F.col("_n") <= limit).drop("_n")
     return found
@@ -58,8 +62,13 @@ def subtree_text(tree: DataFrame, nodes: DataFrame, separator: str = "\n", only:
     return parts.select(F.col("ancestor").alias("id"), F.array_join(F.transform("parts", lambda p: p["text"]), separator).alias("text"))
 
 
-def subtree_tokens(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, all_tokens): how many tokens a node's text and all below it have: counts are added up, no text is moved."""
+def subtree_tokens(tree: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, all_tokens): how many tokens a node's text and all below it have: counts are added up, no text is moved.
+
+    Without nodes, rows of the tree have their node's number of tokens n.
+    """
+    if nodes is None:
+        return tree.groupBy(F.col("ancestor").alias("id")).agg(F.sum("n").alias("all_tokens"))
     counts = nodes.where("text is not null").select("id", token_count(F.col("text")).alias("n"))
     return tree.join(counts, "id").groupBy(F.col("ancestor").alias("id")).agg(F.sum("n").alias("all_tokens"))
 

@@ -181,21 +181,31 @@ def cross_refs(texts: DataFrame, nodes: DataFrame, closure: DataFrame, table_row
     """
     refs = references(texts).persist()
     ids, labels = nodes.select("id"), F.array_join("labels", "")
+    # kinds of references that no text has need no joins: one row of flags
+    has = refs.agg(*[F.coalesce(F.bool_or(c & ~F.col("external")), F.lit(False)).alias(k) for k, c in {"near": F.col("kind") == "relative", "named": F.col("target").isNotNull(), "rows": F.size("rows") > 0}.items()]).first()
     out = refs.where("external").select("from_id", _raw(labels).alias("raw"), F.lit("external").alias("ref_type"), F.lit(None).cast("string").alias("to_id"), F.lit("external").alias("resolution"))
     sections = resolve(refs.where("kind = 'section' and not external"), ids, closure)
     kind = F.when(F.size("labels") > 0, "provision").otherwise("section")
     out = out.unionByName(sections.select("from_id", _raw(labels).alias("raw"), kind.alias("ref_type"), "to_id", "resolution"))
-    near = relative(refs.where("kind = 'relative' and not external"), ids, closure)
-    out = out.unionByName(near.select("from_id", _raw(labels).alias("raw"), F.lit("provision").alias("ref_type"), "to_id", "resolution"))
+    if has["near"]:
+        near = relative(refs.where("kind = 'relative' and not external"), ids, closure)
+        out = out.unionByName(near.select("from_id", _raw(labels).alias("raw"), F.lit("provision").alias("ref_type"), "to_id", "resolution"))
+    scopes = sections.select("ref_key", "from_id", "rows", F.coalesce("to_id", "base").alias("scope"))
+    if has["named"]:
+        named, hit = _named(refs, nodes)
+        out = out.unionByName(named.select("from_id", F.concat_ws(" ", "word", "target").alias("raw"), F.col("kind").alias("ref_type"), F.when(hit, F.col("path")).alias("to_id"), F.when(hit, "exact").otherwise("unresolved").alias("resolution")))
+        scopes = scopes.unionByName(named.where(hit).select("ref_key", "from_id", "rows", F.col("path").alias("scope")))
+    return out.unionByName(_row_edges(scopes, closure, table_rows)) if has["rows"] else out
+
+
+def _named(refs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Column]:
+    """References by name with the id (path) that the name stands for, and whether there is such a node."""
     own = nodes.select(F.col("id").alias("from_id"), F.col("chapter").alias("own_chapter"))
     named = refs.where("target is not null and not external").join(own, "from_id", "left")
     chapter = F.coalesce(F.nullif(F.substring_index("target", ":", 1), F.lit("")), "own_chapter")
     path = F.when(F.col("kind") == "schedule", F.concat(F.lit("sch:"), "target")).when(F.col("kind") == "part", F.concat(F.lit("ch:"), chapter, F.lit(":"), F.substring_index("target", ":", -1))).otherwise(F.concat(F.lit("ch:"), "target"))
-    named = named.withColumn("path", path).join(ids.select(F.col("id").alias("path"), F.lit(True).alias("known")), "path", "left")
-    hit = F.coalesce("known", F.lit(False))
-    out = out.unionByName(named.select("from_id", F.concat_ws(" ", "word", "target").alias("raw"), F.col("kind").alias("ref_type"), F.when(hit, F.col("path")).alias("to_id"), F.when(hit, "exact").otherwise("unresolved").alias("resolution")))
-    scopes = sections.select("ref_key", "from_id", "rows", F.coalesce("to_id", "base").alias("scope")).unionByName(named.where(hit).select("ref_key", "from_id", "rows", F.col("path").alias("scope")))
-    return out.unionByName(_row_edges(scopes, closure, table_rows))
+    named = named.withColumn("path", path).join(nodes.select(F.col("id").alias("path"), F.lit(True).alias("known")), "path", "left")
+    return named, F.coalesce("known", F.lit(False))
 
 
 def _raw(labels: Column) -> Column:

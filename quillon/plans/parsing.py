@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.labels import to_roman
@@ -29,29 +29,37 @@ def printed(spark: SparkSession, base: str) -> DataFrame:
     o = c.join(o, c["c_custkey"] == o["o_custkey"])
     items = items.join(o, items["l_orderkey"] == o["o_orderkey"])
 
-    def line(rows: DataFrame, place: int, k, a, sub: int, x, text, bold=False) -> DataFrame:
-        lit = lambda v: v if not isinstance(v, (int, float, bool)) else F.lit(v)
-        return rows.select("doc_id", "n", F.lit(place).alias("place"), lit(k).alias("k"), lit(a).alias("a"), F.lit(sub).alias("sub"), lit(x).cast("double").alias("x"), text.alias("text"), lit(bold).alias("bold"))
+    def line(place: int, k, a, sub: int, x, text, bold=False, when=None) -> Column:
+        lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+        fields = {"place": place, "k": lit(k).cast("int"), "a": lit(a).cast("int"), "sub": sub, "x": lit(x).cast("double"), "text": text, "bold": bold}
+        row = F.struct(*[lit(v).alias(name) for name, v in fields.items()])
+        return row if when is None else F.when(when, row)
+
+    def of(rows: DataFrame, *lines: Column) -> DataFrame:
+        """The lines that each row prints, made where the row stands."""
+        return rows.select("doc_id", "n", F.explode(F.array_compact(F.array(*lines))).alias("line")).select("doc_id", "n", "line.*")
 
     text = lambda *v: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in v])
-    wrapped, false_unit = F.col("l_partkey") % 7 == 0, F.col("l_partkey") % 13 == 0
-    tabled, noted = c.where(F.col("c_custkey") % 3 == 0), c.where(F.col("n") % CHAPTERS == 0)
-    lines = [
-        line(c.where((F.col("n") - 1) % CHAPTERS == 0), 0, 0, 0, 0, 30, text("CHAPTER ", to_roman(F.floor((F.col("n") - 1) / CHAPTERS) + 1)), True),
-        line(c, 1, 0, 0, 0, 0, text(F.col("n"), ". ", F.col("c_name"), "."), True),
-        line(o, 2, F.col("k"), 0, 0, 20, text("(", F.col("k"), ") order ", F.col("o_orderkey"), " holds:")),
-        line(items, 2, F.col("k"), F.col("a"), 0, 40, text("(", F.char(F.col("a") + 96), ") part ", F.col("l_partkey"), F.when(wrapped | false_unit, "").otherwise(";"))),
-        line(items.where(wrapped), 2, F.col("k"), F.col("a"), 1, F.when(F.col("l_partkey") % 2 == 0, 40).otherwise(5), text("(9) of supplier ", F.col("l_suppkey"), ";")),
-        line(items.where(false_unit & ~wrapped), 2, F.col("k"), F.col("a"), 1, 5, text("999. of supplier ", F.col("l_suppkey"), ";"), True),
-        line(c.where(F.col("c_custkey") % 2 == 0), 3, 0, 0, 0, 0, text("So ends ", F.col("c_custkey"), ".")),
-        line(tabled, 4, 0, 0, 0, 30, text("Table")),
-        line(tabled, 4, 0, 0, 1, 35, text("(1) nation ", F.col("c_nationkey"))),
-        line(noted, 5, 0, 0, 0, 30, text("Notes")),
-        line(noted, 5, 0, 0, 1, 0, text("1. Ins. by Act No. ", F.col("c_nationkey"), ".")),
-    ]
-    rows = lines[0]
-    for more in lines[1:]:
-        rows = rows.unionByName(more)
+    wrapped, false_unit = F.coalesce(F.col("l_partkey") % 7 == 0, F.lit(False)), F.coalesce(F.col("l_partkey") % 13 == 0, F.lit(False))
+    tabled, noted = F.col("c_custkey") % 3 == 0, F.col("n") % CHAPTERS == 0
+    sections = of(
+        c,
+        line(0, 0, 0, 0, 30, text("CHAPTER ", to_roman(F.floor((F.col("n") - 1) / CHAPTERS) + 1)), True, (F.col("n") - 1) % CHAPTERS == 0),
+        line(1, 0, 0, 0, 0, text(F.col("n"), ". ", F.col("c_name"), "."), True),
+        line(3, 0, 0, 0, 0, text("So ends ", F.col("c_custkey"), "."), when=F.col("c_custkey") % 2 == 0),
+        line(4, 0, 0, 0, 30, text("Table"), when=tabled),
+        line(4, 0, 0, 1, 35, text("(1) nation ", F.col("c_nationkey")), when=tabled),
+        line(5, 0, 0, 0, 30, text("Notes"), when=noted),
+        line(5, 0, 0, 1, 0, text("1. Ins. by Act No. ", F.col("c_nationkey"), "."), when=noted),
+    )
+    clauses = of(o, line(2, F.col("k"), 0, 0, 20, text("(", F.col("k"), ") order ", F.col("o_orderkey"), " holds:")))
+    parts = of(
+        items,
+        line(2, F.col("k"), F.col("a"), 0, 40, text("(", F.char(F.col("a") + 96), ") part ", F.col("l_partkey"), F.when(wrapped | false_unit, "").otherwise(";"))),
+        line(2, F.col("k"), F.col("a"), 1, F.when(F.col("l_partkey") % 2 == 0, 40).otherwise(5), text("(9) of supplier ", F.col("l_suppkey"), ";"), when=wrapped),
+        line(2, F.col("k"), F.col("a"), 1, 5, text("999. of supplier ", F.col("l_suppkey"), ";"), True, false_unit & ~wrapped),
+    )
+    rows = sections.unionByName(clauses).unionByName(parts)
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "place", "k", "a", "sub"))
     rows = rows.withColumn("line_index", at.cast("bigint"))
     return rows.select("doc_id", "line_index", F.ceil(F.col("line_index") / 40).cast("int").alias("page"), "x", "text", "bold")

@@ -37,6 +37,15 @@ def _recalls(found: DataFrame) -> DataFrame:
     return found.groupBy("qid").agg(*aggs, F.coalesce(1.0 / F.min("first"), F.lit(0.0)).alias("mrr"))
 
 
+def counted_metrics(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """What `retrieval_metrics` gives, where gold ids need only be counted: asked (qid, n) says how many, found (qid, rank) which ranks hold one each."""
+    at = [F.count_if(F.col("rank") <= k).alias(f"at_{k}") for k in CUTS]
+    rows = asked.where("n > 0").join(found.groupBy("qid").agg(F.min("rank").alias("first"), *at), "qid", "left")
+    some = lambda k: F.coalesce(F.col(f"at_{k}"), F.lit(0))
+    recalls = [(some(k) / F.col("n")).alias(f"recall_{k}") for k in CUTS]
+    return rows.select("qid", *recalls, *[(some(k) > 0).cast("double").alias(f"hit_{k}") for k in CUTS], F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(keys, one column per share p): the value at rank round(p * (n - 1)), half to even, of a group's non-null values.
 

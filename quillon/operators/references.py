@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.structure import relative, resolve, table_row_refs, tables_under
+from quillon.scratch import materialize
 
 # What opens a reference, and what it is (fixed values).
 WORDS = {
@@ -179,7 +180,7 @@ def cross_refs(texts: DataFrame, nodes: DataFrame, closure: DataFrame, table_row
     references to the nearest node upwards that has their labels, the rest by name. Serial numbers after a
     section or schedule are edges of their own, to rows of the tables below it.
     """
-    refs = references(texts).persist()
+    refs = materialize(references(texts), "found-references")  # read once for each kind below
     ids, labels = nodes.select("id"), F.array_join("labels", "")
     # kinds of references that no text has need no joins: one row of flags
     has = refs.agg(*[F.coalesce(F.bool_or(c & ~F.col("external")), F.lit(False)).alias(k) for k, c in {"near": F.col("kind") == "relative", "named": F.col("target").isNotNull(), "rows": F.size("rows") > 0}.items()]).first()

@@ -1,7 +1,8 @@
 """Texts in one form, token by token: amounts of rupees, shares and grouped numbers read alike however they are written.
 
 `Rs. 50,00,000`, `50 lakh` after a rupee sign and `fifty lakh rupees` all read rs5000000. What a token becomes depends on the tokens around
-it: a number is an amount after the rupee mark, before `rupees`, or before a scale, where number words count too.
+it: a number is an amount after the rupee mark, before `rupees`, or before a scale, where number words count too. Texts without scales and
+odd numbers, which are most, are read by replacements that say the same.
 """
 
 from __future__ import annotations
@@ -25,9 +26,39 @@ def _among(t: Column, values: dict[str, int]) -> Column:
     return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(float(v)))]), t)
 
 
+#: What only the tokens tell: scales, points and commas after a fraction, digits of other scripts, and the signs that stand for parts of amounts.
+_ODD = r"(?U)lakh|crore|[0-9]\.[0-9]+[.,][0-9]|[\d&&[^0-9]]|[\x01\x02]"
+_RUN = r"[^\W\d_]"  # what a token of letters is made of
+_VALUE = r"([0-9]++)(?:\.0+(?![0-9]))?(\.[0-9]+)?"  # paise that aren't nought stand apart
+
+
 def one_form(text: Column) -> Column:
     """A text in lower case, with its amounts in one form and without what only style decides."""
-    return once(parts(F.replace(F.lower(text), F.lit("₹"), F.lit(" rs "))), lambda p: once(F.transform(p, lambda x, i: _amount(p, x, i)), lambda a: _written(p, a)))
+    return once(F.replace(F.lower(text), F.lit("₹"), F.lit(" rs ")), lambda s: F.when(s.rlike(_ODD), by_tokens(s)).otherwise(_replaced(s)))
+
+
+def by_tokens(text: Column) -> Column:
+    """The same of any text in lower case, from each token and those around it."""
+    return _tidy(once(parts(text), lambda p: once(F.transform(p, lambda x, i: _amount(p, x, i)), lambda a: _written(p, a))))
+
+
+def _replaced(text: Column) -> Column:
+    """The same where nothing is odd. Amounts are signed for the steps in between: their mark, and the place of their paise."""
+    rules = [
+        (r"(?<=[0-9]),(?=[0-9])", ""),
+        (rf"(?U)([0-9])\s*(?:%|per(?:\s+)?cent(?!{_RUN}))", "$1%"),
+        (rf"(?U)(?<!{_RUN})rs\s*(?:\.\s*)?{_VALUE}", " \x01$1 \x02$2 "),
+        (rf"(?U)(?<![0-9\x01])(?<!\x02\.){_VALUE}\s+rupees(?!{_RUN})", " \x01$1 \x02$2 "),
+        (f"[{DROPPED}\x02]", ""),
+        (r"(?U)[^\w%.,/()\x01]+", " "),
+    ]
+    for pattern, by in rules:
+        text = F.regexp_replace(text, pattern, by)
+    return _tidy(F.replace(text, F.lit("\x01"), F.lit("rs")))
+
+
+def _tidy(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^[ .,;]+|[ .,;]+$", "")
 
 
 def _token(p: Column, i: Column) -> Column:
@@ -73,5 +104,4 @@ def _written(p: Column, a: Column) -> Column:
         out = F.when(share & _is_number(before), "%").when(F.contains(F.lit(DROPPED), t), far).when(F.contains(F.lit(PARTED), t), " ").when(plain, F.concat(far, kept)).otherwise(" ")
         return F.when(F.get(a, i).isNotNull(), F.get(a, i)["reads"]).when(taken | cent, "").otherwise(out)
 
-    joined = F.array_join(F.transform(p, word), "")
-    return F.regexp_replace(F.regexp_replace(joined, r"(?U)\s+", " "), r"^[ .,;]+|[ .,;]+$", "")
+    return F.array_join(F.transform(p, word), "")

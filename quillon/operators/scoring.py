@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import CHANGE_STEMS, ancestors, normal_form, read_answer, read_match, stated_numbers, strings, token_f1
+from quillon.functions.text import CHANGE_STEMS, ancestors, normal_form, read_answer, read_matches, stated_numbers, strings, token_f1
+from quillon.functions.tokens import once
 from quillon.operators.amend import changed_words
 from quillon.operators.evals import nearest_rank, precision_recall
 from quillon.scratch import materialize
@@ -79,7 +80,8 @@ def answer_metrics(records: DataFrame, tree: DataFrame | None, pairs: DataFrame)
     if tree is None:
         gold = F.array_distinct(gold_targets(F.col("type"), F.col("gold_provisions"), F.col("gold_table_rows")))
         within = lambda c: F.flatten(F.transform(F.coalesce(c["provisions"], F.array().cast("array<string>")), ancestors))
-        asked = rows.withColumn("_gold", gold).withColumn("_within", F.transform("cited", within))
+        scored = {c: F.when(~F.col("should_refuse"), F.col(c)) for c in ("answer", "cited", "gold_facts")}  # what is to be refused isn't read
+        asked = rows.withColumns(scored).withColumn("_gold", gold).withColumn("_within", F.transform("cited", within))
         asked = asked.withColumn("good", F.size(F.filter("_within", lambda w: F.coalesce(F.arrays_overlap(w, F.col("_gold")), F.lit(False)))))
         asked = asked.withColumn("found", F.size(F.array_intersect("_gold", F.flatten("_within")))).join(pairs, "id", "left")
     else:
@@ -88,9 +90,9 @@ def answer_metrics(records: DataFrame, tree: DataFrame | None, pairs: DataFrame)
         hits = reach(asked, tree).join(cited, ["id", "pid"]).groupBy("id").agg(F.count_distinct("n").alias("good"), F.count_distinct("gold").alias("found"))
         asked = asked.join(hits, "id", "left").join(pairs, "id", "left").na.fill(0, ["good", "found"])
     # each answer and its passages are brought into their form once, each fact once
-    asked = asked.withColumn("_read", read_answer(F.col("answer"))).withColumn("_said", normal_form(F.array_join(F.transform("cited", lambda c: c["text"]), " ")))
-    verdict = lambda f: F.struct(F.contains(F.col("_read.form"), normal_form(f)).alias("exact"), read_match(F.col("_read"), f).alias("soft"))
-    asked = asked.withColumn("_facts", F.transform("gold_facts", verdict)).withColumn("_numbers", F.transform(stated_numbers(F.col("answer")), lambda x: F.contains(F.col("_said"), normal_form(x))))
+    asked = asked.withColumn("_read", read_answer(F.col("answer"))).withColumn("_facts", F.transform("gold_facts", lambda f: read_matches(F.col("_read"), f)))
+    said = normal_form(F.array_join(F.transform("cited", lambda c: c["text"]), " "))
+    asked = asked.withColumn("_numbers", once(said, lambda form: F.transform(stated_numbers(F.col("answer")), lambda x: F.contains(form, normal_form(x)))))
     facts = F.col("_facts")
     exact, soft = F.transform(facts, lambda f: f["exact"]), F.transform(facts, lambda f: f["soft"])
     some, n_gold = F.size(F.coalesce(facts, F.array())) > 0, F.size(F.array_distinct(gold_targets(F.col("type"), F.col("gold_provisions"), F.col("gold_table_rows"))))
@@ -121,11 +123,8 @@ def aggregate(metrics: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     metrics = materialize(metrics.drop("id"), "metrics")  # read once for each kind of figure below
     flags = ["refused", "should_refuse", "scope_refused"]
     names = [c for c in metrics.columns if c not in ("id", "type", *flags)]
-    long = metrics.select("type", F.explode(F.map_entries(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("double"))]))).alias("m")).where("m.value is not null")
-    out = long.rollup("type", "m.key").agg(F.bround(F.avg("m.value"), 4).alias("value"), F.grouping_id().alias("g")).where("g = 0").select("type", F.col("key").alias("metric"), "value")
-    out = out.unionByName(long.groupBy("m.key").agg(F.bround(F.avg("m.value"), 4).alias("value")).select(F.lit(None).cast("string").alias("type"), F.col("key").alias("metric"), "value"))
-    counts = metrics.rollup("type").agg(F.count(F.lit(1)).cast("double").alias("value")).select("type", F.lit("n").alias("metric"), "value")
-    out = out.unionByName(counts)
+    figures = [F.bround(F.avg(F.col(c).cast("double")), 4).alias(c) for c in names] + [F.count(F.lit(1)).cast("double").alias("n")]
+    out = metrics.rollup("type").agg(*figures).unpivot("type", [*names, "n"], "metric", "value")  # a row holds all means of a type, or over all
     over_all = lambda df, name: df.select(F.lit(None).cast("string").alias("type"), F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
     refusals = precision_recall(metrics.where("refused is not null").select((F.col("refused") == 1).alias("said"), (F.col("should_refuse") == 1).alias("true")), "said", "true")
     for name in ("precision", "recall"):
